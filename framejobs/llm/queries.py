@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framejobs.llm.decontamination import op10_decontamination
+from framejobs.llm.lm_scoring import op2_lm_scoring
+from framejobs.llm.packing import op7_packing
 from framejobs.llm.suffix_dedup import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup,)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op7_packing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
