@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framejobs.llm.ann import op6_ann
 from framejobs.llm.decontamination import op10_decontamination
+from framejobs.llm.html_text import op5_html_text
+from framejobs.llm.licenses import OP9_SQL, op9_license
 from framejobs.llm.lm_scoring import op2_lm_scoring
 from framejobs.llm.packing import op7_packing
+from framejobs.llm.simhash import op3_simhash
 from framejobs.llm.suffix_dedup import op1_suffix_dedup
+from framejobs.llm.toxicity import op8_toxicity
+from framejobs.llm.warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op7_packing, op10_decontamination)}
+    found = (
+        op1_suffix_dedup, op2_lm_scoring, op3_simhash, op4_warc, op5_html_text, op6_ann, op7_packing, op8_toxicity, op9_license, op10_decontamination,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": OP4_SQL, "op9_license": OP9_SQL}
