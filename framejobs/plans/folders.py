@@ -1,0 +1,17 @@
+"""Where queries that write put their files: the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; only where that is unset, as in a local test, under a temporary folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = f"file://{tempfile.mkdtemp()}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
