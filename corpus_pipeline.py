@@ -1,16 +1,81 @@
-"""A training corpus in five stages, each one of the operators in framejobs/llm."""
+"""A training corpus in five stages, each one of the operators in framejobs/llm: documents that the toxicity model rejects go; of near duplicates one
+stays; byte strings that occur earlier go; documents with benchmark passages go; what is left is packed into sequences.
+
+Every stage but the last returns the columns of ``documents``; other columns of the input are left behind. Null texts are treated as empty and stay:
+an empty text is neither toxic nor contaminated, and is a duplicate of other empty ones only. A row without doc_id cannot be named as a duplicate
+and stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framejobs.llm._session import new_folder, with_checkpoints
+from framejobs.llm.decontamination import find_contaminated
+from framejobs.llm.packing import pack_documents
+from framejobs.llm.simhash import near_duplicates
+from framejobs.llm.suffix_dedup import find_repeats
+from framejobs.llm.toxicity import score_toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+CARRY = ("lang", "source", "n_chars")
+
+
+def _columns(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", "text", *(F.col(f"rest.{c}").alias(c) for c in CARRY))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _columns(score_toxicity(docs, labels, carry=CARRY, with_text=True).filter("predicted = 0"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of each group whose id is the smallest; repeated rows of it are merged."""
+    classes = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).checkpoint()
+    kept = docs.select(*COLUMNS).join(classes.filter("doc_id <> least").select("doc_id"), "doc_id", "left_anti")
+    repeated = classes.filter("doc_id = least and n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept.select(*COLUMNS)
+    once = kept.join(repeated, "doc_id").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the byte strings that occur earlier. A document may be left empty."""
+    out = _columns(find_repeats(docs, carry=CARRY, with_text=True).withColumnRenamed("kept", "text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _columns(find_contaminated(docs, benchmark, carry=CARRY, with_text=True).filter("not contaminated"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in which sequence."""
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+#: SQL cannot express the stages; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over documents, each written as Parquet in the shared folder and read again as the next one's input."""
+    docs = with_checkpoints(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -234,10 +234,9 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS)
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
     """Pieces of all documents with their places. The pieces are checkpointed: what they are and how they rank must not change between two reads."""
+    with_checkpoints(docs.sparkSession)
     return pack(pieces(docs, **options).checkpoint(), options.get("capacity", CAPACITY))
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
-    from framejobs.llm._session import with_checkpoints
-
-    return pack_documents(with_checkpoints(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -108,6 +108,7 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = DATE, min_revisit_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Archives of all pages in ``folder``; returns (path, records, bytes), one row for each archive, checkpointed."""
+    with_checkpoints(pages.sparkSession)
     cut = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     keyed = cut.select("page_id", "url", F.sha1("html").alias("sha"), F.octet_length("html").alias("size"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
@@ -179,7 +180,7 @@ _SCHEMA = pa.schema([
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
-    pages = with_checkpoints(spark).read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = write_warc(pages, new_folder(spark, "warc"))
     return read_warc(archives, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
