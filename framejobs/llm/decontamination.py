@@ -258,3 +258,20 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return find_contaminated(docs, benchmark).drop("matches")
+
+
+OP10_SQL = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') as k from (select item_id, w, m, unnest(range(1, len(w) - m + 2)) as i from (select *, least(13, len(w)) as m from b where len(w) > 0))),
+ms as (select distinct m from win),
+words as (select r, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from d),
+l as (select r, p, list(word) over (partition by r order by p rows between current row and 12 following) as l from words),
+keys as (select r, p, m, array_to_string(l[1:m], ' ') as k from l, ms where len(l) >= m),
+occ as (select r, p, m, item_id from keys join win using (m, k)),
+hits as (select r, count(distinct q) as n_hit from (select r, unnest(range(p, p + m)) as q from occ) group by r),
+items as (select r, count(distinct item_id) as n_items, array_to_string(list_sort(list_distinct(list(item_id::varchar))), ',') as items from occ group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hits using (r) left join items using (r)
+"""

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framejobs.llm.ann import op6_ann
-from framejobs.llm.decontamination import op10_decontamination
+from framejobs.llm.decontamination import OP10_SQL, op10_decontamination
 from framejobs.llm.html_text import op5_html_text
 from framejobs.llm.licenses import OP9_SQL, op9_license
 from framejobs.llm.lm_scoring import op2_lm_scoring
 from framejobs.llm.packing import op7_packing
 from framejobs.llm.simhash import op3_simhash
-from framejobs.llm.suffix_dedup import op1_suffix_dedup
+from framejobs.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from framejobs.llm.toxicity import op8_toxicity
 from framejobs.llm.warc import OP4_SQL, op4_warc
 
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op9_license": OP9_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_warc": OP4_SQL, "op9_license": OP9_SQL, "op10_decontamination": OP10_SQL}

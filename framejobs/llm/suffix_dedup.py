@@ -318,3 +318,17 @@ def find_repeats(
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return find_repeats(docs).drop("spans")
+
+
+OP1_SQL = """
+with d as (select doc_id, row_number() over () as r, hex(encode(coalesce(text, ''))) as x from documents),
+w as (select doc_id, r, p, md5(substr(x, p * 2 + 1, 200)) as h from (select doc_id, r, x, unnest(range(0, length(x) // 2 - 99)) as p from d)),
+g as (select r, p from (select r, p, row_number() over (partition by h order by doc_id, r, p) as n from w) where n > 1),
+m as (select r, p, sum(fresh) over (partition by r order by p) as run from (select r, p, case when p - lag(p, 1, -1000) over (partition by r order by p) > 100 then 1 else 0 end as fresh from g)),
+s as (select r, run, min(p) as a, max(p) + 100 as b from m group by 1, 2),
+k as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as before from s),
+c as (select r, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last, string_agg(substr(x, before * 2 + 1, (a - before) * 2), '' order by a) as parts from k join d using (r) group by r)
+select doc_id, length(x) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(parts || substr(x, last * 2 + 1), x))) as kept_sha256
+from d left join c using (r)
+"""
