@@ -23,9 +23,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framejobs.llm._session import new_folder, with_checkpoints
+from framejobs.llm._session import hash_sample, new_folder, with_checkpoints
 
-#: Bytes in an archive before the next one begins; records and bytes of each that train the dictionary; bytes of the dictionary.
+#: Bytes in an archive before the next one begins; about as many records, and bytes of each, train the dictionary; bytes of the dictionary.
 ROLL_BYTES = 64_000_000
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 16_384, 112_640
 #: Magic number of the skippable frame that holds the dictionary.
@@ -116,7 +116,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     later = keyed.join(firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
     later = later.select(F.col("page_id").alias("id"), F.col("sha").alias("of"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")).distinct()
     rows = cut.join(later, F.col("page_id").eqNullSafe(F.col("id")) & (F.sha1("html") == F.col("of")), "left").select("page_id", "url", "html", "first", "first_url")
-    sample = cut.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE_RECORDS).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    sample = hash_sample(cut, SAMPLE_RECORDS, "page_id", "url").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
     dictionary = train_dictionary([_record(r.page_id, r.url, r.html.encode(), None, None, date) for r in sample.collect()])
 
     def write(batches):
