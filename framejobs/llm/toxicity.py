@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two Zstandard dictionaries are trained: one on windows of ordinary text, and one on toxic text, which extends the first by the byte strings that many
-toxic documents have and hardly any ordinary one. A text is cut into short windows at white space, and each window is compressed with both. What the
+toxic documents have and hardly any ordinary one. A text is cut into short windows at white space, in three phases, and each window is compressed with both. What the
 toxic dictionary saves is the window's distance; where ordinary text is alike the dictionaries are too, so that the distance is zero and noise small.
 How often a distance occurs in toxic and in ordinary documents gives its evidence, and a logistic curve fitted on labelled documents that
 the dictionaries have not seen turns the evidence of all windows into a calibrated score.
@@ -30,8 +30,8 @@ from framejobs.llm import _arrays as A
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PER_CLASS, LONGEST = 3000, 40_000
-WINDOW, LEVEL, GRAM = 64, 3, 6
-BASE_BYTES, TOXIC_BYTES = 60_000, 4096
+WINDOW, PHASES, LEVEL, GRAM = 80, 3, 3, 6
+BASE_BYTES, TOXIC_BYTES = 100_000, 8192
 #: A gram is typical if this share of the toxic documents has it, this many times the share of the ordinary ones.
 SHARE, LIFT = 0.03, 15
 REACH = 16
@@ -48,7 +48,14 @@ class Model:
 
 
 def windows(text: bytes) -> list[bytes]:
-    return _WINDOWS.findall(text.translate(A.LOWER))
+    """The whole text in windows, once for each phase, so that what one phase cuts in two another has in one."""
+    lower = text.translate(A.LOWER)
+    out = _WINDOWS.findall(lower)
+    for p in range(1, PHASES):
+        at = lower.find(b" ", WINDOW * p // PHASES)
+        if at > 0:
+            out += _WINDOWS.findall(lower[at:])
+    return out
 
 
 _COMPRESSORS: dict[bytes, object] = {}
@@ -110,7 +117,7 @@ def typical_strings(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
 def _features(d: np.ndarray, evidence: np.ndarray) -> list[float]:
     e = evidence[np.clip(d, -REACH, REACH) + REACH]
-    return [float(e.sum() / (len(e) + 1)), float(e.max(initial=0.0)), float(np.log1p(len(e)))]
+    return [float(e.sum() / (len(e) + 1)), float(e.max(initial=0.0))]
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
@@ -124,7 +131,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     except zstandard.ZstdError:  # too few samples
         base = b"".join(samples)[-BASE_BYTES:]
     strings = typical_strings(a_toxic, a_ordinary)
-    model = Model(base, base + b"".join(reversed(strings))[-TOXIC_BYTES:], np.zeros(2 * REACH + 1), np.zeros(4))
+    model = Model(base, base + b"".join(reversed(strings))[-TOXIC_BYTES:], np.zeros(2 * REACH + 1), np.zeros(3))
     d_toxic, d_ordinary = ([distances(t, model.base, model.toxic) for t in texts] for texts in (b_toxic, b_ordinary))
     histogram = lambda ds: np.bincount(np.clip(np.concatenate(ds), -REACH, REACH) + REACH, minlength=2 * REACH + 1) + 0.5
     h1, h0 = histogram(d_toxic), histogram(d_ordinary)
@@ -134,11 +141,11 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     x = np.array([_features(d, model.evidence) + [1.0] for d in d_toxic + d_ordinary])
     y = np.repeat([1.0, 0.0], [len(d_toxic), len(d_ordinary)])
     w = np.where(y == 1, share / len(d_toxic), (1 - share) / len(d_ordinary)) * len(y)
-    weights = np.zeros(4)
+    weights = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         gradient = x.T @ (w * (y - p)) - 1e-2 * weights
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4), gradient)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), gradient)
         weights += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
