@@ -21,9 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framejobs.llm._session import hash_sample
+
 K = 10
 BOOKS, CODES, BEAM = 16, 256, 4
-#: Vectors that the codebooks are fitted on; of a shard; of a block of queries; candidates of a shard that are ranked anew.
+#: About as many vectors as the codebooks are fitted on; of a shard; of a block of queries; candidates of a shard that are ranked anew.
 SAMPLE, SHARD, BLOCK, RERANK = 10_000, 16_384, 1024, 512
 SHARDS = "ids binary, vecs binary, codes binary, norms binary"
 FOUND = "query_id long, query_key long, vec_id long, score double"
@@ -136,7 +138,7 @@ def nearest(
     size = common["n"] if common else 1
     base = cut(vectors).filter(_valid(F.col("v"), size))
     asked = cut(queries).filter(_valid(F.col("v"), size)).distinct()
-    fitted = base.orderBy(F.xxhash64("id", "v")).limit(sample).toPandas()  # bounded by ``sample``
+    fitted = hash_sample(base, sample, "id", "v").toPandas()  # at most twice ``sample``
     c = fit(np.stack(fitted["v"].to_numpy()), books, min(codes, max(1, len(fitted))), beam) if len(fitted) else np.zeros((1, 1, size), np.float32)
 
     def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,8 @@ toxic dictionary saves is the window's distance; where ordinary text is alike th
 How often a distance occurs in toxic and in ordinary documents gives its evidence, and a logistic curve fitted on labelled documents that
 the dictionaries have not seen turns the evidence of all windows into a calibrated score.
 
-Only fitting is bounded: at most ``per_class`` labelled documents of each class, none over ``longest`` bytes, chosen by a hash of their ids. Every
+Only fitting is bounded: about ``per_class`` labelled documents of each class, twice as many at most, none over ``longest`` bytes, chosen by a hash of
+their ids. Every
 document is scored over its whole text, in place: nothing is shuffled.
 
 Defined results: null and empty texts are scored like any other, with no windows; labels that are null count for nothing, several for one document
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framejobs.llm import _arrays as A
+from framejobs.llm._session import hash_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PER_CLASS, LONGEST = 3000, 40_000
@@ -165,9 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
     texts: dict[int, list[bytes]] = {}
     for value in (0, 1):
-        picked = known.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        picked = hash_sample(known.filter(F.col("label") == value), per_class, "id")
         sample = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.octet_length("text") <= longest)
-        rows = sample.join(F.broadcast(picked), "id").select("id", "text").limit(2 * per_class).collect()  # bounded by per_class and longest
+        rows = sample.join(F.broadcast(picked), "id").select("id", "text").limit(3 * per_class).collect()  # bounded by per_class and longest
         texts[value] = [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.text))]
     if not texts[0] or not texts[1]:
         return float(share or 0.0)
