@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framejobs.operators.pixels import decode_and_suppress, redact_frame, resize_bytes, to_network_input
+from framejobs.operators.pixels import decode_and_suppress, ensure_rgb, redact_frame, resize_bytes, to_network_input
 
 BOXES = "array<struct<det_idx: int, x1: double, y1: double, x2: double, y2: double, score: double, landmarks: array<double>>>"
 
@@ -20,6 +20,18 @@ def array_of(row) -> np.ndarray:
     return np.frombuffer(row.pixels, dtype=np.uint8).reshape(row.height, row.width, row.channels)
 
 
+def rgb_frames(frames: DataFrame) -> DataFrame:
+    """Frames with three channels."""
+
+    def run(batches):
+        for b in batches:
+            b["pixels"] = [ensure_rgb(array_of(r)).tobytes() for r in b.itertuples(index=False)]
+            b["channels"] = 3
+            yield b.astype({"channels": "int32"})
+
+    return frames.mapInPandas(run, frames.schema)
+
+
 def redact_frames(frames: DataFrame, mode: str = "blur", **options) -> DataFrame:
     """Frames with the boxes of their array column ``boxes`` covered, in the order of det_idx."""
 

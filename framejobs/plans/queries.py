@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framejobs.functions import boxes, encode, media, progress, telemetry
-from framejobs.operators import catalog, detections, frames, redact
+from framejobs.operators import catalog, detections, frames, pixels, redact
 from framejobs.operators import progress as logs
 from framejobs.plans.fixtures import FIXTURES, ctes, fixture
 from framejobs.plans.folders import new_folder
@@ -548,6 +548,24 @@ def write_redacted(spark, sf_dir):
     return byte_sums(spark.read.parquet(root).withColumn("video_id", F.col("video_id").cast("long")))
 
 
+@query(f"""{PIXELS} select video_id, frame_id, (sum(case when c < 3 then (frame_id * 31 + y * 17 + x * 7 + c * 101) % 256 else 0 end) * any_value(case when ch = 1 then 3 else 1 end))::bigint as byte_sum
+from px group by 1, 2""")
+def ensure_rgb(spark, sf_dir):
+    return byte_sums(redact.rgb_frames(pixel_frames(spark, sf_dir)))
+
+
+@query()
+def network_input(spark, sf_dir):
+    """What the model gets: the sum of each frame's resized channels."""
+
+    def run(batches):
+        for b in batches:
+            sums = [float(pixels.to_network_input([redact.array_of(r)], 32, 32).sum(dtype=np.float64)) for r in b.itertuples(index=False)]
+            yield pd.DataFrame({"video_id": b["video_id"], "frame_id": b["frame_id"], "input_sum": np.round(sums, 2)})
+
+    return pixel_frames(spark, sf_dir).drop("boxes").mapInPandas(run, "video_id long, frame_id long, input_sum double")
+
+
 def toy_model():
     """Bright cells are faces; sizes and landmarks come from the colours."""
 
