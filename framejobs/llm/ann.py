@@ -65,7 +65,8 @@ def fit(x: np.ndarray, books: int = BOOKS, codes: int = CODES, beam: int = BEAM,
                 np.add.at(gram, (flat[:, i], flat[:, j]), 1)
         # Codewords that no vector uses keep their place: the ridge pulls to what they were.
         ridge = np.float32(1e-1)
-        c = np.linalg.solve(gram + ridge * np.eye(len(gram), dtype=np.float32), right + ridge * c.reshape(len(gram), -1)).reshape(c.shape).astype(np.float32)
+        gram[np.diag_indices(len(gram))] += ridge
+        c = np.linalg.solve(gram, right + ridge * c.reshape(len(gram), -1)).reshape(c.shape).astype(np.float32)
     return c
 
 
