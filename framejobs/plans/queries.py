@@ -519,14 +519,31 @@ def redact_mosaic(spark, sf_dir):
     return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir), "mosaic", mosaic_size=4))
 
 
-@query()
+def blur_sql(inside: str) -> str:
+    """Byte sums with the box filter over the crop, borders mirrored; ``inside`` says which pixels of the crop change."""
+    mirror = lambda i, n: f"case when {i} < 0 then -({i}) when {i} >= {n} then 2 * ({n} - 1) - ({i}) else {i} end"
+    value = lambda y, x: f"(frame_id * 31 + ({y}) * 17 + ({x}) * 7 + c * 101) % 256"
+    return f"""{PIXELS}, cr as (select *, cw // 2 as kw, ch2 // 2 as kh from (select *, gx2 - gx1 as cw, gy2 - gy1 as ch2 from gb) where cw >= 2 and ch2 >= 2),
+i as (select px.video_id, px.frame_id, c, x - gx1 as bx, y - gy1 as byy, gx1, gy1, cw, ch2, kw, kh from px join cr on px.video_id = cr.video_id and px.frame_id = cr.frame_id
+  and x >= gx1 and x < gx2 and y >= gy1 and y < gy2),
+n as (select *, unnest(range(0, kw)) as dx from (select *, unnest(range(0, kh)) as dy from i where {inside})),
+f as (select video_id, frame_id, c, bx, byy, any_value({value("gy1 + byy", "gx1 + bx")}) as was, round_even(sum({value(f"gy1 + {mirror('(byy - kh // 2 + dy)', 'ch2')}", f"gx1 + {mirror('(bx - kw // 2 + dx)', 'cw')}")}) / any_value(kw * kh), 0) as now
+  from n group by 1, 2, 3, 4, 5),
+t as (select video_id, frame_id, sum({value("y", "x")}) as total from px group by 1, 2)
+select video_id, frame_id, (any_value(total) + coalesce(sum(now - was), 0))::bigint as byte_sum from t left join f using (video_id, frame_id) group by 1, 2"""
+
+
+@query(blur_sql("true"))
 def redact_blur(spark, sf_dir):
-    return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir, False), "blur", ellipse=False))
+    return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir), "blur", ellipse=False))
 
 
-@query()
+CENTRED = "((byy - ch2 // 2) / (ch2 // 2)::double) * ((byy - ch2 // 2) / (ch2 // 2)::double) + ((bx - cw // 2) / (cw // 2)::double) * ((bx - cw // 2) / (cw // 2)::double)"
+
+
+@query(blur_sql(f"{CENTRED} < 1"))
 def redact_blur_ellipse(spark, sf_dir):
-    return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir, False), "blur"))
+    return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir), "blur"))
 
 
 @query()
