@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,19 +11,16 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in a local test, a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp()}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """Spark's checkpoint folder, which it takes from spark.checkpoint.dir; only where that is unset, as in a local test, a temporary one."""
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp()}")
+    return re.sub("^file:/+", "file:///", spark.sparkContext.getCheckpointDir().rstrip("/"))
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """The session, with a checkpoint folder."""
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_folder(spark)
     return spark
 
 

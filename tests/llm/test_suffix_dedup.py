@@ -46,3 +46,27 @@ def test_matches_the_definition(spark, n, alphabet):
 
 def test_empty_table(spark):
     assert find_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Cut into overlapping pieces, a text still has each window in exactly one run, and equal windows have equal identifiers."""
+    import numpy as np
+
+    from framejobs.llm import suffix_dedup as S
+
+    monkeypatch.setattr(S, "PIECE_BYTES", 70)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 90)
+    r = random.Random(6)
+    texts = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 11, 12, 300, 81, 82, 500)] + [b"a" * 200]
+    n, q = 12, 4
+    s = S._sample(texts, n, q)
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    keys, at, doc = S._windows(s, np.ones(len(s.seg), dtype=bool), n, q)
+    want = sorted(int(starts[k]) + p for k, t in enumerate(texts) for p in range(len(t) - n + 1))
+    assert sorted(at.tolist()) == want
+    by = {}
+    joined = b"".join(texts)
+    for k, p, d in zip(keys.tolist(), at.tolist(), doc.tolist(), strict=True):
+        assert starts[d] <= p and p + n <= starts[d + 1]
+        by.setdefault(joined[p : p + n], set()).add(k)
+    assert all(len(v) == 1 for v in by.values()) and len({min(v) for v in by.values()}) == len(by)
