@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, as in a local test, under a temporary folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp()}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in Spark's checkpoint folder, which it takes from spark.checkpoint.dir; only where that is unset, as in a local test, a temporary one."""
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp()}")
+    return re.sub("^file:/+", "file:///", f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}")
