@@ -281,9 +281,11 @@ def find_repeats(
         later |= _answered(rows, 2, "seg", unique, bits)[number]
         size = sum(map(len, texts))
         turn = np.zeros(size + 1, dtype=np.int32)
-        for a, b in ((s.lo[gone], s.hi[gone] + min_len), (starts[later], starts[later] + min_len)):
-            turn += np.bincount(a, minlength=size + 1).astype(np.int32) - np.bincount(b, minlength=size + 1).astype(np.int32)
-        covered = np.cumsum(turn[:-1]) > 0
+        for start, end in ((s.lo[gone], s.hi[gone] + min_len), (starts[later], starts[later] + min_len)):
+            np.add.at(turn, start, 1)
+            np.add.at(turn, end, -1)
+        covered = np.cumsum(turn[:-1], dtype=np.int32) > 0
+        del turn, keys, number
         out, at = [], 0
         for t in texts:
             mask = covered[at : at + len(t)]
