@@ -20,6 +20,7 @@ import hashlib
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from framejobs.llm import _arrays as A
 from framejobs.llm._session import hash_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-PER_CLASS, LONGEST = 3000, 40_000
+PER_CLASS, LONGEST, SAMPLES = 3000, 20_000, 200_000
 WINDOW, PHASES, LEVEL, GRAM = 80, 3, 3, 6
 BASE_BYTES, TOXIC_BYTES = 100_000, 8192
 #: A gram is typical if this share of the toxic documents has it, this many times the share of the ordinary ones.
@@ -93,8 +94,8 @@ def _grams(text: bytes) -> np.ndarray:
 def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams and the number of texts that have them."""
     grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for s in range(0, len(texts), 500):
-        part = [np.unique(_grams(t)) for t in texts[s : s + 500]]
+    for s in range(0, len(texts), 200):
+        part = [np.unique(_grams(t)) for t in texts[s : s + 200]]
         grams, number = np.unique(np.concatenate([grams, *part]), return_inverse=True)
         counts = np.bincount(number, weights=np.concatenate([counts, np.ones(len(number) - len(counts))]), minlength=len(grams)).astype(np.int64)
     return grams, counts
@@ -127,7 +128,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     toxic, ordinary = ([t.translate(A.LOWER) for t in texts] for texts in (toxic, ordinary))
     a_toxic, a_ordinary = toxic[::2] or toxic, ordinary[::2] or ordinary
     b_toxic, b_ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
-    samples = [w for t in a_ordinary for w in windows(t)][:200_000]
+    samples = list(islice((w for t in a_ordinary for w in windows(t)), SAMPLES))
     try:
         base = zstandard.train_dictionary(BASE_BYTES + 4096, samples, k=WINDOW, d=6).as_bytes()[-BASE_BYTES:]
     except zstandard.ZstdError:  # too few samples
