@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 
 from framejobs.llm._session import with_checkpoints
 
-
 CAPACITY = 1024
 END_ID = 2
-#: Pieces in a rank group, on average.
-RANK_ROWS = 200_000
-CACHE = 500_000
+#: Pieces in a rank group at most, on average, and the least number of groups that a length is split into.
+RANK_ROWS, SALTS = 200_000, 64
+CACHE = 300_000
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -215,7 +214,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS)
             offset += length
         sequence += times
     first.sort()
-    salts = max(1, int(counts.sum()) // rank_rows)
+    salts = max(SALTS, int(counts.sum()) // rank_rows)
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")
