@@ -96,7 +96,8 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """(a, b): links that join all distinct fingerprints (column fp) within ``radius`` of each other, in the same components as all links would."""
-    keys = fps.select("fp", F.explode(_half_keys(F.col("fp"), radius)).alias("key"))
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the few rows become many, which small partitions merged would not carry
+    keys = fps.repartition(tasks, "fp").select("fp", F.explode(_half_keys(F.col("fp"), radius)).alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1")
     met = keys.join(shared, "key").checkpoint()
 
