@@ -88,7 +88,7 @@ def redact_frame(frame: np.ndarray, boxes, mode: str = "blur", ellipse: bool = T
                 part = out[y1:y2, x1:x2, :3]
                 if image.shape[2] == 4:
                     alpha = r[:, :, 3:] / 255
-                    part[:] = (part * (1 - alpha) + r[:, :, :3] * alpha).astype(np.uint8)
+                    part[:] = (part * (1 - alpha) + r[:, :, : part.shape[2]] * alpha).astype(np.uint8)
                 else:
                     part[:] = r[:, :, : part.shape[2]].astype(np.uint8)
         else:
