@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained: one on windows of ordinary text, and one on toxic text, which extends the first by the byte strings that many
-toxic documents have and hardly any ordinary one. A text is cut into short windows at white space, in three phases, and each window is compressed with both. What the
+There are two Zstandard dictionaries: one trained on windows of ordinary text, and one that extends it by a list of selected strings, those that toxic
+documents have more often than chance allows and hardly any ordinary one has. A dictionary trained on toxic text alone finds far less (README). A text is cut into short windows at white space, in three phases, and each window is compressed with both. What the
 toxic dictionary saves is the window's distance; where ordinary text is alike the dictionaries are too, so that the distance is zero and noise small.
 How often a distance occurs in toxic and in ordinary documents gives its evidence, and a logistic curve fitted on labelled documents that
 the dictionaries have not seen turns the evidence of all windows into a calibrated score.
@@ -34,9 +34,10 @@ from framejobs.llm._session import hash_sample
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PER_CLASS, LONGEST, SAMPLES = 3000, 20_000, 200_000
 WINDOW, PHASES, LEVEL, GRAM = 80, 3, 3, 6
-BASE_BYTES, TOXIC_BYTES = 100_000, 8192
-#: A gram is typical if this share of the toxic documents has it, this many times the share of the ordinary ones.
-SHARE, LIFT = 0.03, 15
+BASE_BYTES = 100_000
+#: A gram is typical if its share of the toxic documents is this many times that of the ordinary ones, and is so by chance for less than this
+#: number of all grams. How rare it may be follows from the samples: 17 of 789 toxic documents on check_s.
+LIFT, CHANCE = 15, 0.01
 REACH = 16
 _WINDOWS = re.compile(rb"[\s\S]{1,%d}(?:(?=[ \n\t])|\Z)|[\s\S]{1,%d}" % (WINDOW, WINDOW))
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
@@ -104,12 +105,15 @@ def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def typical_strings(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """Longest strings all of whose grams are typical of toxic texts, by the number of toxic texts that have them."""
     grams, n = _frequencies(toxic)
-    often = n >= max(3, SHARE * len(toxic))
-    grams, n = grams[often], n[often]
+    least = np.log(max(1, len(grams)) / CHANCE)
     other, m = _frequencies(ordinary)
     at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
     elsewhere = np.where(other[at] == grams, m[at], 0) if len(other) else np.zeros(len(grams))
-    typical = grams[(elsewhere + 1) / (len(ordinary) + 1) * LIFT <= n / max(1, len(toxic))]
+    lifted = (elsewhere + 1) / (len(ordinary) + 1) * LIFT <= n / max(1, len(toxic))
+    grams, n, elsewhere = grams[lifted], n[lifted], elsewhere[lifted]
+    q, x = len(toxic) / (len(toxic) + len(ordinary)), n / (n + elsewhere)
+    bound = n * np.log(x / q) + elsewhere * np.log(np.maximum(1 - x, 1e-300) / (1 - q))  # Chernoff's: -log of the chance at most
+    typical = grams[bound >= least]
     found: dict[bytes, int] = {}
     for t in toxic:
         flags = np.diff(np.isin(_grams(t), typical).astype(np.int8), prepend=0, append=0)
@@ -134,7 +138,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     except zstandard.ZstdError:  # too few samples
         base = b"".join(samples)[-BASE_BYTES:]
     strings = typical_strings(a_toxic, a_ordinary)
-    model = Model(base, base + b"".join(reversed(strings))[-TOXIC_BYTES:], np.zeros(2 * REACH + 1), np.zeros(3))
+    model = Model(base, base + b"".join(reversed(strings)), np.zeros(2 * REACH + 1), np.zeros(3))
     d_toxic, d_ordinary = ([distances(t, model.base, model.toxic) for t in texts] for texts in (b_toxic, b_ordinary))
     histogram = lambda ds: np.bincount(np.clip(np.concatenate(ds), -REACH, REACH) + REACH, minlength=2 * REACH + 1) + 0.5
     h1, h0 = histogram(d_toxic), histogram(d_ordinary)
