@@ -62,6 +62,7 @@ SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("non infringement", "noninfringement"),
     ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("while st", "whilst"), ("per cent", "percent"),
 ]
+EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = "\\n[ \\t*/#;-]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*"
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{A0}\\x{A9}\\x{2013}\\x{2014}\\x{2018}\\x{2019}\\x{201C}\\x{201D}]+"
@@ -82,6 +83,27 @@ def digest(text: Column, whole: bool) -> Column:
     return F.sha2(canonical(text, whole), 256)
 
 
+#: Title and copyright lines at the head of a licence file, up to 40; lines of the body stay, however they are wrapped.
+HEAD = (
+    "\\A(?:\\s*+[*/#; \\t-]*+(?:(?:the )?(?:mit|expat|isc|zlib|0bsd|zero[ -]clause bsd|(?:(?:new|modified|simplified|revised) )?bsd)[^\\n]{0,40}"
+    "|(?:copyright|\\(c\\)|©|all rights reserved)[^\\n]*+)(?:\\n|\\z)){0,40}"
+)
+#: Body digests of whole licences that are too long to list, as their publishers word them.
+LONG = {
+    "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25": "Apache-2.0",
+    "0bfb659bf7eeb9921df1446a6a93beba70e0dc947eec10a42d26bb310dccd498": "GPL-2.0",
+    "7d478223d8fcde6480339b8bbaadacf6b93d7007d04a13fbd30f71a80fd981a0": "GPL-3.0",
+    "a9cc8dda4023821e198a2e1bee36afc3e68fce90828780c7bac37ffe33565e15": "LGPL-2.1",
+    "3ce770135de37fc153de7af30789ebf6cf1e9ad54eb9b487647ea8aa9ccae9c2": "LGPL-3.0",
+    "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d": "MPL-2.0",
+}
+
+
+def body_digest(text: Column) -> Column:
+    """The digest of a licence file without its head."""
+    return F.sha2(canonical(F.regexp_replace(F.translate(text, UPPER, LOWER), HEAD, ""), False), 256)
+
+
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per document: doc_id, text_digest, license_id (of the whole text, or null), n_notices (lines that are known), notices (their ids)."""
     spark = docs.sparkSession
@@ -91,10 +113,15 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     names = F.create_map(*(F.lit(x) for item in sorted(lines.items()) for x in item)) if lines else F.create_map().cast("map<string,string>")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = F.filter(F.transform(F.split("text", "\n"), lambda line: names[digest(line, False)]), lambda i: i.isNotNull())
-    cut = base.select("doc_id", digest(F.col("text"), True).alias("text_digest"), found.alias("found"))
+    bodies = LONG if known is None else {}
+    bodies = bodies | {r["digest"]: r["license_id"] for r in table.groupBy(body_digest(F.col("known_text")).alias("digest")).agg(F.min("license_id").alias("license_id")).collect()}
+    bodies.pop(EMPTY, None)
+    by_body = F.create_map(*(F.lit(x) for item in sorted(bodies.items()) for x in item)) if bodies else F.create_map().cast("map<string,string>")
+    cut = base.select("doc_id", digest(F.col("text"), True).alias("text_digest"), by_body[body_digest(F.col("text"))].alias("by_body"), found.alias("found"))
     joined = cut.join(F.broadcast(forms(True)), F.col("text_digest") == F.col("digest"), "left")
     notices = F.array_join(F.array_sort(F.array_distinct("found")), ",")
-    return joined.select("doc_id", "text_digest", "license_id", F.size("found").cast("long").alias("n_notices"), notices.alias("notices"))
+    license_id = F.coalesce("license_id", "by_body").alias("license_id")
+    return joined.select("doc_id", "text_digest", license_id, F.size("found").cast("long").alias("n_notices"), notices.alias("notices"))
 
 
 def op9_license(spark, sf_dir: str) -> DataFrame:
