@@ -4,7 +4,7 @@ A page is parsed into a tree: start tags close what they imply closed (paragraph
 end tags without a partner are ignored, raw text ends only at its own end tag. Elements that a browser would not show are left out. The rest is
 rendered with block spacing, list markers and indentation, preformatted text as it is, and table cells in aligned columns.
 
-Defined results: a null page is empty; broken markup never fails; elements nested deeper than ``MAX_DEPTH`` are siblings at that depth; pages with
+Defined results: a null page is empty; broken markup never fails; elements nest to any depth, and indentation stops at ``MAX_INDENT``; pages with
 one id are rendered each. A closed <details> shows its summary, a <select> all its options; images have no text.
 """
 
@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 150
+#: Deeper lists and quotes are indented no further.
+MAX_INDENT = 300
 #: Columns are padded up to this width; wider cells run on.
 MAX_COLUMN = 80
 SCHEMA = "page_id long, title string, text string, n_chars long, n_lines long, n_blocks long, n_items long, n_cells long"
@@ -32,7 +34,9 @@ _HIDING_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|co
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
-HIDDEN = frozenset("head script style template iframe noembed noframes title svg math object audio video canvas datalist map".split())
+HIDDEN = frozenset("head script style template iframe noembed noframes title object audio video canvas datalist".split())
+#: Not shown inside an svg or a formula.
+UNDRAWN = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset("annotation annotation-xml".split())}
 #: Blank lines around a block: 2, a line of its own: 1.
 BLOCK = {t: 1 for t in "address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup html li legend main nav option search section summary tr tbody thead tfoot caption".split()}
 BLOCK |= {t: 2 for t in "blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split()}
@@ -68,6 +72,7 @@ class Tree:
     def __init__(self, page: str):
         self.root = Node("html", {})
         self.stack = [self.root]
+        self.deepest = 1
         self.open: dict[str, int] = {"html": 1}
         at, find = 0, _TOKEN.match
         while at < len(page):
@@ -83,9 +88,9 @@ class Tree:
 
     def _push(self, node: Node) -> None:
         self.stack[-1].inside.append(node)
-        if len(self.stack) < MAX_DEPTH:
-            self.stack.append(node)
-            self.open[node.tag] = self.open.get(node.tag, 0) + 1
+        self.stack.append(node)
+        self.deepest = max(self.deepest, len(self.stack))
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
 
     def _pop_to(self, k: int) -> None:
         for n in self.stack[k:]:
@@ -94,7 +99,8 @@ class Tree:
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """Closes the outermost of the tags that is open within the scope."""
-        if not any(self.open.get(t) for t in tags):
+        left = sum(self.open.get(t, 0) for t in tags)
+        if not left:
             return
         found = 0
         for k in range(len(self.stack) - 1, 0, -1):
@@ -102,7 +108,9 @@ class Tree:
             if tag in stop:
                 break
             if tag in tags:
-                found = k
+                found, left = k, left - 1
+                if not left:
+                    break
         if found:
             self._pop_to(found)
 
@@ -119,7 +127,9 @@ class Tree:
         if tag in _CELL and self.open.get("table") and top in _PART | {"table"}:
             self._push(Node("tr", {}))
         node = Node(tag, _attributes(attrs) if attrs else {})
-        if tag in VOID:
+        if any(tag in inside and self.open.get(t) for t, inside in UNDRAWN.items()):
+            node.attrs["hidden"] = ""
+        if tag in VOID or attrs.endswith("/") and (tag in UNDRAWN or self.open.get("svg") or self.open.get("math")):
             self.stack[-1].inside.append(node)
         elif tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>]|\\Z)[^>]*>?", re.I).search(page, at) if tag != "plaintext" else None
@@ -180,6 +190,9 @@ class Page:
         self.marker = ""
         self.counts = counts
 
+    def _deeper(self, by: str) -> str:
+        return self.indent + by if len(self.indent) < MAX_INDENT else self.indent
+
     def end_line(self, gap: int = 1) -> None:
         if self.now.strip(" "):
             self._put(self.now.rstrip(" "))
@@ -241,7 +254,7 @@ class Page:
         elif tag == "table":
             self.table(node)
         elif tag in ("blockquote", "dd"):
-            before, self.indent = self.indent, self.indent + "  "
+            before, self.indent = self.indent, self._deeper("  ")
             self.add(node, pre)
             self.end_line(gap)
             self.indent = before
@@ -269,7 +282,7 @@ class Page:
     def item(self, node: Node, marker: str, pre: bool) -> None:
         self.counts["items"] += 1
         self.end_line(1)
-        before, self.indent, self.marker = self.indent, self.indent + " " * len(marker), marker
+        before, self.indent, self.marker = self.indent, self._deeper(" " * len(marker)), marker
         self.add(node, pre)
         self.end_line(1)
         self.indent, self.marker = before, ""
@@ -350,7 +363,12 @@ def render(page: str) -> dict:
     """title, text and counts of a page."""
     counts = {"blocks": 0, "items": 0, "cells": 0}
     tree, out = Tree(page), Page(counts)
-    out.add(tree.root)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 8 * tree.deepest)  # frames of Python code need no stack of the process
+    try:
+        out.add(tree.root)
+    finally:
+        sys.setrecursionlimit(limit)
     out.end_line()
     title, look = "", [tree.root]
     while look and not title:
