@@ -1,10 +1,11 @@
 """Best-fit packing by exact-complement hashing.
 
-Texts become token ids; a document that is longer than a sequence is cut into pieces. How pieces are packed depends on their lengths alone, so the
-plan is made from a histogram with one number for each length, whatever the size of the corpus: from the longest length down, a gap is filled
-exactly by a single length, a pair or a triple from indexes of their sums, as often as the counts allow; where no combination fits, the best-fitting
-length goes in and the rest of the gap is tried again. A plan row says which ranks of a length go to which sequences and where. Pieces are ranked
-within (length, salt), so that no length lands in one task, and find their row by binary search.
+Texts become token ids; a document that is longer than a sequence is cut into full pieces, the first of which may be shorter. How pieces are packed
+depends on their lengths alone, so the plan is made from a histogram with one number for each length, whatever the size of the corpus. From the
+longest length down, the gap that it leaves is looked up in an index of the sums of one, two and three lengths, and the first combination that the
+counts allow fills it exactly; where none does, the best-fitting length goes in and what is left of the gap is looked up again. A sequence so found
+is repeated as often as the counts allow. A plan row says which ranks of a length go to which sequences and where. Pieces are ranked within
+(length, salt), so that no length lands in one task, and find their row by binary search.
 
 Defined results: a null text is empty; an empty document is one end token; documents with one id are packed each; an empty table gives an empty result.
 """
@@ -18,6 +19,7 @@ import sys
 import zlib
 from array import array
 from bisect import bisect_right
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -128,9 +130,9 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                 rows = []
                 for k, data in enumerate(encoder(path).encode(texts)):
                     data += end
-                    for n, s in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[s : s + 4 * capacity]
-                        rows.append((ids[at + k], n, s // 4, len(part) // 4, zlib.crc32(part)))
+                    cuts = [0, *range(len(data) // 4 % capacity or capacity, len(data) // 4 + 1, capacity)]
+                    for n, (s, e) in enumerate(pairwise(cuts)):
+                        rows.append((ids[at + k], n, s, e - s, zlib.crc32(data[4 * s : 4 * e])))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 names = ("doc_id", "piece", "start", "length", "ids_crc32")
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
@@ -138,53 +140,65 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 
 
-class Lengths:
-    """Which lengths are left, and the sums of one, two and three of them."""
+class Sums:
+    """The index of sums: for one, two or three lengths and each of their sums, the combinations that make it, that with the longest length first.
+
+    The combinations of a sum are listed when it is first asked for, from the lengths that are left then. Counts only fall, so a combination that
+    cannot be had once is passed for good: each is looked at once, however many sequences are planned.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.left = counts.copy()
-        self.capacity = len(counts) - 1
-
-    def exact(self, gap: int, most: int) -> tuple[int, ...] | None:
-        """The single, pair or triple of lengths up to ``most`` that fills the gap, that with the longest first of equals."""
-        have = self.left
-        if gap <= most and have[gap]:
-            return (gap,)
-        a = np.flatnonzero(have[: min(gap - 1, most) + 1])[::-1]
-        if not len(a):
-            return None
-        pair = self._pair(gap, most)
-        if pair:
-            return pair
-        for x in a[a * 3 >= gap].tolist():
-            have[x] -= 1
-            rest = self._pair(gap - x, x)
-            have[x] += 1
-            if rest:
-                return (x, *rest)
-        return None
-
-    def _pair(self, total: int, most: int) -> tuple[int, int] | None:
-        high = np.arange(min(total - 1, most), (total + 1) // 2 - 1, -1)
-        if not len(high):
-            return None
-        low = total - high
-        ok = (self.left[high] > 0) & (self.left[low] > (high == low))
-        return (int(high[ok.argmax()]), int(low[ok.argmax()])) if ok.any() else None
+        self.left = counts
+        self.index: dict[tuple[int, int], list] = {}  # (number of lengths, sum): combinations and how many of them are passed
+
+    def _combinations(self, k: int, total: int) -> np.ndarray:
+        have = np.flatnonzero(self.left[: total + 1])[::-1]
+        last = np.zeros(total + 1, dtype=bool)
+        last[have] = True
+        if k == 1:
+            return np.full((int(last[total]), 1), total)
+        if k == 2:
+            high = have[(have * 2 >= total) & (have < total)]
+            high = high[last[total - high]]
+            return np.stack([high, total - high], axis=1)
+        high = have[(have * 3 >= total) & (have < total)]
+        low = total - high[:, None] - have[None, :]
+        i, j = np.nonzero((low >= 1) & (have[None, :] <= high[:, None]) & (low <= have[None, :]) & last[np.maximum(low, 0)])
+        return np.stack([high[i], have[j], low[i, j]], axis=1)
+
+    def exact(self, gap: int) -> tuple[int, ...]:
+        """The first single, else pair, else triple that fills the gap and is left often enough; () if there is none."""
+        for k in (1, 2, 3):
+            if (k, gap) not in self.index:
+                self.index[k, gap] = [self._combinations(k, gap), 0]
+            entry = self.index[k, gap]
+            found, passed = entry
+            while passed < len(found):
+                part = found[passed : passed + 512]
+                ok, need = np.ones(len(part), dtype=bool), np.ones(len(part), dtype=np.int64)
+                for c in range(k):
+                    need = need * (part[:, c] == part[:, c - 1]) + 1 if c else need
+                    ok &= self.left[part[:, c]] >= need
+                if ok.any():
+                    entry[1] = passed + int(ok.argmax())
+                    return tuple(found[entry[1]].tolist())
+                passed += len(part)
+            entry[1] = passed
+        return ()
 
 
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """Sequences for ``counts[length]`` pieces: (lengths in a sequence, number of such sequences). Every step uses up a length or half of it."""
-    lengths = Lengths(np.asarray(counts, dtype=np.int64))
-    capacity, left, out = lengths.capacity, lengths.left, []
+    left = np.array(counts, dtype=np.int64)
+    sums, capacity, out = Sums(left), len(left) - 1, []
     for top in range(capacity, 0, -1):
         while left[top]:
             inside, gap = [top], capacity - top
             left[top] -= 1
             while gap:
-                fill = lengths.exact(gap, top)
-                if fill is None:
-                    fit = np.flatnonzero(left[: min(gap, top) + 1])
+                fill = sums.exact(gap)
+                if not fill:  # the best fit of what is left
+                    fit = np.flatnonzero(left[: gap + 1])
                     fill = (int(fit[-1]),) if len(fit) else ()
                 if not fill:
                     break
