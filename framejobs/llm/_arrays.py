@@ -10,6 +10,7 @@ import zstandard
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
+_ODDS = (_ODD, 0xD6E8FEB86659FD93)
 _TABLES: dict[str, np.ndarray] = {}
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -29,33 +30,34 @@ def join_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * U64(_ODD) + b)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLES.get("pow", ())) < n:
+def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of one of two multipliers, and of its inverse."""
+    if len(_TABLES.get(f"pow{which}", ())) < n:
         size = max(1 << 18, 1 << n.bit_length())
         with np.errstate(over="ignore"):
-            for name, k in (("pow", _ODD), ("inv", pow(_ODD, -1, 1 << 64))):
+            for name, k in (("pow", _ODDS[which]), ("inv", pow(_ODDS[which], -1, 1 << 64))):
                 t = np.full(size, k, dtype=U64)
                 t[0] = 1
-                _TABLES[name] = np.cumprod(t)
-    return _TABLES["pow"], _TABLES["inv"]
+                _TABLES[f"{name}{which}"] = np.cumprod(t)
+    return _TABLES[f"pow{which}"], _TABLES[f"inv{which}"]
 
 
-#: A random 64-bit number for each byte value.
-BYTE_IDS = mix(np.arange(1, 257, dtype=U64), 7) | U64(1)
+#: A random 64-bit number for each byte value, for each multiplier.
+BYTE_IDS = [mix(np.arange(1, 257, dtype=U64), salt) | U64(1) for salt in (7, 8)]
 
 
-def prefixes(buf: np.ndarray) -> np.ndarray:
+def prefixes(buf: np.ndarray, which: int = 0) -> np.ndarray:
     """Polynomial prefix sums mod 2**64 of a byte array, one longer than it."""
-    power, _ = _powers(len(buf) + 1)
+    power, _ = _powers(len(buf) + 1, which)
     out = np.zeros(len(buf) + 1, dtype=U64)
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE_IDS[buf] * power[: len(buf)], out=out[1:])
+        np.cumsum(BYTE_IDS[which][buf] * power[: len(buf)], out=out[1:])
     return out
 
 
-def digests(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def digests(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit digests of the byte strings [start, end), from prefixes()."""
-    _, inverse = _powers(len(sums))
+    _, inverse = _powers(len(sums), which)
     with np.errstate(over="ignore"):
         return mix((sums[end] - sums[start]) * inverse[start])
 

@@ -24,11 +24,13 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 def in_batches(
     docs: DataFrame, doc_id: str, text: str, total: int, batch_bytes: int = BATCH_BYTES, carry: tuple[str, ...] = ()
 ) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text) dealt by batch, and the number of batches. Null texts become empty; ``carry`` columns come along in a struct ``rest``."""
+    """(batch, doc_id, text) dealt by batch, and the number of partitions: one for each batch, or, of more than 10,000 batches, for up to 32 of them.
+    Null texts become empty; ``carry`` columns come along in a struct ``rest``."""
     n = max(1, -(-total // batch_bytes))
     columns = [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
     cut = docs.select(*columns, *([F.struct(*carry).alias("rest")] if carry else []))
-    return cut.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "batch"), n
+    partitions = min(n, max(10_000, n // 32))
+    return cut.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(partitions, "batch"), partitions
 
 
 def bucket_bits(entries: int, per_bucket: int = BUCKET_ENTRIES) -> int:

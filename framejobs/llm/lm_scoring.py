@@ -106,7 +106,7 @@ def score_texts(
     the counts behind them. The order of the model is one more than the number of smoothing weights."""
     order = len(smoothing) + 1
     total = B.text_bytes(docs, text)
-    full, n_batches = B.in_batches(docs, doc_id, text, total, batch_bytes)
+    full, partitions = B.in_batches(docs, doc_id, text, total, batch_bytes)
     n_grams = max(1, total // 6 * len(smoothing))
     bits = B.bucket_bits(n_grams, bucket_entries)
     drop = A.U64(64 - min(64, max(bits + 8, 20 + n_grams.bit_length())))
@@ -213,11 +213,11 @@ def score_texts(
             "train_types": pa.array(np.full(len(out), v)), "base_score": pa.array(by_doc(arcs[0][word_of])), "score": pa.array(by_doc(score)),
         })
 
-    n_buckets = min(1 << bits, n_batches)
+    n_buckets = min(1 << bits, partitions)
     dealt = full.groupBy("batch").applyInArrow(ask, PACKED).repartition(n_buckets, "bucket").groupBy("bucket")
     sums = dealt.applyInArrow(totals, "train_tokens long, train_types long").agg(F.sum("train_tokens").alias("train_tokens"), F.sum("train_types").alias("train_types"))
     answers = dealt.applyInArrow(add_up, ANSWER).crossJoin(F.broadcast(sums))  # one row
-    return full.groupBy("batch").cogroup(answers.repartition(n_batches, "batch").groupBy("batch")).applyInArrow(finish, SCORES)
+    return full.groupBy("batch").cogroup(answers.repartition(partitions, "batch").groupBy("batch")).applyInArrow(finish, SCORES)
 
 
 def _table(rows: list[dict], ddl: str) -> pa.Table:

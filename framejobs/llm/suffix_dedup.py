@@ -1,17 +1,19 @@
 """Exact removal of repeated byte strings with a sparse, distributed suffix order (bucket-pointer refinement).
 
 Suffixes are sampled by content: of each window of ``min_len`` bytes, the one whose q-gram has the smallest digest (the first of equals). Equal
-windows sample the same suffix. The windows of one sampled suffix are a run of starts lo..hi. Buckets are refined in three steps:
+windows sample the same suffix. The windows of one sampled suffix are a run of starts lo..hi, at most ``min_len - q + 1`` of them.
 
-1. Initial buckets: the q-gram at the sampled suffix.
-2. A bucket is refined by the bucket identifiers at the later offsets of the run: the identifier of 2k bytes at p joins those of k bytes at p and
-   at p + k, recursively from q up to ``min_len``, and the identifiers at lo and hi name the whole run. All but the smallest (doc_id, start) of
-   equal runs go. Buckets with one run are finished.
-3. In buckets with several runs, the smallest of each run is refined to single windows, with the same identifiers; of equal windows all but the
-   smallest (doc_id, start) go.
+1. Initial buckets: the sampled suffixes, by the q-gram at them. Equal runs are merged: all but the smallest (doc_id, start) go, whole. Runs are told
+   apart by 96 bits of two digests of their bytes. Buckets that are left with one run are finished.
+2. The other buckets are refined, each in one task, from the bytes of their runs. Every offset gets a pointer to its bucket: first by the next 8
+   bytes. A bucket with several members is then sorted by the pointers at a later offset, 8 bytes on, and the pointers of its members are updated
+   to the buckets so made; the next refinement, 16 bytes on, uses the updated pointers of that offset, and so on, until a bucket holds the offsets
+   whose next ``min_len`` bytes are equal. Of those all but the smallest (doc_id, start) go. These comparisons are of the bytes themselves.
+3. A q-gram with more than ``crowd`` runs would be too much for one task. Such buckets are split by all later offsets at once: each window goes, by
+   96 bits of its digests, to the task of that digest.
 
-This is exact: equal windows lie in runs of one bucket, and equal runs have equal windows, so the smallest start of a window is in the smallest
-of some run. Identifiers are 64-bit digests that any task can compute without asking, so only the comparisons are shuffled (see _batches.py).
+This is exact: equal windows lie in runs of one bucket, and equal runs have equal windows, so the smallest start of a window is in the smallest of
+some run. Only runs and comparisons are shuffled (see _batches.py); the text is dealt once.
 
 Defined results: a null text is empty; a null doc_id is smaller than all others; rows with one doc_id are ordered by text and each is returned;
 texts shorter than ``min_len`` keep all bytes; an empty table gives an empty result; columns other than those named do not matter.
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +35,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from framejobs.llm import _arrays as A
 from framejobs.llm import _batches as B
 
+#: Text that is sampled at once; longer texts are sampled in overlapping pieces of this size.
 CHUNK_BYTES = 200_000
-PIECE_BYTES = 4_000_000
-PACKED = "bucket int, batch int, seg binary, seg_doc binary, gram binary, gram_tag binary"
-ANSWER = "batch int, bucket int, seg binary, gram binary, step int"
+#: Runs of a q-gram that one task refines, and bytes of runs that are refined at once.
+CROWD, REFINE_BYTES = 10_000, 1_500_000
+BATCH_BYTES, BUCKET_ENTRIES = 3_000_000, 500_000
+RUNS = "bucket int, batch int, seg binary, seg_low binary, seg_doc binary, gram binary, gram_tag binary, gram_n binary"
+ANSWER = "batch int, bucket int, seg binary, gram binary"
+REFINE = "bucket int, batch int, kind int, key binary, low binary, doc binary, at binary, size binary, bytes binary"
+COVERED = "batch int, start binary, length binary"
+SPANS, BYTES, WINDOWS = 0, 1, 2
 
 
 @dataclass
@@ -44,20 +53,10 @@ class Sample:
 
     gram: np.ndarray
     seg: np.ndarray
+    low: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     doc: np.ndarray
-    chunks: list[tuple[np.ndarray, np.ndarray]]  # of each piece of text: q-gram identifiers, and where its suffixes end
-
-
-def _window_ids(grams: np.ndarray, at: np.ndarray, length: int, q: int) -> np.ndarray:
-    """Identifiers of ``length`` bytes at each offset, from the identifiers at later offsets of half that length, down to q."""
-    if length == q:
-        return grams[at]
-    half = q
-    while half * 2 < length:
-        half *= 2
-    return A.join_ids(_window_ids(grams, at, half, q), _window_ids(grams, at + (length - half), half, q))
 
 
 def _smallest(x: np.ndarray, w: int) -> np.ndarray:
@@ -69,15 +68,16 @@ def _smallest(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - s)], x[w - s :]) if w > s else x
 
 
+def _names(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for each byte string [start, end)."""
+    return A.digests(A.prefixes(buf), start, end), A.digests(A.prefixes(buf, 1), start, end, 1) >> A.U64(32)
+
+
 def _sample(texts: list[bytes], n: int, q: int) -> Sample:
     found: list[tuple] = []
-    chunks: list[tuple[np.ndarray, np.ndarray]] = []
-    total = 0
 
     def take(pieces: list[tuple[int, int, bytes]]) -> None:
         buf = np.frombuffer(b"".join(p[2] for p in pieces), dtype=np.uint8)
-        if len(buf) < n:
-            return
         sizes = np.array([len(p[2]) for p in pieces])
         ends = np.cumsum(sizes)
         start = np.arange(len(buf) - q + 1)
@@ -86,22 +86,18 @@ def _sample(texts: list[bytes], n: int, q: int) -> Sample:
         least = (_smallest(packed, n - q + 1) & A.U64(0xFFFFFF)).astype(np.int64)
         piece = np.repeat(np.arange(len(pieces)), sizes)[: len(least)]
         p = np.flatnonzero(np.arange(len(least)) + n <= ends[piece])
-        if not len(p):
-            return
         least, piece = least[p], piece[p]
         at = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (piece[1:] != piece[:-1]))))
         lo, hi, piece = p[at], p[np.append(at[1:], len(p)) - 1], piece[at]
-        seg = A.join_ids(_window_ids(grams, lo, n, q), _window_ids(grams, hi, n, q))
         shift = np.array([p[1] for p in pieces]) - (ends - sizes)
         doc = np.array([p[0] for p in pieces])
-        found.append((grams[least[at]], seg, lo + shift[piece], hi + shift[piece], doc[piece], lo, hi))
-        chunks.append((grams, lo))
+        found.append((grams[least[at]], *_names(buf, lo, hi + n), lo + shift[piece], hi + shift[piece], doc[piece]))
 
     room: list[tuple[int, int, bytes]] = []
-    size = 0
+    size = total = 0
     for k, text in enumerate(texts):
-        for s in range(0, max(1, len(text)), PIECE_BYTES):
-            part = text[s : s + PIECE_BYTES + n - 1]
+        for s in range(0, max(1, len(text)), CHUNK_BYTES):
+            part = text[s : s + CHUNK_BYTES + n - 1]
             if len(part) >= n:
                 room.append((k, total + s, part))
                 size += len(part)
@@ -113,9 +109,8 @@ def _sample(texts: list[bytes], n: int, q: int) -> Sample:
         take(room)
     if not found:
         none = np.empty(0, dtype=np.int64)
-        return Sample(none.astype(A.U64), none.astype(A.U64), none, none, none, [])
-    gram, seg, lo, hi, doc = (np.concatenate([f[i] for f in found]) for i in range(5))
-    return Sample(gram, seg, lo, hi, doc, chunks)
+        return Sample(*[none.astype(A.U64)] * 3, *[none] * 3)
+    return Sample(*(np.concatenate([f[i] for f in found]) for i in range(6)))
 
 
 def _load(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -129,107 +124,210 @@ def _load(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return (key.view(A.U64) ^ A.U64(1 << 63))[order], [texts[i] for i in order], order
 
 
+def _named(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts names of 96 bits: the order, equal ones as they stand, and where in it a new name begins."""
+    order = np.argsort(high, kind="stable")
+    h, x = high[order], low[order]
+    if ((h[1:] == h[:-1]) & (x[1:] != x[:-1])).any():
+        order = np.lexsort((low, high))
+        h, x = high[order], low[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
+    return order, np.flatnonzero(new)
+
+
 @dataclass
 class Classes:
-    """Equal runs of a batch: identifiers in ascending order, the first sampled suffix of each, and the grams with their runs' tags."""
+    """Equal runs of a batch by ascending name: the first sampled suffix of each, and the buckets with what tells their runs apart."""
 
-    keys: np.ndarray
     first: np.ndarray
     number: np.ndarray  # of each sampled suffix
-    grams: np.ndarray
-    tags: np.ndarray
+    grams: np.ndarray  # distinct, ascending
+    tags: np.ndarray  # 40 bits of the only run's name; 0 if there are several
+    runs: np.ndarray  # their number
     gram: np.ndarray  # of each class
 
 
 def _classes(s: Sample) -> Classes:
-    keys, first, number = np.unique(s.seg, return_index=True, return_inverse=True)
-    tags = (keys & A.U64(0xFFFFFFFF)) | A.U64(1)
-    grams, gram = np.unique(s.gram[first], return_inverse=True)
-    order = np.argsort(gram, kind="stable")
-    at = A.runs(gram[order])
-    if len(order):
-        low, high = np.minimum.reduceat(tags[order], at), np.maximum.reduceat(tags[order], at)
-        tags = np.where(low == high, low, A.U64(0))
-    return Classes(keys, first, number, grams, tags, gram)
-
-
-def _rows(batch: int, bits: int, keys: np.ndarray, docs: np.ndarray, grams: np.ndarray, tags: np.ndarray) -> pa.Table:
-    parts: dict[int, dict] = {}
-    for (buckets, cuts), names, columns in (
-        (A.bucket_cuts(keys, bits), ("seg", "seg_doc"), (keys, docs)),
-        (A.bucket_cuts(grams, bits), ("gram", "gram_tag"), (grams, tags)),
-    ):
-        for k, b in enumerate(buckets.tolist()):
-            row = parts.setdefault(b, {"bucket": b, "batch": batch})
-            row[names[0]] = A.pack(columns[0][cuts[k] : cuts[k + 1]], ascending=True)
-            row[names[1]] = A.pack(columns[1][cuts[k] : cuts[k + 1]])
-    names = ["bucket", "batch", "seg", "seg_doc", "gram", "gram_tag"]
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
-    return pa.table([pa.array([r.get(n) for r in parts.values()], kind) for n, kind in zip(names, kinds, strict=True)], names=names)
+    order, at = _named(s.seg, s.low)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+    first = order[at]
+    grams, one, gram, n = np.unique(A.mix(s.gram[first]), return_index=True, return_inverse=True, return_counts=True)  # mixed anew: minima crowd at small values
+    tags = np.where(n == 1, s.seg[first][one] >> A.U64(24) | A.U64(1), A.U64(0))
+    return Classes(first, number, grams, tags, n, gram)
+
+
+def _table(rows: list[dict], ddl: str) -> pa.Table:
+    fields = [f.split() for f in ddl.split(", ")]
+    return pa.table([pa.array([r.get(n) for r in rows], pa.int32() if k == "int" else pa.binary()) for n, k in fields], names=[n for n, _ in fields])
 
 
-def _compare(step: int):
-    """In a bucket: which keys of each batch have a smaller document elsewhere, and which grams have more than one run."""
+def _merge_runs(crowd: int):
+    """In a bucket of step 1: which runs of each batch an earlier document has too, and which q-grams have several runs (1) or a crowd of them (2)."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        answers = [{"batch": r["batch"], "bucket": r["bucket"], "step": step} for r in rows]
-        for key, value, test in (("seg", "seg_doc", "later"), ("gram", "gram_tag", "several")):
-            keys = [A.unpack(r[key], ascending=True) for r in rows]
-            sizes = [len(k) for k in keys]
-            if not sum(sizes):
-                continue
-            joined, values = np.concatenate(keys), np.concatenate([A.unpack(r[value]) for r in rows])
+        answers = [{"batch": a, "bucket": b} for a, b in zip(table.column("batch").to_pylist(), table.column("bucket").to_pylist(), strict=True)]
+        column = lambda name, ascending=False: [A.unpack(x.as_py(), ascending) for x in table.column(name)]
+
+        def answer(name: str, values: np.ndarray, sizes: list[int]) -> None:
+            for a, part in zip(answers, np.split(values, np.cumsum(sizes)[:-1]), strict=True):
+                a[name] = A.pack(part)
+
+        keys = column("seg", True)
+        sizes = [len(k) for k in keys]
+        if sum(sizes):
+            order, at = _named(np.concatenate(keys), np.concatenate(column("seg_low")))
+            docs = np.concatenate(column("seg_doc"))[order]
+            least = np.minimum.reduceat(docs, at)
+            seen = np.empty(len(order), dtype=np.uint8)
+            seen[order] = docs > np.repeat(least, np.diff(np.append(at, len(order))))
+            answer("seg", seen, sizes)
+        keys = column("gram", True)
+        sizes = [len(k) for k in keys]
+        if sum(sizes):
+            joined = np.concatenate(keys)
             order = np.argsort(joined, kind="stable")
             at = A.runs(joined[order])
-            low = np.minimum.reduceat(values[order], at)
-            if test == "several":
-                low = (np.maximum.reduceat(values[order], at) != low) | (low == 0)
-            each = np.repeat(low, np.diff(np.append(at, len(order))))
-            out = np.empty(len(order), dtype=bool)
-            out[order] = values[order] > each if test == "later" else each
-            for answer, bits in zip(answers, np.split(out, np.cumsum(sizes)[:-1]), strict=True):
-                answer[key] = A.pack_bits(bits) if len(bits) else None
-        names, kinds = ["batch", "bucket", "seg", "gram", "step"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32()]
-        return pa.table([pa.array([a.get(n) for a in answers], k) for n, k in zip(names, kinds, strict=True)], names=names)
+            tags, n = np.concatenate(column("gram_tag"))[order], np.concatenate(column("gram_n"))[order].astype(np.int64)
+            low, high = np.minimum.reduceat(tags, at), np.maximum.reduceat(tags, at)
+            several = ((low != high) | (low == 0)).astype(np.uint8)
+            several[(several > 0) & (np.add.reduceat(n, at) > crowd)] = 2
+            out = np.empty(len(order), dtype=np.uint8)
+            out[order] = np.repeat(several, np.diff(np.append(at, len(order))))
+            answer("gram", out, sizes)
+        return _table(answers, ANSWER)
 
     return run
 
 
-def _answered(rows: list[dict], step: int, column: str, keys: np.ndarray, bits: int) -> np.ndarray:
+def _answered(rows: list[dict], column: str, keys: np.ndarray, bits: int) -> np.ndarray:
     """The answers of all buckets in the order of the keys."""
-    got = {r["bucket"]: r[column] for r in rows if r["step"] == step}
-    buckets, cuts = A.bucket_cuts(keys, bits)
-    parts = [A.unpack_bits(got[b], cuts[k + 1] - cuts[k]) for k, b in enumerate(buckets.tolist())]
-    return np.concatenate(parts) if parts else np.empty(0, dtype=bool)
-
-
-def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All starts of runs, and the run of each."""
-    size = hi - lo + 1
-    run = np.repeat(np.arange(len(lo)), size)
-    return np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + lo[run], run
-
-
-def _windows(s: Sample, wanted: np.ndarray, n: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Identifiers, starts and documents of the windows of the wanted runs, in document order."""
-    ids, starts, docs, done = [], [], [], 0
-    for grams, local in s.chunks:
-        here = np.arange(done, done + len(local))
-        k = np.flatnonzero(wanted[here])
-        done += len(local)
-        if len(k):
-            p, run = _expand(s.lo[here[k]], s.hi[here[k]])
-            ids.append(_window_ids(grams, p - s.lo[here[k]][run] + local[k][run], n, q))
-            starts.append(p)
-            docs.append(s.doc[here[k]][run])
-    none = np.empty(0, dtype=np.int64)
-    return (np.concatenate(ids), np.concatenate(starts), np.concatenate(docs)) if ids else (none.astype(A.U64), none, none)
+    got = {r["bucket"]: r[column] for r in rows}
+    buckets, _ = A.bucket_cuts(keys, bits)
+    parts = [A.unpack(got[b]) for b in buckets.tolist()]
+    return np.concatenate(parts).astype(np.int8) if parts else np.empty(0, dtype=np.int8)
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the strings [start, start + size), one after the other, and the string of each."""
+    of = np.repeat(np.arange(len(start)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[of], of
+
+
+def _covered(start: np.ndarray, end: np.ndarray) -> dict:
+    """Intervals, merged and packed."""
+    if not len(start):
+        return {}
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    start = start[new]
+    return {"start": A.pack(start, ascending=True), "length": A.pack(reach[np.append(new[1:], len(reach)) - 1] - start)}
+
+
+def refined(buf: np.ndarray, n: int) -> np.ndarray:
+    """For each offset of a byte array, a pointer to the bucket of the offsets with the same next n bytes, by bucket-pointer refinement.
+
+    Pointers of the last n - 1 offsets mean nothing.
+    """
+    size, depth = len(buf), min(8, n)
+    padded = np.append(buf, np.zeros(8, dtype=np.uint8))
+    first = np.ndarray((size,), dtype=">u8", buffer=padded, strides=(1,)).astype(A.U64) >> A.U64(8 * (8 - depth))
+    pointer = np.empty(size, dtype=np.int64)
+    order = np.argsort(first, kind="stable")
+    at = A.runs(first[order])
+    many = np.diff(np.append(at, size))
+    pointer[order] = np.repeat(at, many)
+    active = order[np.repeat(many > 1, many)]  # members of buckets with several
+    while depth < n and len(active):
+        later = min(depth, n - depth)
+        active = active[active + later < size]
+        key = pointer[active] << 32 | pointer[active + later]
+        order = np.argsort(key, kind="stable")
+        active, key = active[order], key[order]
+        at = A.runs(key)
+        many = np.diff(np.append(at, len(key)))
+        bucket = key >> 32
+        old = A.runs(bucket)
+        inside = np.repeat(at, many) - np.repeat(old, np.diff(np.append(old, len(key))))
+        pointer[active] = bucket + inside
+        active = active[np.repeat(many > 1, many)]
+        depth += later
+    return pointer
+
+
+def _later(bucket: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of the members of each bucket, all but the one with the smallest (doc, at)."""
+    order = np.lexsort((at, doc, bucket))
+    out = np.ones(len(bucket), dtype=bool)
+    out[order[A.runs(bucket[order])]] = False
+    return out
+
+
+def _refine(n: int):
+    """In a bucket of step 2: what windows of each batch occur earlier, as covered intervals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds, out = table.column("kind").to_numpy(), []
+        batches = table.column("batch").to_numpy()
+        for i in np.flatnonzero(kinds == SPANS).tolist():
+            out.append({"batch": int(batches[i]), "start": table.column("at")[i].as_py(), "length": table.column("size")[i].as_py()})
+        for kind, of in ((BYTES, _refine_bytes), (WINDOWS, _refine_windows)):
+            rows = np.flatnonzero(kinds == kind)
+            if len(rows):
+                part = table.take(pa.array(rows))
+                source, start = of(part, n)
+                for k in np.unique(source).tolist():
+                    mine = start[source == k]
+                    out.append({"batch": int(batches[rows[k]])} | _covered(mine, mine + n))
+        return _table(out, COVERED)
+
+    return run
+
+
+def _columns(table: pa.Table, *names: str) -> tuple[list[np.ndarray], np.ndarray]:
+    parts = [[A.unpack(x.as_py()) for x in table.column(name)] for name in names]
+    return [np.concatenate(p) for p in parts], np.repeat(np.arange(table.num_rows), [len(x) for x in parts[0]])
+
+
+def _refine_windows(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    (high, low, doc, at), source = _columns(table, "key", "low", "doc", "at")
+    at = at.astype(np.int64)
+    order, new = _named(high, low)
+    bucket = np.empty(len(order), dtype=np.int64)
+    bucket[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+    later = _later(bucket, doc, at)
+    return source[later], at[later]
+
+
+def _refine_bytes(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    (gram, doc, at, size), source = _columns(table, "key", "doc", "at", "size")
+    at, size = at.astype(np.int64), size.astype(np.int64)
+    buf = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x.as_py()) for x in table.column("bytes")), dtype=np.uint8)
+    where = np.cumsum(size) - size
+    order = np.argsort(gram, kind="stable")
+    new = A.runs(gram[order])
+    sums = np.add.reduceat(size[order], new)
+    found, starts = [], []
+    k = 0
+    while k < len(new):  # some buckets at a time
+        e = max(k + 1, int(np.searchsorted(np.cumsum(sums[k:]), REFINE_BYTES, side="right")) + k)
+        runs = order[new[k] : new[e] if e < len(new) else len(order)]
+        k = e
+        joined, _ = _spread(where[runs], size[runs])
+        pointer = refined(buf[joined], n)
+        p, run = _spread(np.cumsum(size[runs]) - size[runs], size[runs] - n + 1)
+        start = p - (np.cumsum(size[runs]) - size[runs])[run] + at[runs][run]
+        later = _later(pointer[p], doc[runs][run], start)
+        found.append(source[runs][run][later])
+        starts.append(start[later])
+    return np.concatenate(found), np.concatenate(starts)
 
 
 def find_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = 100, carry: tuple[str, ...] = (), with_text: bool = False,
-    batch_bytes: int = B.BATCH_BYTES, bucket_entries: int = B.BUCKET_ENTRIES,
+    batch_bytes: int = BATCH_BYTES, bucket_entries: int = BUCKET_ENTRIES, crowd: int = CROWD,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed run, in bytes).
 
@@ -238,54 +336,86 @@ def find_repeats(
     """
     q = min(32, max(1, min_len // 3))
     total = B.text_bytes(docs, text)
-    full, n_batches = B.in_batches(docs, doc_id, text, total, batch_bytes, carry)
-    bits = B.bucket_bits(total // max(1, (min_len - q) // 2) * 2, bucket_entries)
+    full, partitions = B.in_batches(docs, doc_id, text, total, batch_bytes, carry)
+    bits = B.bucket_bits(total // max(1, (min_len - q) // 2), bucket_entries)
 
     def ask(table: pa.Table) -> pa.Table:
         ids, texts, _ = _load(table)
         s = _sample(texts, min_len, q)
         c = _classes(s)
-        return _rows(table.column("batch")[0].as_py(), bits, c.keys, ids[s.doc[c.first]], c.grams, c.tags)
-
-    def opened(s: Sample, c: Classes, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        """Which sampled suffixes go whole, and which are refined to windows."""
-        seen = _answered(rows, 1, "seg", c.keys, bits)
-        several = _answered(rows, 1, "gram", c.grams, bits)
-        leads = np.zeros(len(s.seg), dtype=bool)
-        leads[c.first] = True
-        gone = seen[c.number] | ~leads
-        return gone, ~gone & several[c.gram][c.number]
-
-    def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = np.empty(0, dtype=A.U64)
+        batch, rows = table.column("batch")[0].as_py(), {}
+        columns = {"seg": (s.seg[c.first], {"seg_low": s.low[c.first], "seg_doc": ids[s.doc[c.first]]}), "gram": (c.grams, {"gram_tag": c.tags, "gram_n": c.runs})}
+        for name, (keys, more) in columns.items():
+            buckets, cuts = A.bucket_cuts(keys, bits)
+            for k, b in enumerate(buckets.tolist()):
+                row = rows.setdefault(b, {"bucket": b, "batch": batch})
+                row[name] = A.pack(keys[cuts[k] : cuts[k + 1]], ascending=True)
+                row |= {m: A.pack(v[cuts[k] : cuts[k + 1]]) for m, v in more.items()}
+        return _table(list(rows.values()), RUNS)
+
+    def ask_again(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _rows(0, bits, none, none, none, none)
+            return _table([], REFINE)
         ids, texts, _ = _load(left)
         s = _sample(texts, min_len, q)
-        _, wanted = opened(s, _classes(s), right.to_pylist())
-        keys, _, of = _windows(s, wanted, min_len, q)
-        keys, first = np.unique(keys, return_index=True)
-        return _rows(left.column("batch")[0].as_py(), bits, keys, ids[of[first]], none, none)
+        c = _classes(s)
+        answers = right.to_pylist()
+        seen = _answered(answers, "seg", s.seg[c.first], bits)
+        several = _answered(answers, "gram", c.grams, bits)[c.gram]
+        gone = seen[c.number] > 0
+        leads = np.zeros(len(s.seg), dtype=bool)
+        leads[c.first] = True
+        gone |= ~leads
+        batch = left.column("batch")[0].as_py()
+        spans = _covered(s.lo[gone], s.hi[gone] + min_len)
+        rows = [{"bucket": batch % (1 << bits), "batch": batch, "kind": SPANS, "at": spans["start"], "size": spans["length"]}] if spans else []
+        joined = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        # Buckets of several runs, with their bytes.
+        wanted = np.flatnonzero((several == 1) & (seen == 0))
+        wanted = wanted[np.argsort(c.gram[wanted], kind="stable")]
+        mine, keys = c.first[wanted], c.grams[c.gram[wanted]]
+        buckets, cuts = A.bucket_cuts(keys, bits)
+        for k, b in enumerate(buckets.tolist()):
+            part = mine[cuts[k] : cuts[k + 1]]
+            size = s.hi[part] + min_len - s.lo[part]
+            data = zstandard.ZstdCompressor(level=1).compress(joined[_spread(s.lo[part], size)[0]].tobytes())
+            rows.append({"bucket": b, "batch": batch, "kind": BYTES, "key": A.pack(keys[cuts[k] : cuts[k + 1]]), "bytes": data}
+                        | {"doc": A.pack(ids[s.doc[part]]), "at": A.pack(s.lo[part]), "size": A.pack(size)})
+        # Crowded buckets, by windows.
+        crowded = np.sort(c.first[(several == 2) & (seen == 0)])
+        parts = []
+        for part in np.array_split(crowded, -(-len(crowded) // 2_000)) if len(crowded) else ():
+            size = s.hi[part] + min_len - s.lo[part]
+            own = np.cumsum(size) - size
+            p, run = _spread(own, size - min_len + 1)
+            high, low = _names(joined[_spread(s.lo[part], size)[0]], p, p + min_len)
+            parts.append((high, low, ids[s.doc[part]][run], p - own[run] + s.lo[part][run]))
+        if parts:
+            high, low, doc, at = (np.concatenate([x[i] for x in parts]) for i in range(4))
+            order, new = _named(high, low)  # starts ascend, so that the first of equals is the smallest
+            again = np.ones(len(order), dtype=bool)
+            again[order[new]] = False
+            spans = _covered(at[again], at[again] + min_len)
+            if spans:
+                rows.append({"bucket": batch % (1 << bits), "batch": batch, "kind": SPANS, "at": spans["start"], "size": spans["length"]})
+            first = order[new]
+            buckets, cuts = A.bucket_cuts(high[first], bits)
+            for k, b in enumerate(buckets.tolist()):
+                part = first[cuts[k] : cuts[k + 1]]
+                rows.append({"bucket": b, "batch": batch, "kind": WINDOWS, "key": A.pack(high[part]), "low": A.pack(low[part]), "doc": A.pack(doc[part]), "at": A.pack(at[part])})
+        return _table(rows, REFINE)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out_schema_arrow.empty_table()
         _, texts, order = _load(left)
-        s = _sample(texts, min_len, q)
-        rows = right.to_pylist()
-        gone, wanted = opened(s, _classes(s), rows)
-        keys, starts, _ = _windows(s, wanted, min_len, q)
-        unique, first, number = np.unique(keys, return_index=True, return_inverse=True)
-        later = np.ones(len(keys), dtype=bool)
-        later[first] = False
-        later |= _answered(rows, 2, "seg", unique, bits)[number]
-        size = sum(map(len, texts))
-        turn = np.zeros(size + 1, dtype=np.int32)
-        for start, end in ((s.lo[gone], s.hi[gone] + min_len), (starts[later], starts[later] + min_len)):
+        turn = np.zeros(sum(map(len, texts)) + 1, dtype=np.int32)
+        for r in right.to_pylist():
+            start = A.unpack(r["start"], ascending=True).astype(np.int64)
             np.add.at(turn, start, 1)
-            np.add.at(turn, end, -1)
+            np.add.at(turn, start + A.unpack(r["length"]).astype(np.int64), -1)
         covered = np.cumsum(turn[:-1], dtype=np.int32) > 0
-        del turn, keys, number
+        del turn
         out, at = [], 0
         for t in texts:
             mask = covered[at : at + len(t)]
@@ -310,11 +440,11 @@ def find_repeats(
     out_schema = T.StructType(out_schema.fields + T.StructType.fromDDL(fields).fields)
     out_schema_arrow = to_arrow_schema(out_schema)
     deal = lambda df, key, k: df.repartition(k, key).groupBy(key)
-    n_buckets = min(1 << bits, max(n_batches, 1))
-    answers = deal(full.groupBy("batch").applyInArrow(ask, PACKED), "bucket", n_buckets).applyInArrow(_compare(1), ANSWER)
-    windows = full.groupBy("batch").cogroup(deal(answers, "batch", n_batches)).applyInArrow(ask_windows, PACKED)
-    more = deal(windows, "bucket", n_buckets).applyInArrow(_compare(2), ANSWER)
-    return full.groupBy("batch").cogroup(deal(answers.unionByName(more), "batch", n_batches)).applyInArrow(finish, out_schema)
+    n_buckets = min(1 << bits, partitions)
+    answers = deal(full.groupBy("batch").applyInArrow(ask, RUNS), "bucket", n_buckets).applyInArrow(_merge_runs(crowd), ANSWER)
+    more = full.groupBy("batch").cogroup(deal(answers, "batch", partitions)).applyInArrow(ask_again, REFINE)
+    covered = deal(more, "bucket", n_buckets).applyInArrow(_refine(min_len), COVERED)
+    return full.groupBy("batch").cogroup(deal(covered, "batch", partitions)).applyInArrow(finish, out_schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
