@@ -1,23 +1,26 @@
-"""Connected components of a link table by alternating stars, one shuffle for each star."""
+"""Connected components of a link table by alternating stars. Nodes with very many links do not land in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framejobs.llm._joins import join_frequent
 
-def _large_star(e: DataFrame) -> DataFrame:
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     """Each node links its larger neighbours to its smallest one."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+    return join_frequent(both, least, "a", "n", 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     """Each node links its smaller neighbours, and itself, to the smallest of them."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = join_frequent(down, least, "a", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,10 +30,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
-        e = _small_star(_large_star(e)).checkpoint()
+        e = _small_star(_large_star(e, now[0]), now[0]).checkpoint()
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framejobs.llm import _arrays as A
+from framejobs.llm._joins import join_frequent
 from framejobs.llm._session import with_checkpoints
 from framejobs.llm.components import components
 
@@ -57,15 +58,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp), fp as a signed long."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp), fp as a signed long, and the ``carry`` columns in a struct ``rest``."""
+    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    kept = [c for c in cut.columns if c != "text"]
 
     def run(batches):
         for b in batches:
             fp = [fingerprint(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fp, pa.int64())], names=[*kept, "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return cut.mapInArrow(run, cut.select(kept).schema.add("fp", "long"))
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -99,7 +102,7 @@ def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the few rows become many, which small partitions merged would not carry
     keys = fps.repartition(tasks, "fp").select("fp", F.explode(_half_keys(F.col("fp"), radius)).alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1")
-    met = keys.join(shared, "key").checkpoint()
+    met = join_frequent(keys, shared, "key", "count", fps.count() * 2 * len(ball(32, radius // 2 // 2))).checkpoint()
 
     def verify(batches):
         for b in batches:
@@ -114,22 +117,28 @@ def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame
     masks = F.array(*(F.lit(m).cast("long") for m in ball(64, radius // 2)))
     variants = crowd.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     least = variants.groupBy("variant").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    stars = variants.join(least, "variant").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = join_frequent(variants, least, "variant", "n", crowd.count() * len(ball(64, radius // 2))).filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
     return found.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, dense: int = DENSE) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that can be reached)."""
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, dense: int = DENSE, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that can be reached) and root, the smallest
+    fingerprint of the component as a signed long, which tells components apart where their ids do not. ``carry``: columns that come along in a
+    struct ``rest``."""
     if radius % 4:
         raise ValueError("the radius must be a multiple of 4: half of it is halved again between the two halves of a fingerprint")
     with_checkpoints(docs.sparkSession)
-    each = fingerprints(docs, doc_id, text, shingle).checkpoint()
-    classes = each.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
+    each = fingerprints(docs, doc_id, text, shingle, carry).checkpoint()
+    classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).checkpoint()
     roots = components(links(classes.select("fp"), radius, dense))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")).checkpoint()
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_frequent(rooted.drop("least"), least, "root", "members", classes.count()).select("fp", "n", "root", "component_id")
+    out = join_frequent(each, named, "fp", "n", each.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *(["rest"] if carry else []))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("root")

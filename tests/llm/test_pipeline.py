@@ -28,6 +28,7 @@ def tables(spark, folder):
         rows.append((k, t, "en", "src", len(t)))
         labels.append((k, 1, int("wexilbad" in t)))
     rows += [(500, None, None, None, None), (501, "", "en", None, 0), (502, "", "en", "x", 0), (3, rows[3][1], "en", "src", 5), (None, say(30), "en", "y", 1)]
+    rows += [(4, rows[2][1], "en", "z", 2), (600, "a b c d e f", "en", "z", 2), (600, "quite another text of its own", "en", "z", 2)]  # one id, unlike texts
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", P.F.lit(1))
     d.repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -55,7 +56,10 @@ def test_stages_one_by_one(spark, tmp_path):
         elif name == "near_dedup":
             ids, fps = [i for i, _ in before], [plain_fingerprint(t) for _, t in before]
             least = plain_components(ids, fps, 4)
-            assert sorted(after, key=str) == sorted({(i, t) for (i, t), c in zip(before, least, strict=True) if i is None or i == c}, key=str)
+            # rows with one id and unlike texts: those of a group whose least id it is
+            kept = sorted(after, key=str)
+            assert kept == sorted({(i, t) for (i, t), c in zip(before, least, strict=True) if i is None or i == c}, key=str)
+            assert [t for i, t in kept if i == 4] == [rows[4][1]] and {t for i, t in kept if i == 600} == {"a b c d e f", "quite another text of its own"}
         elif name == "suffix_dedup":
             import hashlib
 
@@ -69,6 +73,21 @@ def test_stages_one_by_one(spark, tmp_path):
             lengths = defaultdict(int)
             for r in docs.collect():
                 lengths[r.doc_id] += r.length
-            assert lengths == {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in before}
+            want = defaultdict(int)
+            for i, t in before:
+                want[i] += len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+            assert lengths == want
     whole = P.run(spark, folder)
     assert sorted(whole.drop("sequence_id", "offset").collect(), key=str) == sorted(docs.drop("sequence_id", "offset").collect(), key=str)
+
+
+def test_empty_tables_and_long_texts(spark, tmp_path):
+    r = random.Random(5)
+    long = [(k, " ".join(r.choice("abcdefgh") * r.randint(1, 6) for _ in range(60_000)), "en", "s", 1) for k in range(2)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("long", long), ("none", [])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        assert {p.doc_id for p in P.run(spark, folder).collect()} == {k for k, *_ in rows}

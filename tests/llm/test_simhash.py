@@ -82,3 +82,13 @@ def test_long_chain_and_empty(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     assert {(r.node, r.root) for r in components(e).collect()} == {(k, 0) for k in range(201)} | {(500, 500), (501, 500)}
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_frequent_keys_join_as_others_do(spark):
+    from framejobs.llm._joins import join_frequent
+
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(300)] + [(None, 1), (50, 2)], "k long, v long").repartition(4)
+    one = rows.filter("k <> 50").groupBy("k").count().selectExpr("k", "count", "k * 10 as ten")
+    want = sorted((r.k, r.v, r.ten) for r in rows.join(one, "k").collect())
+    for hot_keys in (1, 3, 5, 10_000):
+        assert sorted((r.k, r.v, r.ten) for r in join_frequent(rows, one, "k", "count", 302, hot_keys).collect()) == want
