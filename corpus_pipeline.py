@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framejobs.llm._joins import join_frequent
 from framejobs.llm._session import new_folder, with_checkpoints
 from framejobs.llm.decontamination import find_contaminated
 from framejobs.llm.packing import pack_documents
@@ -33,14 +34,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each group whose id is the smallest; repeated rows of it are merged."""
-    classes = near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n")).checkpoint()
-    kept = docs.select(*COLUMNS).join(classes.filter("doc_id <> least").select("doc_id"), "doc_id", "left_anti")
-    repeated = classes.filter("doc_id = least and n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept.select(*COLUMNS)
-    once = kept.join(repeated, "doc_id").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    """Of each group one row: that with the smallest doc_id, of unlike texts with that id the one with the smallest hash, of equal ones any one, with
+    the smallest other columns. Rows are told apart by id and text, so two texts with one id are decided each by its own group."""
+    key = ["doc_id", "text_key"]
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    rows = near_duplicates(keyed, carry=("text_key",)).filter("doc_id is not null").groupBy("doc_id", "rest.text_key", "root").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(*key, "n")).alias("row")).select("row.*").checkpoint()
+    named = keyed.filter("doc_id is not null")
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    out = join_frequent(named, kept.filter("n = 1"), key, "n", total).select(*COLUMNS)
+    repeated = kept.filter("n > 1")
+    if not repeated.isEmpty():
+        once = join_frequent(named, repeated, key, "n", total).groupBy(*key).agg(F.min("text").alias("text"), F.min(F.struct(*CARRY)).alias("rest"))
+        out = out.unionByName(_columns(once))
+    return out.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
