@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
-There are two Zstandard dictionaries: one trained on windows of ordinary text, and one that extends it by a list of selected strings, those that toxic
-documents have more often than chance allows and hardly any ordinary one has. A dictionary trained on toxic text alone finds far less (README). A text is cut into short windows at white space, in three phases, and each window is compressed with both. What the
-toxic dictionary saves is the window's distance; where ordinary text is alike the dictionaries are too, so that the distance is zero and noise small.
-How often a distance occurs in toxic and in ordinary documents gives its evidence, and a logistic curve fitted on labelled documents that
+Two Zstandard dictionaries are trained, each by its own call: one on windows of ordinary text, and one on toxic text, on what the ordinary dictionary
+leaves over of it: the strings none of whose six bytes in a row are in that dictionary. (Trained on toxic text as it stands, it would mostly hold
+ordinary language once more, and differ from the other by chance; figures in the README.) A text is cut into short windows at white space, in three
+phases. Each window is compressed with the ordinary dictionary alone and with the toxic one laid over it; what the toxic one saves is the window's
+distance. How often a distance occurs in toxic and in ordinary documents gives its evidence, and a logistic curve fitted on labelled documents that
 the dictionaries have not seen turns the evidence of all windows into a calibrated score.
 
 Only fitting is bounded: about ``per_class`` labelled documents of each class, twice as many at most, none over ``longest`` bytes, chosen by a hash of
@@ -34,11 +35,9 @@ from framejobs.llm._session import hash_sample
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PER_CLASS, LONGEST, SAMPLES = 3000, 20_000, 200_000
 WINDOW, PHASES, LEVEL, GRAM = 80, 3, 3, 6
-BASE_BYTES = 100_000
-#: A gram is typical if its share of the toxic documents is this many times that of the ordinary ones, and is so by chance for less than this
-#: number of all grams. How rare it may be follows from the samples: 17 of 789 toxic documents on check_s.
-LIFT, CHANCE = 15, 0.01
-REACH = 16
+#: Bytes of the dictionaries, and of the shortest string that is left over.
+BASE_BYTES, TOXIC_BYTES, SHORTEST = 100_000, 896, 8
+REACH, CLIP = 24, 12.0
 _WINDOWS = re.compile(rb"[\s\S]{1,%d}(?:(?=[ \n\t])|\Z)|[\s\S]{1,%d}" % (WINDOW, WINDOW))
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -81,50 +80,39 @@ def _compressor(content: bytes):
 
 def distances(text: bytes, base: bytes, toxic: bytes) -> np.ndarray:
     """What the toxic dictionary saves in each window, in bytes."""
-    a, b = _compressor(base), _compressor(toxic)
+    a, b = _compressor(base), _compressor(base + toxic)
     return np.array([len(a(w)) - len(b(w)) for w in windows(text)], dtype=np.int64)
 
 
 def _grams(text: bytes) -> np.ndarray:
-    """The distinct strings of GRAM bytes, as numbers, at each offset."""
+    """The strings of GRAM bytes, as numbers, at each offset."""
     x = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
     n = len(x) - GRAM + 1
     return sum((x[k : n + k] << np.uint64(8 * k) for k in range(GRAM)), np.zeros(max(n, 0), np.uint64)) if n > 0 else np.empty(0, np.uint64)
 
 
-def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams and the number of texts that have them."""
-    grams, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for s in range(0, len(texts), 200):
-        part = [np.unique(_grams(t)) for t in texts[s : s + 200]]
-        grams, number = np.unique(np.concatenate([grams, *part]), return_inverse=True)
-        counts = np.bincount(number, weights=np.concatenate([counts, np.ones(len(number) - len(counts))]), minlength=len(grams)).astype(np.int64)
-    return grams, counts
-
-
-def typical_strings(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Longest strings all of whose grams are typical of toxic texts, by the number of toxic texts that have them."""
-    grams, n = _frequencies(toxic)
-    least = np.log(max(1, len(grams)) / CHANCE)
-    other, m = _frequencies(ordinary)
-    at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
-    elsewhere = np.where(other[at] == grams, m[at], 0) if len(other) else np.zeros(len(grams))
-    lifted = (elsewhere + 1) / (len(ordinary) + 1) * LIFT <= n / max(1, len(toxic))
-    grams, n, elsewhere = grams[lifted], n[lifted], elsewhere[lifted]
-    q, x = len(toxic) / (len(toxic) + len(ordinary)), n / (n + elsewhere)
-    bound = n * np.log(x / q) + elsewhere * np.log(np.maximum(1 - x, 1e-300) / (1 - q))  # Chernoff's: -log of the chance at most
-    typical = grams[bound >= least]
-    found: dict[bytes, int] = {}
-    for t in toxic:
-        flags = np.diff(np.isin(_grams(t), typical).astype(np.int8), prepend=0, append=0)
-        for s in {t[a : b + GRAM - 1] for a, b in zip(np.flatnonzero(flags == 1).tolist(), np.flatnonzero(flags == -1).tolist(), strict=True)}:
-            found[s] = found.get(s, 0) + 1
-    return [s for s, c in sorted(found.items(), key=lambda x: (-x[1], x[0])) if c > 1]
+def left_over(texts: list[bytes], base: bytes) -> list[bytes]:
+    """The longest strings of the texts, from SHORTEST bytes on, that share no GRAM bytes in a row with the dictionary."""
+    known, out = np.append(np.unique(_grams(base)), np.uint64(2**64 - 1)), []
+    for t in texts:
+        grams = _grams(t)
+        new = np.diff((known[np.searchsorted(known, grams)] != grams).astype(np.int8), prepend=0, append=0)
+        out += [t[a : b + GRAM - 1] for a, b in zip(np.flatnonzero(new == 1).tolist(), np.flatnonzero(new == -1).tolist(), strict=True)]
+    return [x for x in out if len(x) >= SHORTEST]
 
 
 def _features(d: np.ndarray, evidence: np.ndarray) -> list[float]:
+    """The mean of the evidence for toxicity, and the sum of all evidence, at most CLIP either way. Neither grows with the length of ordinary text."""
     e = evidence[np.clip(d, -REACH, REACH) + REACH]
-    return [float(e.sum() / (len(e) + 1)), float(e.max(initial=0.0))]
+    return [float(np.maximum(e, 0).sum() / (len(e) + 1)), float(np.clip(e.sum(), -CLIP, CLIP))]
+
+
+def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
+    """Empty if the samples are too few or too short for one."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b""
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
@@ -133,23 +121,20 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
     a_toxic, a_ordinary = toxic[::2] or toxic, ordinary[::2] or ordinary
     b_toxic, b_ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
     samples = list(islice((w for t in a_ordinary for w in windows(t)), SAMPLES))
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES + 4096, samples, k=WINDOW, d=6).as_bytes()[-BASE_BYTES:]
-    except zstandard.ZstdError:  # too few samples
-        base = b"".join(samples)[-BASE_BYTES:]
-    strings = typical_strings(a_toxic, a_ordinary)
-    model = Model(base, base + b"".join(reversed(strings)), np.zeros(2 * REACH + 1), np.zeros(3))
+    base = _dictionary(BASE_BYTES + 4096, samples, WINDOW, GRAM)[-BASE_BYTES:] or b"".join(samples)[-BASE_BYTES:]
+    model = Model(base, _dictionary(TOXIC_BYTES, left_over(a_toxic, base), 12, 8), np.zeros(2 * REACH + 1), np.zeros(3))
     d_toxic, d_ordinary = ([distances(t, model.base, model.toxic) for t in texts] for texts in (b_toxic, b_ordinary))
-    histogram = lambda ds: np.bincount(np.clip(np.concatenate(ds), -REACH, REACH) + REACH, minlength=2 * REACH + 1) + 0.5
+    histogram = lambda ds: np.bincount(np.clip(np.concatenate(ds), 0, REACH), minlength=REACH + 1) + 0.5
     h1, h0 = histogram(d_toxic), histogram(d_ordinary)
     ratio = np.log((h1 / h1.sum()) / (h0 / h0.sum()))
-    ratio[: REACH + 1] = 0  # a window that the toxic dictionary does not help says nothing
-    model.evidence = np.maximum.accumulate(np.maximum(ratio, 0))
+    # A window that the toxic dictionary does not help speaks for ordinary text, if for anything; one that it helps more is no weaker evidence.
+    model.evidence[: REACH + 1] = min(ratio[0], 0.0)
+    model.evidence[REACH + 1 :] = np.maximum.accumulate(np.maximum(ratio[1:], 0))
     x = np.array([_features(d, model.evidence) + [1.0] for d in d_toxic + d_ordinary])
     y = np.repeat([1.0, 0.0], [len(d_toxic), len(d_ordinary)])
     w = np.where(y == 1, share / len(d_toxic), (1 - share) / len(d_ordinary)) * len(y)
     weights = np.zeros(3)
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         gradient = x.T @ (w * (y - p)) - 1e-2 * weights
         step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), gradient)
