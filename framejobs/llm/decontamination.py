@@ -2,8 +2,9 @@
 
 Each shard of a few megabytes of documents gets a suffix array of its words, sorted as deep as a window is long. Every window that starts a suffix
 of a benchmark item is looked up there by binary search; the range found has all its verbatim occurrences. Occurrences on one diagonal join to longest
-matches. Documents stay where the scan put them: nothing is shuffled. The benchmark goes to the tasks in blocks of at most ``block_bytes`` of text; for
-each further block the documents pass through one more map step, which adds its findings to those so far.
+matches. Documents stay where the scan put them: nothing is shuffled. The benchmark is cut into blocks of about ``block_bytes`` of text (repeated rows
+are dropped and very long items cut, with an overlap, before they are dealt). Tasks write each block's windows to the shared folder; a shard builds its
+suffix array once and searches block after block, of which a worker holds one at a time.
 
 Words are compared by 64-bit digests; the order within a suffix array uses 21 bits of each, and matches are then verified with all bits.
 
@@ -14,16 +15,20 @@ all documents clean.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framejobs.llm import _arrays as A
+from framejobs.llm._session import new_folder
 
 WINDOW = 13
 #: A document is contaminated if at least one in this many of its words is hit.
@@ -33,7 +38,9 @@ SHARD_BYTES = 6_000_000
 CHUNK_BYTES = 1_000_000
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-MATCH = "array<struct<item_id: long, start: long, n_words: long>>"
+#: An item of the benchmark is cut into pieces of about this size.
+PIECE_BYTES = 500_000
+MATCH = "array<struct<item_id: long, start: long, item_start: long, n_words: long>>"
 
 
 def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,18 +91,32 @@ def suffix_array(keys: np.ndarray, depth: int) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """Distinct windows of one length in a block of items: their words, where they come from, and the items that have them."""
+    """Distinct windows of one length in a block of items: their words, and where each comes from."""
 
     words: np.ndarray  # (windows, length)
-    item: np.ndarray  # smallest item of each window, and its offset there
+    first: np.ndarray  # of each window, the first of its places; and the number of all
+    item: np.ndarray  # of each place
     offset: np.ndarray
-    owners: list[np.ndarray]  # numbers of the items
 
 
-def block_windows(items: list[tuple[int | None, str | None]], window: int) -> tuple[list[Windows], list[int | None]]:
-    """The windows of a block of (item_id, text), by length, and the item ids that the numbers stand for."""
-    items = sorted(items, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    ids, counts = word_ids([(t or "").encode() for _, t in items])
+def item_pieces(text: bytes, window: int, size: int = PIECE_BYTES) -> list[tuple[int, bytes]]:
+    """(words before it, text): pieces of a long text with ``window`` - 1 words in common, so that every window lies in one of them."""
+    if len(text) <= size:
+        return [(0, text)]
+    start, end = A.word_spans(np.frombuffer(text.translate(A.LOWER), dtype=np.uint8), IS_WORD)
+    out, k = [], 0
+    while True:
+        e = max(int(np.searchsorted(end, (start[k] if len(start) else 0) + size, side="right")), k + window)
+        if e >= len(start):
+            return [*out, (k, text[start[k] :] if len(start) else b"")]
+        out.append((k, text[start[k] : end[e - 1]]))
+        k = e - (window - 1)
+
+
+def block_windows(items: list[tuple[int | None, int, bytes]], window: int) -> tuple[list[Windows], list[int | None]]:
+    """The windows of a block of (item_id, words before it, text), by length, and the item ids that the numbers stand for."""
+    ids, counts = word_ids([t for _, _, t in items])
+    before = np.array([b for _, b, _ in items], dtype=np.int64)
     first = np.concatenate(([0], np.cumsum(counts + 1)))
     out = []
     sizes = np.minimum(counts, window)
@@ -109,9 +130,8 @@ def block_windows(items: list[tuple[int | None, str | None]], window: int) -> tu
         words = ids[(first[item] + offset)[:, None] + np.arange(m)]
         _, lead, number = np.unique(words.view(np.dtype((np.void, 8 * m))).ravel(), return_index=True, return_inverse=True)
         order = np.argsort(number, kind="stable")
-        owners = np.split(item[order], A.runs(number[order])[1:])
-        out.append(Windows(words[lead], item[lead], offset[lead], owners))
-    return out, [i for i, _ in items]
+        out.append(Windows(words[lead], np.append(A.runs(number[order]), len(order)), item[order], (before[item] + offset)[order]))
+    return out, [i for i, _, _ in items]
 
 
 def _search(w: Windows, ids: np.ndarray, keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,37 +164,52 @@ def _search(w: Windows, ids: np.ndarray, keys: np.ndarray, order: np.ndarray) ->
     return which[ok], at[ok]
 
 
-def _shard(texts: list[bytes], windows: list[Windows], item_ids: list, window: int) -> list[tuple[int, list[tuple[int, int]], list[int], list[dict]]]:
-    """Of each text: its words, the runs of hit words, the items found, the longest matches."""
+@dataclass
+class Found:
+    """What blocks have so far in a text: its number of words, the runs of hit words, the items, and the matches by (item, diagonal)."""
+
+    n_words: int
+    spans: list[tuple[int, int]]
+    items: set[int]
+    matches: dict[tuple[int | None, int], list[tuple[int, int]]]
+
+
+def _shard(texts: list[bytes], blocks, window: int) -> list[Found]:
+    """``blocks`` gives (windows by length, item ids), one after the other."""
     ids, counts = word_ids(texts)
     keys = _keys(ids)
     order = suffix_array(keys, window)
     first = np.concatenate(([0], np.cumsum(counts + 1)))
     turn = np.zeros(len(ids) + 1, dtype=np.int64)
-    found: list[set[int]] = [set() for _ in texts]
-    matches: list[list[dict]] = [[] for _ in texts]
-    for w in windows if len(order) else []:
-        m = w.words.shape[1]
-        which, at = _search(w, ids, keys, order)
-        if not len(at):
-            continue
-        turn += np.bincount(at, minlength=len(turn)) - np.bincount(at + m, minlength=len(turn))
-        doc = np.searchsorted(first, at, side="right") - 1
-        for d, k in {*zip(doc.tolist(), which.tolist(), strict=True)}:
-            found[d].update(item_ids[i] for i in w.owners[k].tolist() if item_ids[i] is not None)
-        item, diagonal = w.item[which], at - w.offset[which]
-        by = np.lexsort((at, diagonal, item))
-        at, item, diagonal, doc = at[by], item[by], diagonal[by], doc[by]
-        new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1))))
-        for a, b in zip(new.tolist(), np.append(new[1:], len(at)).tolist(), strict=True):
-            matches[doc[a]].append({"item_id": item_ids[item[a]], "start": int(at[a] - first[doc[a]]), "n_words": b - a + m - 1})
+    found = [Found(int(n), [], set(), {}) for n in counts]
+    for windows, item_ids in blocks if len(order) else ():
+        for w in windows:
+            m = w.words.shape[1]
+            which, at = _search(w, ids, keys, order)
+            if not len(at):
+                continue
+            turn += np.bincount(at, minlength=len(turn)) - np.bincount(at + m, minlength=len(turn))
+            size = w.first[which + 1] - w.first[which]
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w.first[which], size)
+            at, item = np.repeat(at, size), w.item[place]
+            diagonal = at - w.offset[place]
+            doc = np.searchsorted(first, at, side="right") - 1
+            for d, k in {*zip(doc.tolist(), item.tolist(), strict=True)}:
+                if item_ids[k] is not None:
+                    found[d].items.add(item_ids[k])
+            by = np.lexsort((at, diagonal, item))
+            at, item, diagonal, doc = at[by], item[by], diagonal[by], doc[by]
+            new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1))))
+            for a, b in zip(new.tolist(), np.append(new[1:], len(at)).tolist(), strict=True):
+                d = doc[a]
+                start = int(at[a] - first[d])
+                found[d].matches.setdefault((item_ids[item[a]], int(diagonal[a] - first[d])), []).append((start, start + b - a + m - 1))
     edge = np.diff((np.cumsum(turn) > 0).astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     doc = np.searchsorted(first, start, side="right") - 1
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     for d, a, b in zip(doc.tolist(), (start - first[doc]).tolist(), (end - first[doc]).tolist(), strict=True):
-        spans[d].append((a, b))
-    return [(int(n), s, sorted(f), m) for n, s, f, m in zip(counts, spans, found, matches, strict=True)]
+        found[d].spans.append((a, b))
+    return found
 
 
 def shards(batches, column: str, size: int = SHARD_BYTES):
@@ -195,47 +230,50 @@ def find_contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = WINDOW, share: int = SHARE, carry: tuple[str, ...] = (), with_text: bool = False, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and matches (item, first word and number of words of each
-    longest match; of items that share a window, the smallest id). ``carry`` names columns that come along in a struct ``rest``."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and matches (item, first word here and in the item, and number
+    of words of each longest match with each item). ``carry`` names columns that come along in a struct ``rest``."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    folder = new_folder(docs.sparkSession, "benchmark")
+
+    def cut(batches):
+        for b in batches:
+            for i, t in zip(b.column("item_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                parts = item_pieces(t or b"", window)
+                yield pa.RecordBatch.from_pydict({"item_id": pa.array([i] * len(parts), pa.int64()), "before": pa.array([n for n, _ in parts], pa.int64()), "text": [x for _, x in parts]})
+
+    def write(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("item_id", "before", "text")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1]))
+        where, base = fs.FileSystem.from_uri(folder)
+        where.create_dir(base, recursive=True)
+        name = uuid.uuid4().hex
+        with where.open_output_stream(f"{base}/{name}") as f:
+            f.write(pickle.dumps(block_windows(rows, window)))
+        return pa.table({"path": [f"{folder}/{name}"]})
+
     blocks = max(1, -(-total // block_bytes))
-    state = f"n_words long, spans array<struct<start: long, end: long>>, items array<long>, matches {MATCH}"
-    df = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []),
-        F.lit(0).cast("long").alias("n_words"), *(F.lit(None).cast(kind).alias(name) for name, kind in (("spans", "array<struct<start: long, end: long>>"), ("items", "array<long>"), ("matches", MATCH))),
-    )
-    head = T.StructType([f for f in df.schema if f.name in ("doc_id", "text", "rest")])
-    schema = T.StructType(head.fields + T.StructType.fromDDL(state).fields)
-    names = [f.name for f in head]
+    parts = items.dropDuplicates().mapInArrow(cut, "item_id long, before long, text binary")
+    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    paths = [r.path for r in dealt.groupBy("block").applyInArrow(write, "path string").collect()]  # one name for each block
+    df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
+    head = [f for f in df.columns if f != "text" or with_text]
+    schema = T.StructType(df.select(head).schema.fields + T.StructType.fromDDL(f"n_words long, spans array<struct<start: long, end: long>>, items array<long>, matches {MATCH}").fields)
     arrow = to_arrow_schema(schema)
 
-    def step(k: int):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # at most about block_bytes
-        sent = docs.sparkSession.sparkContext.broadcast(block_windows([(r.item_id, r.text) for r in rows], window))
-
-        def run(batches):
-            windows, item_ids = sent.value
-            for shard in shards(batches, "text"):
-                texts = [t or b"" for t in shard.column("text").cast(pa.binary()).to_pylist()]
-                new = _shard(texts, windows, item_ids, window)
-                old = shard.select([n for n in shard.schema.names if n not in names]).to_pylist()
-                out = [
-                    {
-                        "n_words": n,
-                        "spans": [{"start": a, "end": b} for a, b in _merged([(s["start"], s["end"]) for s in o["spans"] or []] + s)],
-                        "items": sorted({*(o["items"] or []), *i}),
-                        "matches": (o["matches"] or []) + m,
-                    }
-                    for (n, s, i, m), o in zip(new, old, strict=True)
-                ]
-                columns = [shard.column(n) for n in names] + [pa.array([o[f.name] for o in out], f.type) for f in arrow if f.name not in names]
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(arrow, columns, strict=True)]))
-
-        return run
-
-    for k in range(blocks):
-        df = df.mapInArrow(step(k), schema)
+    def run(batches):
+        for shard in shards(batches, "text"):
+            texts = [t or b"" for t in shard.column("text").cast(pa.binary()).to_pylist()]
+            out = [
+                {
+                    "n_words": f.n_words, "spans": [{"start": a, "end": b} for a, b in f.spans], "items": sorted(f.items),
+                    "matches": [{"item_id": i, "start": a, "item_start": a - d, "n_words": b - a} for (i, d), spans in f.matches.items() for a, b in _merged(spans)],
+                }
+                for f in _shard(texts, map(_block, paths), window)
+            ]
+            columns = [shard.column(n) for n in head] + [pa.array([o[f.name] for o in out], f.type) for f in arrow if f.name not in head]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(arrow, columns, strict=True)]))
+
+    df = df.mapInArrow(run, schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     out = df.withColumn("n_hit", n_hit)
@@ -245,6 +283,19 @@ def find_contaminated(
     )
 
 
+_HELD: dict[str, tuple] = {}
+
+
+def _block(path: str) -> tuple[list[Windows], list]:
+    """A block's windows; the worker keeps the last one it has read."""
+    if path not in _HELD:
+        _HELD.clear()
+        where, name = fs.FileSystem.from_uri(path)
+        with where.open_input_file(name) as f:
+            _HELD[path] = pickle.loads(f.read())
+    return _HELD[path]
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):

@@ -62,3 +62,50 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in find_contaminated(docs, none).collect()] == [False]
     assert find_contaminated(docs.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize("piece_bytes", [500_000, 60])
+def test_longest_matches_with_every_item(monkeypatch, piece_bytes):
+    """All maximal runs of equal words on one diagonal, of a window or more, with each item; long items are cut into pieces."""
+    from framejobs.llm import decontamination as D
+
+    r = random.Random(piece_bytes)
+    say = lambda k: " ".join(r.choice("abc") for _ in range(k))
+    common = say(20)
+    items = [(k, f"{say(r.randint(0, 6))} {common} {say(r.randint(0, 60))}") for k in range(6)] + [(9, "a b c")]
+    docs = [f"{say(30)} {common} {say(20)}", say(200), "", items[0][1], "x a b c x", common]
+    n = 5
+    want = []
+    for t in docs:
+        ws, found = words(t), set()
+        for j, it in items:
+            iw = words(it)
+            m = min(n, len(iw))
+            for d in range(-len(iw), len(ws)):
+                run = 0
+                for p in range(max(d, 0), min(len(ws), len(iw) + d) + 1):
+                    if p < min(len(ws), len(iw) + d) and ws[p] == iw[p - d]:
+                        run += 1
+                        continue
+                    if run >= m:
+                        found.add((j, p - run, p - run - d, run))
+                    run = 0
+        want.append(found)
+    monkeypatch.setattr(D, "PIECE_BYTES", piece_bytes)
+    rows = [(j, b, x) for j, t in items for b, x in D.item_pieces(t.encode(), n, piece_bytes)]
+    assert (len(rows) > len(items)) == (piece_bytes == 60)
+    blocks = [D.block_windows(rows[::2], n), D.block_windows(rows[1::2], n)]
+    got = D._shard([t.encode() for t in docs], blocks, n)
+    assert [{(i, a, a - d, b - a) for (i, d), spans in f.matches.items() for a, b in D._merged(spans)} for f in got] == want
+
+
+def test_repeated_and_long_items(spark):
+    r = random.Random(2)
+    long = " ".join(r.choice(["alpha", "Beta", "c", "dé"]) for _ in range(300_000))
+    ws = long.split()
+    docs = [(k, " ".join(ws[k * 29_000 : k * 29_000 + 40])) for k in range(10)] + [(20, " ".join(reversed(ws[:60]))), (21, "x " * 200_000)]
+    items = [(1, long)] * 3 + [(2, "unrelated words here")] * 20
+    a = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {g.doc_id: g for g in find_contaminated(a, spark.createDataFrame(items, "item_id long, text string"), block_bytes=400_000).collect()}
+    assert all(got[k].n_hit == got[k].n_words == 40 and got[k].matches[0].n_words == 40 for k in range(10))
+    assert not got[21].contaminated and got[21].n_words == 200_000
