@@ -1,14 +1,15 @@
 """Approximate nearest neighbours with additive quantisation.
 
 A vector is coded as the sum of one codeword from each of several full-dimensional codebooks. The codebooks are fitted on a bounded sample: k-means
-of residuals, then least squares over all codebooks at once between beam-search encodings. Every vector is encoded by beam search and stored with
-the squared norm of its decoded form, so that a table of inner products of the query with all codewords scores it by lookups. The best of a shard
-are ranked anew by exact distance. Shards of vectors meet blocks of queries; each pair of them returns ten rows for a query, and a query's rows are
-merged by a window.
-
-Vectors that are null, zero, or hold null or non-finite components, or are not as long as most, take no part, neither as queries nor as candidates.
-Rows with a query's own vec_id are not its candidates; equal query rows are asked once; a null vec_id takes no part; without valid vectors the result
-is empty.
+of residuals, then least squares over all codebooks at once between beam-search encodings. Every vector is encoded by beam search, once and where the
+scan put it, and stored with the squared norm of its decoded form, so that a table of inner products of the query with all codewords scores it by
+lookups. The best of a shard are ranked anew by exact distance. Shards are dealt to numbered bins and blocks of queries to numbered groups; each bin
+meets each group by an equi-join on the pair of numbers, in a task of bounded size. A pair returns ``k`` rows for a query, and a query's rows are merged
+by a window.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, neither as queries nor as candidates. Vectors of one length are
+searched apart from those of another. Distances are of the vectors as they are, in double precision. Rows with a query's own vec_id are not its
+candidates; equal query rows are asked once; a null vec_id takes no part; without valid vectors the result is empty.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framejobs.llm import _arrays as A
 from framejobs.llm._session import hash_sample
 
 K = 10
 BOOKS, CODES, BEAM = 16, 256, 4
-#: About as many vectors as the codebooks are fitted on; of a shard; of a block of queries; candidates of a shard that are ranked anew.
-SAMPLE, SHARD, BLOCK, RERANK = 10_000, 16_384, 1024, 512
+#: About as many vectors as the codebooks are fitted on; of a shard and, on average, of a bin; of a block and of a group of queries; candidates of a
+#: shard that are ranked anew.
+SAMPLE, SHARD, BLOCK, GROUP, RERANK = 10_000, 8192, 1024, 8192, 256
 SHARDS = "ids binary, vecs binary, codes binary, norms binary"
 FOUND = "query_id long, query_key long, vec_id long, score double"
 
@@ -122,11 +125,11 @@ def search(shard: Shard, ids: np.ndarray, queries: np.ndarray, books: np.ndarray
     return out
 
 
-def _valid(vector: Column, size: int) -> Column:
+def _valid(vector: Column) -> Column:
     """The contract's vectors: complete, finite, not zero."""
     inf = float("inf")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == inf)
-    return vector.isNotNull() & (F.size(vector) == size) & ~F.exists(vector, bad) & F.exists(vector, lambda v: v != 0)
+    return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda v: v != 0)
 
 
 def nearest(
@@ -134,16 +137,29 @@ def nearest(
     shard: int = SHARD, block: int = BLOCK, books: int = BOOKS, codes: int = CODES, beam: int = BEAM,
 ) -> DataFrame:
     """The ``k`` nearest found for each row of ``queries`` among the rows of ``vectors``: query_id, rank, vec_id, score."""
-    cut = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter("id is not null")
-    common = cut(vectors).filter("v is not null and size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = common["n"] if common else 1
-    base = cut(vectors).filter(_valid(F.col("v"), size))
-    asked = cut(queries).filter(_valid(F.col("v"), size)).distinct()
+    element = vectors.schema[vector].dataType.elementType.simpleString()
+    kind = "float" if element in ("float", "tinyint", "smallint") else "double"  # exact for the column's values
+    cut = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v")).filter(F.col("id").isNotNull() & _valid(F.col("v")))
+    base, asked = cut(vectors), cut(queries).distinct()
+    found = None
+    for r in base.groupBy(F.size("v").alias("size")).count().orderBy("size").collect():  # one row for each length of vectors
+        of = lambda df, n=r["size"]: df.filter(F.size("v") == n)
+        part = _nearest(of(base), of(asked), r["size"], r["count"], np.dtype(np.float32 if kind == "float" else np.float64), k, rerank, sample, shard, block, books, codes, beam)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return base.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    best = Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(base, asked, size, count, kind, k, rerank, sample, shard, block, books, codes, beam) -> DataFrame:
+    """``k`` rows for each query of each pair of a bin and a group, of vectors of one length."""
     fitted = hash_sample(base, sample, "id", "v").toPandas()  # at most twice ``sample``
     c = fit(np.stack(fitted["v"].to_numpy()), books, min(codes, max(1, len(fitted))), beam) if len(fitted) else np.zeros((1, 1, size), np.float32)
+    bins, groups = max(1, -(-count // shard)), max(1, -(-asked.count() // GROUP))
 
     def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return b.column("id").to_numpy(zero_copy_only=False), b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, size)
+        return b.column("id").to_numpy(zero_copy_only=False), b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
     def gather(batches, most: int):
         ids, vecs, n = [], [], 0
@@ -159,36 +175,48 @@ def nearest(
         if n:
             yield np.concatenate(ids), np.concatenate(vecs)
 
+    def binaries(names: list[str], *arrays: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=names)
+
     def index(batches):
         for ids, vecs in gather(batches, shard):
             by = np.argsort(ids, kind="stable")
             vecs = np.ascontiguousarray(vecs[by])
             coded = encode(vecs, c, beam)
-            norms = (decoded(coded, c) ** 2).sum(1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids[by].astype(np.int64), vecs, coded, norms)], names=["ids", "vecs", "codes", "norms"])
+            yield binaries(["ids", "vecs", "codes", "norms"], ids[by].astype(np.int64), vecs, coded, (decoded(coded, c) ** 2).sum(1).astype(np.float32))
 
     def blocks(batches):
         for ids, vecs in gather(batches, block):
-            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids.astype(np.int64), vecs)], names=["q_ids", "q_vecs"])
-
-    def run(batches):
-        for b in batches:
-            for row in range(b.num_rows):
-                get = lambda name, kind, row=row, b=b: np.frombuffer(b.column(name)[row].as_py(), dtype=kind)
-                part = Shard(get("ids", np.int64), get("vecs", np.float32).reshape(-1, size), get("codes", np.uint8).reshape(-1, len(c)), get("norms", np.float32))
-                q_ids, q = get("q_ids", np.int64), get("q_vecs", np.float32).reshape(-1, size)
-                keys = [xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in q]
+            yield binaries(["q_ids", "q_vecs"], ids.astype(np.int64), vecs)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        get = lambda table, name, row, kind: np.frombuffer(table.column(name)[row].as_py(), dtype=kind)
+        for a in range(left.num_rows if right.num_rows else 0):
+            part = Shard(get(left, "ids", a, np.int64), get(left, "vecs", a, kind).reshape(-1, size), get(left, "codes", a, np.uint8).reshape(-1, len(c)), get(left, "norms", a, np.float32))
+            for b in range(right.num_rows):
+                q_ids, q = get(right, "q_ids", b, np.int64), get(right, "q_vecs", b, kind).reshape(-1, size)
+                keys = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in q], dtype=np.int64)
                 found = search(part, q_ids, q, c, k, rerank)
                 n = [len(f[1]) for f in found]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(q_ids, n)), pa.array(np.repeat(np.array(keys, dtype=np.int64), n)),
-                    pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found])),
-                ], names=["query_id", "query_key", "vec_id", "score"])
-
-    pairs = base.mapInArrow(index, SHARDS).crossJoin(asked.mapInArrow(blocks, "q_ids binary, q_vecs binary"))
-    best = Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id")
-    ranked = pairs.mapInArrow(run, FOUND).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+                out.append((np.repeat(q_ids, n), np.repeat(keys, n), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])))
+        kinds = (np.int64, np.int64, np.int64, np.float64)
+        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate(kinds)]
+        rows = pa.table(dict(zip(("query_id", "query_key", "vec_id", "score"), columns, strict=True)))
+        if len(out) > 1:  # the best of the pair's shards
+            order = np.lexsort((columns[2], columns[3], columns[1], columns[0]))
+            new = A.runs(A.join_ids(columns[0][order].view(A.U64), columns[1][order].view(A.U64)))
+            place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
+            rows = rows.take(pa.array(order[place < k]))
+        return rows
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
+    left = base.mapInArrow(index, SHARDS).withColumn("bin", number("ids", bins)).withColumn("group", every(groups))
+    right = asked.mapInArrow(blocks, "q_ids binary, q_vecs binary").withColumn("group", number("q_ids", groups)).withColumn("bin", every(bins))
+    pair = (F.col("bin") * groups + F.col("group")).alias("pair")
+    deal = lambda df, *names: df.select(pair, *names).repartition(min(bins * groups, 100_000), "pair").groupBy("pair")
+    return deal(left, "ids", "vecs", "codes", "norms").cogroup(deal(right, "q_ids", "q_vecs")).applyInArrow(run, FOUND)
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:

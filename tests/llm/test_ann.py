@@ -51,3 +51,18 @@ def test_beam_search_is_no_worse_than_greedy():
     c = fit(x, 4, 16, 4)
     loss = [((decoded(encode(x, c, b), c) - x) ** 2).sum(1).mean() for b in (1, 8)]
     assert loss[1] < loss[0] < (x**2).sum(1).mean() * 0.6
+
+
+def test_doubles_lengths_and_plan(spark):
+    """Distances of doubles are not rounded to floats first; vectors of another length are searched apart; pairs meet by an equi-join."""
+    rng = np.random.default_rng(3)
+    rows = [(k, (1 + rng.normal(size=6) * 1e-9).tolist(), k % 3) for k in range(300)] + [(k, rng.normal(size=3).tolist(), 0) for k in range(300, 360)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bin int").repartition(3)
+    found = nearest(df, df.filter("vec_id % 50 = 0"), shard=60, block=2, rerank=300, books=3, codes=16)
+    plan = found._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = found.collect()
+    for q in range(0, 360, 50):
+        own = np.array(rows[q][1])
+        d = sorted((float(np.sqrt(((np.array(v) - own) ** 2).sum())), i) for i, v, _ in rows if i != q and len(v) == len(own))[:10]
+        assert [(g.score, g.vec_id) for g in sorted(got, key=lambda g: g.rank) if g.query_id == q] == d
