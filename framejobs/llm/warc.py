@@ -1,7 +1,7 @@
 """WARC archives compressed record by record with a Zstandard dictionary.
 
 The dictionary is trained on a bounded sample of the records and leads each archive in a skippable frame; each record is a frame of its own, so a
-reader can start at any record. Of records with equal payloads the one with the smallest page_id is the response and the others are revisits that
+reader can start at any record. A payload that very many pages have is joined by a broadcast of at most 10,000 such payloads' digests. Of records with equal payloads the one with the smallest page_id is the response and the others are revisits that
 refer to it. Tasks write archives to a shared folder and return their names; only archives of tasks that succeeded are named, so what lost or
 repeated attempts leave behind is never read.
 
@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framejobs.llm._joins import join_frequent
 from framejobs.llm._session import hash_sample, new_folder, with_checkpoints
 
 #: Bytes in an archive before the next one begins; about as many records, and bytes of each, train the dictionary; bytes of the dictionary.
@@ -113,7 +114,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     keyed = cut.select("page_id", "url", F.sha1("html").alias("sha"), F.octet_length("html").alias("size"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
     firsts = keyed.filter(F.col("size") >= min_revisit_bytes).groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = keyed.join(firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    later = join_frequent(keyed, firsts, "sha", "n", cut.count()).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
     later = later.select(F.col("page_id").alias("id"), F.col("sha").alias("of"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")).distinct()
     rows = cut.join(later, F.col("page_id").eqNullSafe(F.col("id")) & (F.sha1("html") == F.col("of")), "left").select("page_id", "url", "html", "first", "first_url")
     sample = hash_sample(cut, SAMPLE_RECORDS, "page_id", "url").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))

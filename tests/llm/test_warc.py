@@ -42,3 +42,13 @@ def test_few_and_no_pages(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
     assert warc.read_warc(warc.write_warc(df, f"file://{tmp_path}/b")).first().payload == b"x"
     assert warc.read_warc(warc.write_warc(df.limit(0), f"file://{tmp_path}/c")).count() == 0
+
+
+def test_repeated_rows(spark, tmp_path):
+    """Rows with one page_id and one payload are all responses, or all revisits of a smaller id; with unlike payloads each has its own."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(5, "u", "same")] * 3 + [(6, "v", "same")] * 2 + [(6, "v", "other")] * 2 + [(None, "n", "same")] + [(k, "w", "same") for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(((g.page_id, g.record_type, g.refers_to) for g in warc.read_warc(warc.write_warc(df, f"file://{tmp_path}/d")).collect()), key=str)
+    want = [(5, "response", None)] * 3 + [(6, "revisit", 5)] * 2 + [(6, "response", None)] * 2 + [(None, "revisit", 5)] + [(k, "revisit", 5) for k in range(10, 40)]
+    assert got == sorted(want, key=str)
