@@ -8,12 +8,15 @@ all rows arrives as one entry a batch.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text in a batch, and entries in a bucket, on average.
-BATCH_BYTES = 6_000_000
-BUCKET_ENTRIES = 1_500_000
+BATCH_BYTES = 3_000_000
+BUCKET_ENTRIES = 750_000
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
@@ -24,13 +27,27 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 def in_batches(
     docs: DataFrame, doc_id: str, text: str, total: int, batch_bytes: int = BATCH_BYTES, carry: tuple[str, ...] = ()
 ) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text) dealt by batch, and the number of partitions: one for each batch, or, of more than 10,000 batches, for up to 32 of them.
-    Null texts become empty; ``carry`` columns come along in a struct ``rest``."""
+    """(doc_id, text, batch) dealt by batch, and the number of partitions: one for each batch, or, of more than 10,000 batches, for up to 32 of them.
+    Texts are compressed for the way, each by itself (see texts()). Null texts become empty; ``carry`` columns come along in a struct ``rest``."""
     n = max(1, -(-total // batch_bytes))
-    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
-    cut = docs.select(*columns, *([F.struct(*carry).alias("rest")] if carry else []))
+    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *([F.struct(*carry).alias("rest")] if carry else []), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def shrink(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            short = pa.array([pack(t) for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], short], names=b.schema.names)
+
+    schema = T.StructType(cut.schema.fields[:-1]).add("text", T.BinaryType())
     partitions = min(n, max(10_000, n // 32))
-    return cut.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(partitions, "batch"), partitions
+    dealt = cut.mapInArrow(shrink, schema).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    return dealt.repartition(partitions, "batch"), partitions
+
+
+def texts(table: pa.Table) -> list[bytes]:
+    """The texts of a batch."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t.as_py()) for t in table.column("text")]
 
 
 def bucket_bits(entries: int, per_bucket: int = BUCKET_ENTRIES) -> int:

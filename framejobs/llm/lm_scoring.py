@@ -8,10 +8,8 @@ token is the longest suffix of what was read that is a state, and an arc that is
 
 At scale the automaton fits nowhere whole. A batch of documents (see _batches.py) sends its distinct n-grams, with their local counts in training
 texts, to buckets; a bucket adds up the counts and answers each batch with what the others add; the batch builds the part of the automaton that its
-texts can reach, which is bounded by the batch, and traverses it. Counts cover all training documents; nothing is pruned.
-
-Single tokens are counted by 64-bit digests, longer n-grams by digests of ``key_bits`` bits: 20 more than the logarithm of their number, so
-that about one in a million shares its count with another.
+texts can reach, which is bounded by the batch, and traverses it. Counts cover all training documents; nothing is pruned. N-grams are counted by
+64-bit digests.
 
 Defined results: a null text is empty and scores its end token; a null doc_id trains; rows with one doc_id are scored each; an empty table gives
 an empty result.
@@ -21,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +97,75 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return unique, np.bincount(number, weights=train, minlength=len(unique)).astype(np.int64), number
 
 
+@dataclass
+class Automaton:
+    """State 0 is the empty context and has an arc for every word; the others are contexts that training texts have."""
+
+    words: int
+    root_weight: list[float]  # by word
+    root_next: list[int]
+    arcs: dict[int, int]  # state * words + word: arc
+    weight: list[float]  # of each arc
+    next: list[int]
+    fail: list[int]  # of each state
+    fail_weight: list[float]
+
+    def score(self, text: list[int]) -> float:
+        """One traversal from left to right: the state is carried, and the weights of the arcs and failure arcs taken are added up."""
+        words, get, weight, after, fail, lost = self.words, self.arcs.get, self.weight, self.next, self.fail, self.fail_weight
+        state, total = 0, 0.0
+        for word in text:
+            while state:
+                arc = get(state * words + word)
+                if arc is not None:
+                    total += weight[arc]
+                    state = after[arc]
+                    break
+                total += lost[state]
+                state = fail[state]
+            else:
+                total += self.root_weight[word]
+                state = self.root_next[word]
+        return total
+
+
+def automaton(t: Tokens, p: np.ndarray, word_n: np.ndarray, word_of: np.ndarray, gram_n: np.ndarray, gram_of: np.ndarray, smoothing: tuple[float, ...]) -> Automaton:
+    """The part of the automaton that a batch can reach. ``p``: of single words; word_of, gram_of: the number of each token and n-gram of the batch."""
+    states = np.concatenate(([0], np.cumsum(word_n > 0)))[1:] * (word_n > 0)  # of each word, 0 where training texts lack it
+    size = 1 + int((word_n > 0).sum())
+    fail, lost = [np.zeros(size, dtype=np.int64)], [np.concatenate(([0.0], np.log10(smoothing[0] / (word_n[word_n > 0] + smoothing[0]))))]
+    keys, weights, after = [], [], []
+    # Of the n-grams one word shorter: their number at each position, and by number the count, the probability and the state.
+    number, count, chance, state = word_of, word_n, p, states
+    cut = 0
+    for m, (k, at) in enumerate(zip(smoothing, t.ends, strict=False), start=1):
+        mine = gram_of[cut : cut + len(at)]
+        cut += len(at)
+        grams, lead = np.unique(mine, return_index=True)
+        place = at[lead]
+        context, suffix = number[place - 1], number[place]
+        of = np.zeros(len(gram_n))
+        of[grams] = (gram_n[grams] + k * chance[suffix]) / (count[context] + k)
+        seen = gram_n[grams] > 0
+        keys.append(state[context[seen]] * len(word_n) + word_of[place[seen]])
+        weights.append(np.log10(of[grams[seen]]))
+        own = np.zeros(len(gram_n), dtype=np.int64)
+        if m < len(smoothing):
+            own[grams[seen]] = size + np.arange(seen.sum())
+            size += int(seen.sum())
+            fail.append(state[suffix[seen]])
+            lost.append(np.log10(smoothing[m] / (gram_n[grams[seen]] + smoothing[m])))
+            after.append(own[grams[seen]])
+        else:
+            after.append(state[suffix[seen]])
+        number = np.full(len(t.ids), -1)
+        number[at] = mine
+        count, chance, state = gram_n, of, own
+    joined = lambda parts: np.concatenate(parts).tolist() if parts else []
+    every = joined(keys)
+    return Automaton(len(word_n), np.log10(p).tolist(), states.tolist(), dict(zip(every, range(len(every)), strict=True)), joined(weights), joined(after), joined(fail), joined(lost))
+
+
 def score_texts(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", smoothing: tuple[float, ...] = SMOOTHING, folds: int = FOLDS, fold: int = HELD_OUT,
     batch_bytes: int = B.BATCH_BYTES, bucket_entries: int = B.BUCKET_ENTRIES,
@@ -109,25 +177,24 @@ def score_texts(
     full, partitions = B.in_batches(docs, doc_id, text, total, batch_bytes)
     n_grams = max(1, total // 6 * len(smoothing))
     bits = B.bucket_bits(n_grams, bucket_entries)
-    drop = A.U64(64 - min(64, max(bits + 8, 20 + n_grams.bit_length())))
 
     def read(table: pa.Table) -> tuple[Tokens, np.ndarray, tuple, tuple]:
         ids = table.column("doc_id").to_pylist()
-        t = tokens(table.column("text").combine_chunks().cast(pa.binary()).to_pylist(), order)
+        t = tokens(B.texts(table), order)
         out = held_out(ids, folds, fold)
         train = np.repeat(~out, np.diff(t.first))
         ends = np.concatenate(t.ends) if t.ends else np.empty(0, np.int64)
-        return t, out, _counted(t.ids, train), _counted(t.grams >> drop << drop, train[ends])
+        return t, out, _counted(t.ids, train), _counted(t.grams, train[ends])
 
     def ask(table: pa.Table) -> pa.Table:
         _, _, words, grams = read(table)
         batch = table.column("batch")[0].as_py()
         parts: dict[int, dict] = {}
-        for name, (keys, counts, _), low in (("word", words, A.U64(0)), ("gram", grams, drop)):
+        for name, (keys, counts, _) in (("word", words), ("gram", grams)):
             buckets, cuts = A.bucket_cuts(keys, bits)
             for k, b in enumerate(buckets.tolist()):
                 row = parts.setdefault(b, {"bucket": b, "batch": batch})
-                row[name] = A.pack(keys[cuts[k] : cuts[k + 1]] >> low, ascending=True)
+                row[name] = A.pack(keys[cuts[k] : cuts[k + 1]], ascending=True)
                 row[f"{name}_n"] = A.pack(counts[cuts[k] : cuts[k + 1]])
         return _table(list(parts.values()), PACKED)
 
@@ -171,46 +238,15 @@ def score_texts(
         rows = right.to_pylist()
         n, v = rows[0]["train_tokens"], rows[0]["train_types"]
         word_n, gram_n = filled(word_n, words, rows, "word"), filled(gram_n, grams, rows, "gram")
-        # The arcs that the batch can reach, by order; arc_of: of each position, -1 where a text has too few tokens before it.
         p = (word_n + 1) / (n + v + 1)
-        arcs, counts, arc_of, cut = [np.log10(p)], [word_n[word_of]], [word_of], 0
-        below = p[word_of]
-        states = [np.zeros(len(t.ids))]
-        for k, at in zip(smoothing, t.ends, strict=True):
-            number = gram_of[cut : cut + len(at)]
-            cut += len(at)
-            context = np.zeros(len(t.ids), dtype=np.int64)
-            context[at] = counts[-1][at - 1]
-            own = np.full(len(t.ids), -1)
-            own[at] = number
-            count = np.zeros(len(t.ids), dtype=np.int64)
-            count[at] = gram_n[number]
-            below = (count + k * below) / (context + k)
-            weight = np.zeros(len(grams))
-            weight[number] = np.log10(below[at])
-            arcs.append(weight)
-            counts.append(count)
-            arc_of.append(own)
-            states.append(context)
-        # One traversal: each position starts in its longest state and follows failure arcs until a state has the token's arc.
-        score = np.zeros(len(t.ids))
-        level = np.zeros(len(t.ids), dtype=np.int8)
-        for m in range(1, order):
-            level[states[m] > 0] = m
-        for m in range(order - 1, 0, -1):
-            here = level == m
-            arc = here & (counts[m] > 0)
-            score[arc] += arcs[m][arc_of[m][arc]]
-            fail = here & ~arc
-            score[fail] += np.log10(smoothing[m - 1] / (states[m][fail] + smoothing[m - 1]))
-            level[fail] = m - 1
-        here = level == 0
-        score[here] += arcs[0][word_of[here]]
+        a = automaton(t, p, word_n, word_of, gram_n, gram_of, smoothing)
+        cuts = t.first.tolist()
+        score = [a.score(word_of[s:e].tolist()) for s, e in pairwise(cuts)]
         by_doc = lambda x: np.add.reduceat(x, t.first[:-1])
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": pa.array(out), "n_tokens": pa.array(np.diff(t.first)),
-            "n_known": pa.array(by_doc((counts[0] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(out), n)),
-            "train_types": pa.array(np.full(len(out), v)), "base_score": pa.array(by_doc(arcs[0][word_of])), "score": pa.array(by_doc(score)),
+            "n_known": pa.array(by_doc((word_n[word_of] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(out), n)),
+            "train_types": pa.array(np.full(len(out), v)), "base_score": pa.array(by_doc(np.log10(p)[word_of])), "score": pa.array(score, pa.float64()),
         })
 
     n_buckets = min(1 << bits, partitions)

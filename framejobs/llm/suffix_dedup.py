@@ -39,7 +39,7 @@ from framejobs.llm import _batches as B
 CHUNK_BYTES = 200_000
 #: Runs of a q-gram that one task refines, and bytes of runs that are refined at once.
 CROWD, REFINE_BYTES = 10_000, 1_500_000
-BATCH_BYTES, BUCKET_ENTRIES = 3_000_000, 500_000
+BUCKET_ENTRIES = 500_000
 RUNS = "bucket int, batch int, seg binary, seg_low binary, seg_doc binary, gram binary, gram_tag binary, gram_n binary"
 ANSWER = "batch int, bucket int, seg binary, gram binary"
 REFINE = "bucket int, batch int, kind int, key binary, low binary, doc binary, at binary, size binary, bytes binary"
@@ -115,7 +115,7 @@ def _sample(texts: list[bytes], n: int, q: int) -> Sample:
 
 def _load(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Ids as ordered unsigned numbers, texts and row numbers, by (doc_id, text)."""
-    texts = table.column("text").combine_chunks().cast(pa.binary()).to_pylist()
+    texts = B.texts(table)
     ids = table.column("doc_id").combine_chunks()
     key = np.array(ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), dtype=np.int64)
     order = np.lexsort((np.arange(len(key)), key))
@@ -327,7 +327,7 @@ def _refine_bytes(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def find_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_len: int = 100, carry: tuple[str, ...] = (), with_text: bool = False,
-    batch_bytes: int = BATCH_BYTES, bucket_entries: int = BUCKET_ENTRIES, crowd: int = CROWD,
+    batch_bytes: int = B.BATCH_BYTES, bucket_entries: int = BUCKET_ENTRIES, crowd: int = CROWD,
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed run, in bytes).
 
