@@ -9,6 +9,7 @@ all rows arrives as one entry a batch.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,3 +54,16 @@ def texts(table: pa.Table) -> list[bytes]:
 def bucket_bits(entries: int, per_bucket: int = BUCKET_ENTRIES) -> int:
     """The number of key bits that name a bucket."""
     return max(0, (max(1, -(-entries // per_bucket)) - 1).bit_length())
+
+
+def slices(batches, column: str, size: int):
+    """Arrow batches, cut so that a slice has about ``size`` bytes in a column or is a single row."""
+    for batch in batches:
+        at = total = 0
+        for k, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
+            if k > at and total + n > size:
+                yield batch.slice(at, k - at)
+                at, total = k, 0
+            total += n
+        if batch.num_rows > at:
+            yield batch.slice(at)

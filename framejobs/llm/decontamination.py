@@ -28,13 +28,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framejobs.llm import _arrays as A
+from framejobs.llm._batches import slices
 from framejobs.llm._session import new_folder
 
 WINDOW = 13
 #: A document is contaminated if at least one in this many of its words is hit.
 SHARE = 20
 BLOCK_BYTES = 8_000_000
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 4_000_000
 CHUNK_BYTES = 1_000_000
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -212,20 +213,6 @@ def _shard(texts: list[bytes], blocks, window: int) -> list[Found]:
     return found
 
 
-def shards(batches, column: str, size: int = SHARD_BYTES):
-    """Arrow batches, cut so that a shard has about ``size`` bytes of text or is a single row."""
-    for batch in batches:
-        lengths = [len(x or b"") for x in batch.column(column).cast(pa.binary()).to_pylist()]
-        at = total = 0
-        for k, n in enumerate(lengths):
-            if k > at and total + n > size:
-                yield batch.slice(at, k - at)
-                at, total = k, 0
-            total += n
-        if len(lengths) > at:
-            yield batch.slice(at)
-
-
 def find_contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = WINDOW, share: int = SHARE, carry: tuple[str, ...] = (), with_text: bool = False, block_bytes: int = BLOCK_BYTES,
@@ -261,7 +248,7 @@ def find_contaminated(
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for shard in shards(batches, "text"):
+        for shard in slices(batches, "text", SHARD_BYTES):
             texts = [t or b"" for t in shard.column("text").cast(pa.binary()).to_pylist()]
             out = [
                 {

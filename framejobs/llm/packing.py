@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framejobs.llm._batches import slices
 from framejobs.llm._session import with_checkpoints
 
 CAPACITY = 1024
 END_ID = 2
 #: Pieces in a rank group at most, on average, and the least number of groups that a length is split into.
 RANK_ROWS, SALTS = 200_000, 64
-CACHE = 300_000
+CACHE, SLICE_BYTES = 200_000, 2_000_000
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -105,37 +106,22 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _texts(batch, size: int = 2_000_000):
-    """(first row, texts) of a few megabytes each."""
-    at, part, total = 0, [], 0
-    for k, t in enumerate(batch.column("text").to_pylist()):
-        part.append(t or "")
-        total += len(part[-1])
-        if total > size:
-            yield at, part
-            at, part, total = k + 1, [], 0
-    if part:
-        yield at, part
-
-
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """One row for each piece of each document, in token ids with the end id: doc_id, piece, start, length, ids_crc32."""
     path = tokenizer or tokenizer_path()
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for at, texts in _texts(batch):
-                rows = []
-                for k, data in enumerate(encoder(path).encode(texts)):
-                    data += end
-                    cuts = [0, *range(len(data) // 4 % capacity or capacity, len(data) // 4 + 1, capacity)]
-                    for n, (s, e) in enumerate(pairwise(cuts)):
-                        rows.append((ids[at + k], n, s, e - s, zlib.crc32(data[4 * s : 4 * e])))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32")
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+        for part in slices(batches, "text", SLICE_BYTES):
+            rows = []
+            for i, data in zip(part.column("doc_id").to_pylist(), encoder(path).encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+                data += end
+                cuts = [0, *range(len(data) // 4 % capacity or capacity, len(data) // 4 + 1, capacity)]
+                for n, (s, e) in enumerate(pairwise(cuts)):
+                    rows.append((i, n, s, e - s, zlib.crc32(data[4 * s : 4 * e])))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            names = ("doc_id", "piece", "start", "length", "ids_crc32")
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framejobs.llm import _arrays as A
+from framejobs.llm._batches import slices
 from framejobs.llm._joins import join_frequent
 from framejobs.llm._session import with_checkpoints
 from framejobs.llm.components import components
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     kept = [c for c in cut.columns if c != "text"]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "text", 2_000_000):
             fp = [fingerprint(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fp, pa.int64())], names=[*kept, "fp"])
 

@@ -38,7 +38,7 @@ from framejobs.llm import _batches as B
 #: Text that is sampled at once; longer texts are sampled in overlapping pieces of this size.
 CHUNK_BYTES = 200_000
 #: Runs of a q-gram that one task refines, and bytes of runs that are refined at once.
-CROWD, REFINE_BYTES = 10_000, 1_500_000
+CROWD, REFINE_BYTES = 10_000, 400_000
 BUCKET_ENTRIES = 500_000
 RUNS = "bucket int, batch int, seg binary, seg_low binary, seg_doc binary, gram binary, gram_tag binary, gram_n binary"
 ANSWER = "batch int, bucket int, seg binary, gram binary"

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framejobs.llm import _arrays as A
+from framejobs.llm._batches import slices
 from framejobs.llm._session import hash_sample
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -176,14 +177,12 @@ def score_toxicity(
     kept = [n for n in cut.columns if n != "text" or with_text]
 
     def run(batches):
-        for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                scores = [model if isinstance(model, float) else score(t or b"", model) for t in texts]
-                out = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in part.column("doc_id").to_pylist()]
-                columns = [part.column(n) for n in kept] + [pa.array(out), pa.array(scores), pa.array([int(x >= threshold) for x in scores], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, "held_out", "score", "predicted"])
+        for part in slices(batches, "text", 2_000_000):
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            scores = [model if isinstance(model, float) else score(t or b"", model) for t in texts]
+            out = [i is not None and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i in part.column("doc_id").to_pylist()]
+            columns = [part.column(n) for n in kept] + [pa.array(out), pa.array(scores), pa.array([int(x >= threshold) for x in scores], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "held_out", "score", "predicted"])
 
     schema = cut.select(kept).schema
     for name, kind in (("held_out", "boolean"), ("score", "double"), ("predicted", "integer")):
