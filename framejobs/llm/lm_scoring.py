@@ -8,8 +8,8 @@ token is the longest suffix of what was read that is a state, and an arc that is
 
 At scale the automaton fits nowhere whole. A batch of documents (see _batches.py) sends its distinct n-grams, with their local counts in training
 texts, to buckets; a bucket adds up the counts and answers each batch with what the others add; the batch builds the part of the automaton that its
-texts can reach, which is bounded by the batch, and traverses it. Counts cover all training documents; nothing is pruned. N-grams are counted by
-64-bit digests.
+texts can reach, which is bounded by the batch, and traverses it. Counts cover all training documents; nothing is pruned. Single tokens are counted by
+64-bit digests, longer n-grams by KEY_BITS of them at every size of the input: of n distinct ones a share of n / 2**KEY_BITS is counted with another.
 
 Defined results: a null text is empty and scores its end token; a null doc_id trains; rows with one doc_id are scored each; an empty table gives
 an empty result.
@@ -32,6 +32,9 @@ from framejobs.llm import _batches as B
 #: Weight of the lower order, for contexts of one and of two words.
 SMOOTHING = (10.0, 3.0)
 FOLDS, HELD_OUT = 7, 2
+#: 64 bits would need 4.4 times the input on disk (README).
+KEY_BITS = 52
+SHORT = np.uint64((1 << 64) - (1 << (64 - KEY_BITS)))
 CHUNK_BYTES = 1_000_000
 END = np.uint64(0x5EED0E4D00000001)
 IS_WORD = np.ones(256, dtype=bool)
@@ -97,73 +100,26 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return unique, np.bincount(number, weights=train, minlength=len(unique)).astype(np.int64), number
 
 
-@dataclass
-class Automaton:
-    """State 0 is the empty context and has an arc for every word; the others are contexts that training texts have."""
-
-    words: int
-    root_weight: list[float]  # by word
-    root_next: list[int]
-    arcs: dict[int, int]  # state * words + word: arc
-    weight: list[float]  # of each arc
-    next: list[int]
-    fail: list[int]  # of each state
-    fail_weight: list[float]
-
-    def score(self, text: list[int]) -> float:
-        """One traversal from left to right: the state is carried, and the weights of the arcs and failure arcs taken are added up."""
-        words, get, weight, after, fail, lost = self.words, self.arcs.get, self.weight, self.next, self.fail, self.fail_weight
-        state, total = 0, 0.0
-        for word in text:
-            while state:
-                arc = get(state * words + word)
-                if arc is not None:
-                    total += weight[arc]
-                    state = after[arc]
-                    break
-                total += lost[state]
-                state = fail[state]
-            else:
-                total += self.root_weight[word]
-                state = self.root_next[word]
-        return total
-
-
-def automaton(t: Tokens, p: np.ndarray, word_n: np.ndarray, word_of: np.ndarray, gram_n: np.ndarray, gram_of: np.ndarray, smoothing: tuple[float, ...]) -> Automaton:
-    """The part of the automaton that a batch can reach. ``p``: of single words; word_of, gram_of: the number of each token and n-gram of the batch."""
-    states = np.concatenate(([0], np.cumsum(word_n > 0)))[1:] * (word_n > 0)  # of each word, 0 where training texts lack it
-    size = 1 + int((word_n > 0).sum())
-    fail, lost = [np.zeros(size, dtype=np.int64)], [np.concatenate(([0.0], np.log10(smoothing[0] / (word_n[word_n > 0] + smoothing[0]))))]
-    keys, weights, after = [], [], []
-    # Of the n-grams one word shorter: their number at each position, and by number the count, the probability and the state.
-    number, count, chance, state = word_of, word_n, p, states
-    cut = 0
-    for m, (k, at) in enumerate(zip(smoothing, t.ends, strict=False), start=1):
-        mine = gram_of[cut : cut + len(at)]
-        cut += len(at)
-        grams, lead = np.unique(mine, return_index=True)
-        place = at[lead]
-        context, suffix = number[place - 1], number[place]
-        of = np.zeros(len(gram_n))
-        of[grams] = (gram_n[grams] + k * chance[suffix]) / (count[context] + k)
-        seen = gram_n[grams] > 0
-        keys.append(state[context[seen]] * len(word_n) + word_of[place[seen]])
-        weights.append(np.log10(of[grams[seen]]))
-        own = np.zeros(len(gram_n), dtype=np.int64)
-        if m < len(smoothing):
-            own[grams[seen]] = size + np.arange(seen.sum())
-            size += int(seen.sum())
-            fail.append(state[suffix[seen]])
-            lost.append(np.log10(smoothing[m] / (gram_n[grams[seen]] + smoothing[m])))
-            after.append(own[grams[seen]])
+def walk(root: list[float], seen: list[int], arcs: list[list[float]], lost: list[list[float]]) -> float:
+    """One traversal of a text from left to right: the state, which is how many of the words before form a context that training texts have, is carried
+    from token to token, and the weights of the arcs and failure arcs taken are added up.
+
+    Of each token: the weight of the root's arc, whether it is a context (1 or 0), and for contexts of one, two, ... words the weight of their arc for
+    it, not a number if there is none, and that of their failure arc."""
+    state, total, top = 0, 0.0, len(arcs)
+    for i in range(len(root)):
+        while state:
+            weight = arcs[state - 1][i]
+            if weight == weight:
+                total += weight
+                state = min(state + 1, top)
+                break
+            total += lost[state - 1][i]
+            state -= 1
         else:
-            after.append(state[suffix[seen]])
-        number = np.full(len(t.ids), -1)
-        number[at] = mine
-        count, chance, state = gram_n, of, own
-    joined = lambda parts: np.concatenate(parts).tolist() if parts else []
-    every = joined(keys)
-    return Automaton(len(word_n), np.log10(p).tolist(), states.tolist(), dict(zip(every, range(len(every)), strict=True)), joined(weights), joined(after), joined(fail), joined(lost))
+            total += root[i]
+            state = min(seen[i], top)
+    return total
 
 
 def score_texts(
@@ -184,17 +140,17 @@ def score_texts(
         out = held_out(ids, folds, fold)
         train = np.repeat(~out, np.diff(t.first))
         ends = np.concatenate(t.ends) if t.ends else np.empty(0, np.int64)
-        return t, out, _counted(t.ids, train), _counted(t.grams, train[ends])
+        return t, out, _counted(t.ids, train), _counted(t.grams & SHORT, train[ends])
 
     def ask(table: pa.Table) -> pa.Table:
         _, _, words, grams = read(table)
         batch = table.column("batch")[0].as_py()
         parts: dict[int, dict] = {}
-        for name, (keys, counts, _) in (("word", words), ("gram", grams)):
+        for name, (keys, counts, _), low in (("word", words, 0), ("gram", grams, 64 - KEY_BITS)):
             buckets, cuts = A.bucket_cuts(keys, bits)
             for k, b in enumerate(buckets.tolist()):
                 row = parts.setdefault(b, {"bucket": b, "batch": batch})
-                row[name] = A.pack(keys[cuts[k] : cuts[k + 1]], ascending=True)
+                row[name] = A.pack(keys[cuts[k] : cuts[k + 1]] >> A.U64(low), ascending=True)
                 row[f"{name}_n"] = A.pack(counts[cuts[k] : cuts[k + 1]])
         return _table(list(parts.values()), PACKED)
 
@@ -239,14 +195,25 @@ def score_texts(
         n, v = rows[0]["train_tokens"], rows[0]["train_types"]
         word_n, gram_n = filled(word_n, words, rows, "word"), filled(gram_n, grams, rows, "gram")
         p = (word_n + 1) / (n + v + 1)
-        a = automaton(t, p, word_n, word_of, gram_n, gram_of, smoothing)
-        cuts = t.first.tolist()
-        score = [a.score(word_of[s:e].tolist()) for s, e in pairwise(cuts)]
+        # The part of the automaton that the batch can reach, laid along its tokens.
+        root, seen = np.log10(p)[word_of], (word_n > 0).astype(np.int64)[word_of]
+        arcs, lost, below, before, cut = [], [], p[word_of], word_n[word_of], 0
+        for k, at in zip(smoothing, t.ends, strict=False):
+            count, context = np.zeros(len(t.ids), dtype=np.int64), np.zeros(len(t.ids), dtype=np.int64)
+            count[at], context[at] = gram_n[gram_of[cut : cut + len(at)]], before[at - 1]
+            cut += len(at)
+            below = (count + k * below) / (context + k)
+            arcs.append(np.where(count > 0, np.log10(below), np.nan))
+            lost.append(np.log10(k / (context + k)))
+            before = count
+        score = []
+        for s, e in pairwise(t.first.tolist()):
+            score.append(walk(root[s:e].tolist(), seen[s:e].tolist(), [x[s:e].tolist() for x in arcs], [x[s:e].tolist() for x in lost]))
         by_doc = lambda x: np.add.reduceat(x, t.first[:-1])
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": pa.array(out), "n_tokens": pa.array(np.diff(t.first)),
-            "n_known": pa.array(by_doc((word_n[word_of] > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(out), n)),
-            "train_types": pa.array(np.full(len(out), v)), "base_score": pa.array(by_doc(np.log10(p)[word_of])), "score": pa.array(score, pa.float64()),
+            "n_known": pa.array(by_doc(seen)), "train_tokens": pa.array(np.full(len(out), n)),
+            "train_types": pa.array(np.full(len(out), v)), "base_score": pa.array(by_doc(root)), "score": pa.array(score, pa.float64()),
         })
 
     n_buckets = min(1 << bits, partitions)
