@@ -30,12 +30,13 @@ def join_path(where: Column, name: Column) -> Column:
 
 def classify_media(df: DataFrame, table: list[tuple[str, str]] | None = None) -> DataFrame:
     """Adds file_type (cam, notfound, video, image, another MIME type, or null), route and skip_reason."""
-    typed = df.withColumn("ext", F.lower(extension(F.col("path")))).join(mime_types(df.sparkSession, table), "ext", "left")
+    known = mime_types(df.sparkSession, table).select(F.col("ext").alias("_ext"), F.col("mime").alias("_mime"))
+    typed = df.withColumn("_ext", F.lower(extension(F.col("path")))).join(F.broadcast(known), "_ext", "left")
     kind = (
-        F.when(F.col("path").startswith("<video"), "cam").when(F.col("is_file") == 0, "notfound").when(F.col("mime").isNull(), F.lit(None))
-        .when(F.col("mime").startswith("video"), "video").when(F.col("mime").startswith("image"), "image").otherwise(F.col("mime"))
+        F.when(F.col("path").startswith("<video"), "cam").when(F.col("is_file") == 0, "notfound").when(F.col("_mime").isNull(), F.lit(None))
+        .when(F.col("_mime").startswith("video"), "video").when(F.col("_mime").startswith("image"), "image").otherwise(F.col("_mime"))
     )
-    typed = typed.withColumn("file_type", kind).drop("ext", "mime")
+    typed = typed.withColumn("file_type", kind).drop("_ext", "_mime")
     goes = F.coalesce(F.col("file_type").isin("video", "cam", "image"), F.lit(False))
     reason = F.when(goes, F.lit(None)).when(F.col("file_type") == "notfound", "not_found").when(F.col("file_type").isNull(), "unknown_type").otherwise("unsupported_type")
     return typed.withColumn("route", F.when(goes, F.col("file_type")).otherwise("skip")).withColumn("skip_reason", reason)
@@ -92,9 +93,10 @@ def output_path_redacted(path: Column, file_type: Column) -> Column:
 
 
 def target_size(df: DataFrame) -> DataFrame:
-    """Adds out_width and out_height: those of the named resolution, or the source's."""
-    joined = df.join(resolutions(df.sparkSession), "resolution", "left")
-    return joined.withColumn("out_width", F.coalesce("out_width", "width")).withColumn("out_height", F.coalesce("out_height", "height"))
+    """Adds out_width and out_height (in place of columns of these names): those of the named resolution, or the source's."""
+    named = resolutions(df.sparkSession).select("resolution", F.col("out_width").alias("_w"), F.col("out_height").alias("_h"))
+    joined = df.join(F.broadcast(named), "resolution", "left")
+    return joined.withColumn("out_width", F.coalesce("_w", "width")).withColumn("out_height", F.coalesce("_h", "height")).drop("_w", "_h")
 
 
 def parse_size(text: Column) -> tuple[Column, Column]:

@@ -49,9 +49,9 @@ def resolve_encoder(jobs: DataFrame) -> DataFrame:
 
 
 def with_collisions(df: DataFrame, path: str = "output_path") -> DataFrame:
-    """Adds collides: whether another file goes to the same output."""
-    n = df.groupBy(path).agg((F.count("*") > 1).alias("collides"))
-    return df.join(n, path)
+    """Adds collides: whether another file goes to the same output. A null path collides with none."""
+    several = df.groupBy(path).agg(F.count("*").alias("_n")).filter(F.col(path).isNotNull() & (F.col("_n") > 1))
+    return df.join(several, path, "left").withColumn("collides", F.col("_n").isNotNull()).drop("_n")
 
 
 def batch_summary(results: DataFrame, batch: str, started: Column | None = None, ended: Column | None = None) -> DataFrame:

@@ -53,7 +53,8 @@ def host_tick(samples: DataFrame, seconds: int = 1) -> DataFrame:
 
 def throttle(updates: DataFrame, gap_ms: int = 200) -> DataFrame:
     """Updates that are shown: the first of a session, those at the end, and those at least ``gap_ms`` after the last one shown. What is shown
-    depends on what was, so a session is walked in order; sessions are short next to all of them."""
+    depends on what was, so a session is walked in order; sessions are short next to all of them. Rows without a session are
+    dropped."""
     def walk(batches):
         current = last = None
         for b in batches:
@@ -67,5 +68,5 @@ def throttle(updates: DataFrame, gap_ms: int = 200) -> DataFrame:
                 keep.append(show)
             yield pd.DataFrame(b[keep])
 
-    dealt = updates.select("session_id", "seq", "t_ms", "cur", "total").repartition("session_id").sortWithinPartitions("session_id", "t_ms", "seq")
+    dealt = updates.filter("session_id is not null").select("session_id", "seq", "t_ms", "cur", "total").repartition("session_id").sortWithinPartitions("session_id", "t_ms", "seq")
     return dealt.mapInPandas(walk, dealt.schema)

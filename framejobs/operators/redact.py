@@ -1,5 +1,7 @@
 """Jobs on frame tables with pixels: (video_id, frame_id, height, width, channels, pixels, ...). Pixels are never shuffled.
 
+Frames whose pixels are null keep null pixels and get no boxes; boxes with a null coordinate are passed over.
+
 Set spark.sql.execution.arrow.maxRecordsPerBatch to a few dozen for large frames; batches are also limited to spark.sql.execution.arrow.maxBytesPerBatch.
 """
 
@@ -25,7 +27,7 @@ def rgb_frames(frames: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            b["pixels"] = [ensure_rgb(array_of(r)).tobytes() for r in b.itertuples(index=False)]
+            b["pixels"] = [None if r.pixels is None else ensure_rgb(array_of(r)).tobytes() for r in b.itertuples(index=False)]
             b["channels"] = 3
             yield b.astype({"channels": "int32"})
 
@@ -34,13 +36,17 @@ def rgb_frames(frames: DataFrame) -> DataFrame:
 
 def redact_frames(frames: DataFrame, mode: str = "blur", **options) -> DataFrame:
     """Frames with the boxes of their array column ``boxes`` covered, in the order of det_idx."""
+    if mode == "none":
+        return frames
 
     def run(batches):
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                order = sorted(row.boxes if row.boxes is not None else [], key=lambda x: x["det_idx"])
-                out.append(redact_frame(array_of(row), [(x["x1"], x["y1"], x["x2"], x["y2"]) for x in order], mode, **options).tobytes())
+                order = sorted(row.boxes if row.boxes is not None else [], key=lambda x: (x["det_idx"] is None, x["det_idx"]))
+                boxes = [tuple(x[c] for c in ("x1", "y1", "x2", "y2")) for x in order]
+                boxes = [x for x in boxes if not any(v is None or np.isnan(v) for v in x)]
+                out.append(None if row.pixels is None else redact_frame(array_of(row), boxes, mode, **options).tobytes() if boxes else row.pixels)
             b["pixels"] = out
             yield b
 
@@ -57,7 +63,7 @@ def resize_frames(frames: DataFrame, width: int | None = None, height: int | Non
 
     def run(batches):
         for b in batches:
-            b["pixels"] = [resize_bytes(array_of(r), r.out_width, r.out_height).tobytes() for r in b.itertuples(index=False)]
+            b["pixels"] = [None if r.pixels is None else resize_bytes(array_of(r), r.out_width, r.out_height).tobytes() for r in b.itertuples(index=False)]
             b["width"], b["height"] = b["out_width"], b["out_height"]
             yield b.drop(columns=["out_width", "out_height"])
 
@@ -73,8 +79,8 @@ def score_frames(frames: DataFrame, model_fn, batch: int = 8, threshold: float =
         model = model_fn()
         for b in batches:
             b = b.reset_index(drop=True)
-            found: list = [None] * len(b)
-            for (h, w), part in b.groupby(["height", "width"]):
+            found: list = [[] for _ in range(len(b))]
+            for (h, w), part in b[b["pixels"].notna()].groupby(["height", "width"]):
                 nw, nh = -(-w // 32) * 32, -(-h // 32) * 32
                 for s in range(0, len(part), batch):
                     rows = part.iloc[s : s + batch]

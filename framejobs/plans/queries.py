@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from framejobs.functions import boxes, encode, media, progress, telemetry
 from framejobs.operators import catalog, detections, frames, pixels, redact
 from framejobs.operators import progress as logs
+from framejobs.plans import redaction
 from framejobs.plans.fixtures import FIXTURES, ctes, fixture
 from framejobs.plans.folders import new_folder
 from framejobs.plans.redaction import encode_again_plan, encode_plan
@@ -484,12 +487,24 @@ def pixel_frames(spark: SparkSession, sf_dir: str, best_only: bool = True) -> Da
 
 
 def byte_sums(df: DataFrame) -> DataFrame:
+    """Of each frame the sum of its bytes, and that of each byte times its place from 1, which tells moved and swapped values."""
+
     def run(batches):
         for b in batches:
-            n = [int(np.frombuffer(p, dtype=np.uint8).sum()) for p in b["pixels"]]
-            yield pd.DataFrame({"video_id": b["video_id"], "frame_id": b["frame_id"], "byte_sum": n})
+            arrays = [np.frombuffer(p, dtype=np.uint8).astype(np.int64) for p in b["pixels"]]
+            yield pd.DataFrame({
+                "video_id": b["video_id"], "frame_id": b["frame_id"], "byte_sum": [int(a.sum()) for a in arrays],
+                "place_sum": [int((a * np.arange(1, len(a) + 1)).sum()) for a in arrays],
+            })
+
+    return df.select("video_id", "frame_id", "pixels").mapInPandas(run, "video_id long, frame_id long, byte_sum long, place_sum long")
+
+
+PLACE = "((y * w + x) * ch + c + 1)"
 
-    return df.select("video_id", "frame_id", "pixels").mapInPandas(run, "video_id long, frame_id long, byte_sum long")
+
+def sums_sql(value: str, place: str = PLACE) -> str:
+    return f"sum({value})::bigint as byte_sum, sum(({value}) * {place})::bigint as place_sum"
 
 
 PIXELS = ctes("frames", "detections") + f""", pf as (select video_id, frame_id, case when video_id % 2 = 0 then 16 else 20 end as h, case when video_id % 2 = 0 then 16 else 24 end as w,
@@ -499,13 +514,18 @@ bj as (select * from best join pf using (video_id, frame_id)), gb as ({grown_sql
 px as (select *, unnest(range(0, w)) as x from (select *, unnest(range(0, h)) as y from (select *, unnest(range(0, ch)) as c from pf)))"""
 
 
-@query(f"{PIXELS} select video_id, frame_id, sum((frame_id * 31 + y * 17 + x * 7 + c * 101) % 256)::bigint as byte_sum from px group by 1, 2")
+VALUE = "(frame_id * 31 + y * 17 + x * 7 + c * 101) % 256"
+
+
+@query(f"{PIXELS} select video_id, frame_id, {sums_sql(VALUE)} from px group by 1, 2")
 def redact_none(spark, sf_dir):
     return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir), "none"))
 
 
-@query(f"""{PIXELS} select px.video_id, px.frame_id, sum(case when x between gx1 and gx2 and y between gy1 and gy2 then 0 else (px.frame_id * 31 + y * 17 + x * 7 + c * 101) % 256 end)::bigint as byte_sum
-from px left join gb on px.video_id = gb.video_id and px.frame_id = gb.frame_id group by 1, 2""")
+SOLID = f"{PIXELS} select px.video_id, px.frame_id, {sums_sql('case when x between gx1 and gx2 and y between gy1 and gy2 then 0 else (px.frame_id * 31 + y * 17 + x * 7 + c * 101) % 256 end')} from px left join gb on px.video_id = gb.video_id and px.frame_id = gb.frame_id group by 1, 2"
+
+
+@query(SOLID)
 def redact_solid(spark, sf_dir):
     return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir), "solid"))
 
@@ -513,8 +533,11 @@ def redact_solid(spark, sf_dir):
 IN_MOSAIC = "x between gx1 and least(gx2, gx1 + ((gx2 - gx1 + 3) // 4) * 4 - 1) and y between gy1 and least(gy2, gy1 + ((gy2 - gy1 + 3) // 4) * 4 - 1) and gx2 > gx1 and gy2 > gy1"
 
 
-@query(f"""{PIXELS} select px.video_id, px.frame_id, sum(case when {IN_MOSAIC} then (px.frame_id * 31 + (gy1 + (y - gy1) // 4 * 4) * 17 + (gx1 + (x - gx1) // 4 * 4) * 7 + c * 101) % 256
-  else (px.frame_id * 31 + y * 17 + x * 7 + c * 101) % 256 end)::bigint as byte_sum from px left join gb on px.video_id = gb.video_id and px.frame_id = gb.frame_id group by 1, 2""")
+MOSAIC = f"""case when {IN_MOSAIC} then (px.frame_id * 31 + (gy1 + (y - gy1) // 4 * 4) * 17 + (gx1 + (x - gx1) // 4 * 4) * 7 + c * 101) % 256
+  else (px.frame_id * 31 + y * 17 + x * 7 + c * 101) % 256 end"""
+
+
+@query(f"{PIXELS} select px.video_id, px.frame_id, {sums_sql(MOSAIC)} from px left join gb on px.video_id = gb.video_id and px.frame_id = gb.frame_id group by 1, 2")
 def redact_mosaic(spark, sf_dir):
     return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir), "mosaic", mosaic_size=4))
 
@@ -524,13 +547,13 @@ def blur_sql(inside: str) -> str:
     mirror = lambda i, n: f"case when {i} < 0 then -({i}) when {i} >= {n} then 2 * ({n} - 1) - ({i}) else {i} end"
     value = lambda y, x: f"(frame_id * 31 + ({y}) * 17 + ({x}) * 7 + c * 101) % 256"
     return f"""{PIXELS}, cr as (select *, cw // 2 as kw, ch2 // 2 as kh from (select *, gx2 - gx1 as cw, gy2 - gy1 as ch2 from gb) where cw >= 2 and ch2 >= 2),
-i as (select px.video_id, px.frame_id, c, x - gx1 as bx, y - gy1 as byy, gx1, gy1, cw, ch2, kw, kh from px join cr on px.video_id = cr.video_id and px.frame_id = cr.frame_id
+i as (select px.video_id, px.frame_id, c, {PLACE} as place, x - gx1 as bx, y - gy1 as byy, gx1, gy1, cw, ch2, kw, kh from px join cr on px.video_id = cr.video_id and px.frame_id = cr.frame_id
   and x >= gx1 and x < gx2 and y >= gy1 and y < gy2),
 n as (select *, unnest(range(0, kw)) as dx from (select *, unnest(range(0, kh)) as dy from i where {inside})),
-f as (select video_id, frame_id, c, bx, byy, any_value({value("gy1 + byy", "gx1 + bx")}) as was, round_even(sum({value(f"gy1 + {mirror('(byy - kh // 2 + dy)', 'ch2')}", f"gx1 + {mirror('(bx - kw // 2 + dx)', 'cw')}")}) / any_value(kw * kh), 0) as now
+f as (select video_id, frame_id, c, bx, byy, any_value(place) as place, any_value({value("gy1 + byy", "gx1 + bx")}) as was, round_even(sum({value(f"gy1 + {mirror('(byy - kh // 2 + dy)', 'ch2')}", f"gx1 + {mirror('(bx - kw // 2 + dx)', 'cw')}")}) / any_value(kw * kh), 0) as now
   from n group by 1, 2, 3, 4, 5),
-t as (select video_id, frame_id, sum({value("y", "x")}) as total from px group by 1, 2)
-select video_id, frame_id, (any_value(total) + coalesce(sum(now - was), 0))::bigint as byte_sum from t left join f using (video_id, frame_id) group by 1, 2"""
+t as (select video_id, frame_id, sum({value("y", "x")}) as total, sum(({value("y", "x")}) * {PLACE}) as placed from px group by 1, 2)
+select video_id, frame_id, (any_value(total) + coalesce(sum(now - was), 0))::bigint as byte_sum, (any_value(placed) + coalesce(sum((now - was) * place), 0))::bigint as place_sum from t left join f using (video_id, frame_id) group by 1, 2"""
 
 
 @query(blur_sql("true"))
@@ -556,8 +579,7 @@ al as (select video_id, frame_id, list({{'gx1': gx1, 'gy1': gy1, 'gx2': gx2, 'gy
 ax as (select *, unnest(range(0, w)) as x from (select *, unnest(range(0, h)) as y from (select *, unnest(range(0, ch)) as c from pf left join al using (video_id, frame_id))))"""
 
 
-@query(f"""{ALL_BOXES} select video_id, frame_id, sum(case when len(list_filter(covers, lambda b: x between b.gx1 and b.gx2 and y between b.gy1 and b.gy2)) > 0 then 0
-  else (frame_id * 31 + y * 17 + x * 7 + c * 101) % 256 end)::bigint as byte_sum from ax group by 1, 2""")
+@query(f"""{ALL_BOXES} select video_id, frame_id, {sums_sql(f"case when len(list_filter(covers, lambda b: x between b.gx1 and b.gx2 and y between b.gy1 and b.gy2)) > 0 then 0 else {VALUE} end")} from ax group by 1, 2""")
 def redact_solid_all(spark, sf_dir):
     return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir, best_only=False), "solid"))
 
@@ -577,41 +599,72 @@ def redact_blur_ellipse_all(spark, sf_dir):
     return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir, best_only=False), "blur"))
 
 
-@query()
+def bilinear_sql(value: Callable[[str, str], str]) -> str:
+    """A value between the pixels (iy0, ix0) and (iy1, ix1), at the fractions fy and fx."""
+    row = lambda y: f"(({value(y, 'ix0')}) * (1 - fx) + ({value(y, 'ix1')}) * fx)"
+    return f"({row('iy0')} * (1 - fy) + {row('iy1')} * fy)"
+
+
+def source_sql(out: str, n_out: str, n: str, axis: str) -> str:
+    return f"greatest(0e0, least({n} - 1, ({out} + 0.5e0) * {n} / {n_out} - 0.5e0)) as s{axis}"
+
+
+TAPS = "floor(sy)::int as iy0, least(floor(sy)::int + 1, ny - 1) as iy1, sy - floor(sy) as fy, floor(sx)::int as ix0, least(floor(sx)::int + 1, nx - 1) as ix1, sx - floor(sx) as fx"
+IMAGE = lambda c: f"round_even({bilinear_sql(lambda y, x: f'(20 * {y} + 4 * {x} + {c})')}, 0)"
+
+
+@query(f"""{ALL_BOXES}, ib as ({grown_sql("aj", "w", "h", "video_id, frame_id, det_idx")}),
+all_px as (select *, unnest(range(0, w)) as x from (select *, unnest(range(0, h)) as y from (select *, unnest(range(0, ch)) as c from pf))),
+hit as (select *, 6 as ny, 5 as nx, {source_sql("(y - gy1)", "(gy2 - gy1)", "6", "y")}, {source_sql("(x - gx1)", "(gx2 - gx1)", "5", "x")}
+  from all_px join ib using (video_id, frame_id) where c < 3 and x >= gx1 and x < gx2 and y >= gy1 and y < gy2),
+tap as (select *, {TAPS} from hit),
+drawn as (select video_id, frame_id, c, y, x, list({{'a': {IMAGE("3")} / 255, 'r': {IMAGE("c")}}} order by det_idx) as d from tap group by 1, 2, 3, 4, 5),
+v as (select p.*, {VALUE} as was, d from all_px p left join drawn using (video_id, frame_id, c, y, x)),
+n as (select *, case when d is null then was else list_reduce(list_prepend({{'a': 0e0, 'r': was::double}}, d), lambda p, q: {{'a': 0e0, 'r': trunc(p.r * (1 - q.a) + q.r * q.a)}}).r end as now from v)
+select video_id, frame_id, {sums_sql("now")} from n group by 1, 2""")
 def redact_img(spark, sf_dir):
     image = np.arange(6 * 5 * 4, dtype=np.uint8).reshape(6, 5, 4)
     return byte_sums(redact.redact_frames(pixel_frames(spark, sf_dir, best_only=False), "img", image=image))
 
 
-@query()
+@query(f"""{PIXELS}, o as (select *, h as ny, w as nx, {source_sql("oy", "10", "h", "y")}, {source_sql("ox", "12", "w", "x")}
+  from (select *, unnest(range(0, 12)) as ox from (select *, unnest(range(0, 10)) as oy from (select *, unnest(range(0, ch)) as c from pf)))),
+tap as (select *, {TAPS} from o), r as (select *, round_even({bilinear_sql(lambda y, x: f"((frame_id * 31 + {y} * 17 + {x} * 7 + c * 101) % 256)")}, 0) as v from tap)
+select video_id, frame_id, {sums_sql("v", "((oy * 12 + ox) * ch + c + 1)")} from r group by 1, 2""")
 def resize_frames(spark, sf_dir):
     return byte_sums(redact.resize_frames(pixel_frames(spark, sf_dir), 12, 10))
 
 
-@query(f"{PIXELS} select video_id, frame_id, sum((frame_id * 31 + y * 17 + x * 7 + c * 101) % 256)::bigint as byte_sum from px group by 1, 2")
+@query(SOLID)
 def write_redacted(spark, sf_dir):
     """Written to the shared folder, partitioned by video, and read again."""
     root = new_folder(spark, "redacted")
-    sinks.write_redacted(redact.redact_frames(pixel_frames(spark, sf_dir), "none"), root)
+    sinks.write_redacted(redact.redact_frames(pixel_frames(spark, sf_dir), "solid"), root)
     return byte_sums(spark.read.parquet(root).withColumn("video_id", F.col("video_id").cast("long")))
 
 
-@query(f"""{PIXELS} select video_id, frame_id, (sum(case when c < 3 then (frame_id * 31 + y * 17 + x * 7 + c * 101) % 256 else 0 end) * any_value(case when ch = 1 then 3 else 1 end))::bigint as byte_sum
-from px group by 1, 2""")
+@query(f"""{PIXELS}, rgb as (select *, case when ch = 1 then k else c end as k3 from px, unnest([0, 1, 2]) as t(k) where case when ch = 1 then true else c = k end)
+select video_id, frame_id, {sums_sql(VALUE, "((y * w + x) * 3 + k3 + 1)")} from rgb group by 1, 2""")
 def ensure_rgb(spark, sf_dir):
     return byte_sums(redact.rgb_frames(pixel_frames(spark, sf_dir)))
 
 
-@query()
+@query(f"""{PIXELS}, k as (select n, k, greatest(0e0, least(n - 1, (k + 0.5e0) * n / 32 - 0.5e0)) as s from (select unnest([16, 20, 24]) as n), range(0, 32) as r(k)),
+taps as (select n, k, floor(s)::int as i, 1 - (s - floor(s)) as t from k union all select n, k, least(floor(s)::int + 1, n - 1), s - floor(s) from k),
+wt as (select n, i, sum(t) as t, sum(t * k) as tk from taps group by 1, 2),
+rgb as (select *, case when ch = 1 then k else c end as k3 from px, unnest([0, 1, 2]) as u(k) where case when ch = 1 then true else c = k end)
+select video_id, frame_id, round(sum(({VALUE}) * a.t * b.t), 2) as input_sum, round(sum(({VALUE}) * ((k3 * 1024 + 1) * a.t * b.t + 32 * a.tk * b.t + a.t * b.tk)), 2) as place_sum
+from rgb join wt a on a.n = h and a.i = y join wt b on b.n = w and b.i = x group by 1, 2""")
 def network_input(spark, sf_dir):
-    """What the model gets: the sum of each frame's resized channels."""
+    """What the model gets: the sum of each frame's resized channels, and that of each value times its place from 1."""
 
     def run(batches):
         for b in batches:
-            sums = [float(pixels.to_network_input([redact.array_of(r)], 32, 32).sum(dtype=np.float64)) for r in b.itertuples(index=False)]
-            yield pd.DataFrame({"video_id": b["video_id"], "frame_id": b["frame_id"], "input_sum": np.round(sums, 2)})
+            flat = [pixels.to_network_input([redact.array_of(r)], 32, 32).ravel().astype(np.float64) for r in b.itertuples(index=False)]
+            placed = [float((x * np.arange(1, len(x) + 1)).sum()) for x in flat]
+            yield pd.DataFrame({"video_id": b["video_id"], "frame_id": b["frame_id"], "input_sum": np.round([x.sum() for x in flat], 2), "place_sum": np.round(placed, 2)})
 
-    return pixel_frames(spark, sf_dir).drop("boxes").mapInPandas(run, "video_id long, frame_id long, input_sum double")
+    return pixel_frames(spark, sf_dir).drop("boxes").mapInPandas(run, "video_id long, frame_id long, input_sum double, place_sum double")
 
 
 def toy_model():
@@ -633,6 +686,127 @@ def score_frames(spark, sf_dir):
     return scored.select("video_id", "frame_id", F.size("boxes").alias("n_boxes"), F.round(total, 3).alias("box_sum"))
 
 
+def write_files(df: DataFrame, root: str) -> None:
+    """Writes the binary column ``content`` of each row to the file ``name`` below ``root``."""
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                where, path = fs.FileSystem.from_uri(f"{root}/{name}")
+                where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(path) as f:
+                    f.write(content)
+            yield b[["name"]]
+
+    df.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
+LISTED = ["mp4", "MP4", "Mov", "avi", "mkv", "txt", "jpg"]
+
+
+def _listing(spark, sf_dir) -> str:
+    """A file for each supplier, in five folders."""
+    root, key = new_folder(spark, "listing"), F.col("s_suppkey")
+    name = F.concat(F.lit("d"), (key % 5).cast("string"), F.lit("/s"), key.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, LISTED)), (key % 7 + 1).cast("int")))
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(name.alias("name"), F.encode(F.expr("repeat('x', cast(s_suppkey % 100 + 1 as int))"), "UTF-8").alias("content"))
+    write_files(df, root)
+    return root
+
+
+LISTING = f"with l as (select 'd' || s_suppkey % 5 as folder, {LISTED}[s_suppkey % 7 + 1] as ext, 's' || s_suppkey || '.' || {LISTED}[s_suppkey % 7 + 1] as name, s_suppkey % 100 + 1 as size_bytes from supplier)"
+
+
+@query(f"{LISTING} select name, size_bytes from l where ext in {tuple(VIDEO_EXTENSIONS)} and folder <> 'd4'")
+def list_media(spark, sf_dir):
+    """Files written for each supplier, listed by extension in four of their folders."""
+    root = _listing(spark, sf_dir)
+    found = files.scan_media(spark, [f"{root}/d{k}" for k in range(4)])
+    return found.select(F.regexp_replace("path", "^.*/", "").alias("name"), "size_bytes")
+
+
+@query(f"""{LISTING}{values("mime", "ext, mime", MIME)}, t as (select folder, size_bytes, case when mime like 'video%' then 'video' when mime like 'image%' then 'image' else mime end as file_type
+  from l left join mime on lower(l.ext) = mime.ext) select folder, file_type, count(*) as n_files, sum(size_bytes)::bigint as size_bytes from t group by 1, 2""")
+def list_all_files(spark, sf_dir):
+    """All of them, then classified by their names."""
+    root = _listing(spark, sf_dir)
+    found = media.classify_media(files.scan_all_files(spark, [f"{root}/d{k}" for k in range(5)]).withColumn("is_file", F.lit(1)))
+    return found.groupBy(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), "file_type").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("size_bytes"))
+
+
+def _images(spark, sf_dir) -> DataFrame:
+    """An image for each supplier, 9 x 7 pixels, written as a bitmap and read again."""
+    root = new_folder(spark, "images")
+
+    def encode_images(batches):
+        for b in batches:
+            out = []
+            for k in b["s_suppkey"].tolist():
+                y, x, c = np.ogrid[:7, :9, :3]
+                rows = np.pad(((k * 31 + y * 17 + x * 7 + c * 101) % 256).astype(np.uint8)[::-1, :, ::-1].reshape(7, 27), ((0, 0), (0, 1)))
+                out.append(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + rows.size, 0, 0, 54, 40, 9, 7, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes())
+            yield pd.DataFrame({"name": [f"i{k}.bmp" for k in b["s_suppkey"]], "content": out})
+
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    write_files(keys.mapInPandas(encode_images, "name string, content binary"), root)
+    found = files.read_images(spark, root)
+    return found.withColumn("video_id", F.regexp_extract("path", "i([0-9]+).bmp$", 1).cast("long")).withColumn("frame_id", F.lit(0).cast("long"))
+
+
+IMAGES = "with px as (select s_suppkey as video_id, 0::bigint as frame_id, s_suppkey as k, 9 as w, 7 as h, 3 as ch, y, x, c from supplier, range(0, 7) as a(y), range(0, 9) as b(x), range(0, 3) as d(c))"
+IMAGE_VALUE = "(k * 31 + y * 17 + x * 7 + c * 101) % 256"
+
+
+@query(f"{IMAGES} select video_id, frame_id, {sums_sql(IMAGE_VALUE)} from px group by 1, 2")
+def read_images(spark, sf_dir):
+    return byte_sums(_images(spark, sf_dir))
+
+
+TWO = f"case when y <= 3 and x <= 4 or y >= 3 and x >= 4 and k % 2 = 0 then 9 else {IMAGE_VALUE} end"
+
+
+@query(f"{IMAGES} select video_id, frame_id, {sums_sql(TWO)} from px group by 1, 2")
+def redact_images(spark, sf_dir):
+    """One box in the odd images, two that overlap in the even ones."""
+    box = lambda k, *at: F.struct(F.lit(k).alias("det_idx"), *(F.lit(float(v)).alias(n) for v, n in zip(at, BOX_COLUMNS, strict=True)))
+    boxed = _images(spark, sf_dir).withColumn("boxes", F.when(F.col("video_id") % 2 == 0, F.array(box(1, 4, 3, 9, 9), box(0, 0, 0, 4, 3))).otherwise(F.array(box(0, 0, 0, 4, 3))))
+    return byte_sums(redact.redact_images(boxed, "solid", mask_scale=1.0, color=(9, 9, 9)))
+
+
+def bright_model():
+    """Faces are where a cell's mean is high; all of one size."""
+
+    def run(x: np.ndarray):
+        b, _, h, w = x.shape
+        cells = x.astype(np.float64).reshape(b, 3, h // 4, 4, w // 4, 4).mean(axis=(3, 5)) / 255
+        flat = np.zeros_like(cells[:, :2])
+        return cells.mean(axis=1, keepdims=True), flat, flat, np.zeros((b, 10, h // 4, w // 4))
+
+    return run
+
+
+@query(f"""{ctes("frames")}, px as (select video_id, frame_id, y // 4 as cy, x // 4 as cx, avg((frame_id * 29 + y * y * 17 + x * 7 * y) % 256) / 255 as heat from frames, range(0, 32) as a(y), range(0, 32) as b(x) group by 1, 2, 3, 4),
+f as (select video_id, frame_id, max(heat) > 0.8001 as face from px group by 1, 2)
+select '/cam/d' || video_id % 5 as dir, 'v' || video_id || '.mp4' as filename, count(*) as total_frames, count(*) filter (face) as face_frames, round_even(count(*) filter (face) / count(*), 4) as face_ratio
+from f where video_id % 10 <> 9 group by video_id""")
+def redact_videos(spark, sf_dir):
+    """The whole job, run twice into one folder: the second run's statistics have the second run's frames alone, and none of cameras."""
+    camera = F.col("video_id") % 10 == 9
+    path = F.concat(F.lit("/cam/d"), (F.col("video_id") % 5).cast("string"), F.lit("/v"), F.col("video_id").cast("string"), F.lit(".mp4"))
+    base = fixture(spark, sf_dir, "frames").select("video_id", "frame_id", F.when(camera, "<video0>").otherwise(path).alias("path"), *(F.lit(n).cast("int").alias(c) for c, n in (("height", 32), ("width", 32), ("channels", 1))))
+
+    def paint(batches):
+        y, x = np.ogrid[:32, :32]
+        for b in batches:
+            b["pixels"] = [((f * 29 + y * y * 17 + x * 7 * y) % 256).astype(np.uint8).tobytes() for f in b["frame_id"]]
+            yield b
+
+    painted = base.mapInPandas(paint, T.StructType([*base.schema.fields, T.StructField("pixels", T.BinaryType())]))
+    root = new_folder(spark, "videos")
+    for _ in range(2):
+        stats = redaction.redact_videos(painted, bright_model, f"{root}/out", f"{root}/stats", mode="solid", threshold=0.8001)
+    return stats.select("dir", "filename", "total_frames", "face_frames", F.bround("face_ratio", 4).alias("face_ratio"))
+
+
 # Streams
 
 
@@ -670,12 +844,12 @@ def progress_stream(spark, sf_dir):
     path = new_folder(spark, "progress")
     latest = streams.progress_stream(log, 1000).select("job_id", "frame", "elapsed", "done")
 
-    def replace(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{epoch}")
+    def updated(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")  # the same folder if the batch is run again
 
-    q = latest.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(latest.schema).parquet(f"{path}/{q.lastProgress['batchId']}")
+    latest.writeStream.foreachBatch(updated).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(latest.schema).parquet(f"{path}/out")
+    return rows.groupBy("job_id").agg(*(F.max_by(c, "epoch").alias(c) for c in ("frame", "elapsed", "done")))
 
 
 @query(ORACLES["throttle"])

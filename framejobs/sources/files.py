@@ -12,7 +12,8 @@ from framejobs.sources.lookups import VIDEO_EXTENSIONS
 
 def scan_media(spark: SparkSession, folders: list[str], extensions: list[str] = VIDEO_EXTENSIONS) -> DataFrame:
     """(path, size_bytes) of the files of folders with one of the extensions, as written, subfolders left out; contents are not read.
-    A folder that is given twice is listed twice. Names that begin with _ or a dot are never listed."""
+    A folder that is given twice is listed twice. Names that begin with _ or a dot and empty files are never
+    listed: Spark's file sources pass over them."""
     parts = [spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").option("recursiveFileLookup", "false").load(f) for f in folders]
     out = parts[0]
     for p in parts[1:]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from mimetypes import MimeTypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: (extension, MIME type) as Python registers them, whatever the machine's own tables say; other extensions are unknown.
+MIME = sorted((e.removeprefix("."), t) for e, t in MimeTypes().types_map[True].items())
 # Fixed values.
 #: (codec, gpu, encoder)
 ENCODERS = [
@@ -21,11 +25,6 @@ ENCODERS = [
 ]
 #: (resolution, width, height)
 RESOLUTIONS = [("480p", 854, 480), ("720p", 1280, 720), ("1080p", 1920, 1080), ("4k", 3840, 2160)]
-#: (extension, MIME type); others are unknown
-MIME = [
-    ("mp4", "video/mp4"), ("mov", "video/quicktime"), ("avi", "video/x-msvideo"), ("webm", "video/webm"), ("mpg", "video/mpeg"), ("jpg", "image/jpeg"),
-    ("png", "image/png"), ("gif", "image/gif"), ("bmp", "image/bmp"), ("webp", "image/webp"), ("tiff", "image/tiff"), ("txt", "text/plain"), ("csv", "text/csv"),
-]
 #: Extensions of input videos, as they are written, for the command line and for the desktop tool.
 VIDEO_EXTENSIONS = ["mp4", "MP4", "mov", "MOV", "avi", "AVI", "mkv"]
 VIDEO_EXTENSIONS_GUI = [*VIDEO_EXTENSIONS, "MKV"]

@@ -26,9 +26,12 @@ def telemetry_stream(samples: DataFrame, width: str = "1 second", late: str = "1
     )
 
 
-def progress_stream(log: DataFrame, n_frames: int) -> DataFrame:
-    """The latest progress of each job; update or complete mode."""
-    return latest_progress(log, n_frames)
+def progress_stream(log: DataFrame, n_frames: int, late: str | None = None) -> DataFrame:
+    """The latest progress of each job; update or complete mode. With ``late``, jobs are followed a day at a time by the event time ``ts``: a column
+    ``day`` (a window) is added, and in update mode the state of days behind the watermark is dropped."""
+    if late is None:
+        return latest_progress(log, n_frames)
+    return latest_progress(log.withWatermark("ts", late), n_frames, F.window("ts", "1 day").alias("day"))
 
 
 class Throttle(StatefulProcessor):
@@ -58,8 +61,10 @@ class Throttle(StatefulProcessor):
 
 
 def throttle_stream(updates: DataFrame, gap_ms: int = 200) -> DataFrame:
-    """The updates that are shown, across micro-batches; needs the RocksDB state store."""
-    return updates.groupBy("session_id").transformWithStateInPandas(Throttle(gap_ms), outputStructType=UPDATES, outputMode="Append", timeMode="None")
+    """The updates that are shown, across micro-batches; needs the RocksDB state store. Rows without a session are dropped. A session's state, one
+    number, is kept as long as the query's checkpoint."""
+    known = updates.filter("session_id is not null")
+    return known.groupBy("session_id").transformWithStateInPandas(Throttle(gap_ms), outputStructType=UPDATES, outputMode="Append", timeMode="None")
 
 
 def frame_stream(frames: DataFrame, model_fn, mode: str = "blur", batch: int = 8, threshold: float = 0.2, **options) -> DataFrame:

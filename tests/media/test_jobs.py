@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from framejobs.functions import media
 from framejobs.operators import catalog, detections, frames, pixels, progress, redact
 from framejobs.plans import queries as Q
 from framejobs.plans.redaction import redact_videos
@@ -134,6 +135,65 @@ def test_redaction_job(spark, tmp_path):
     assert {(r.width, r.height, len(r.pixels)) for r in small} == {(4, 4, 48)}
 
 
+def stream_of(spark, folder, schema, parts):
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{n}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
+def test_telemetry_across_batches_and_late_rows(spark, tmp_path):
+    """State is carried over batches; a row that comes before the watermark counts, one behind it does not."""
+    from datetime import UTC, datetime
+
+    at = lambda t: datetime.fromtimestamp(1_700_000_000 + t, UTC)
+    schema = "sample_id long, ts timestamp, host_id long, proc_name string, cpu_percent double, cpu_total double, mem_used long, mem_total long, gpu_csv string"
+    row = lambda k, t, host=1, cpu=10.0: (k, at(t), host, "ffmpeg", cpu, 50.0 + k, k, 100, f"{k}, 1, 2, 3")
+    parts = [[row(1, 0), row(2, 1)], [row(3, 0), row(4, 9, cpu=5.0)], [row(5, 40), row(6, 41, host=2)], [row(8, 90)], [row(7, 2, cpu=99.0), row(9, 200)]]
+    out = streams.telemetry_stream(stream_of(spark, tmp_path, schema, parts), "10 seconds", "20 seconds")
+    streams.run_available(out, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted((r.host_id, r.tick - 1_700_000_000, r.ffmpeg_cpu, r.mem_used) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    counted = [r for p in parts for r in p if r[0] != 7]
+    batch = progress.host_tick(spark.createDataFrame(counted, schema).withColumn("seconds", F.unix_seconds("ts")), 10)
+    assert got == sorted((r.host_id, r.tick - 1_700_000_000, r.ffmpeg_cpu, r.mem_used) for r in batch.collect() if r.tick - 1_700_000_000 < 180)
+
+
+@pytest.mark.parametrize("late", [None, "1 hour"])
+def test_progress_across_batches(spark, tmp_path, late):
+    from datetime import datetime
+
+    schema = "job_id long, line_no long, ts timestamp, seconds long, line string"
+    rows = [(j, k, datetime(2024, 1, 1, 10, 0, k), k, f"frame={k * 5 - j}" if (j + k) % 4 else "x") for j in range(3) for k in range(30)]
+    parts = [[r for r in rows if r[1] % 3 == n] for n in (2, 0, 1)]
+    path = str(tmp_path)
+    out = streams.progress_stream(stream_of(spark, tmp_path, schema, parts), 200, late)
+    update = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+    out.writeStream.foreachBatch(update).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/out").groupBy("job_id").agg(F.max_by(F.struct("frame", "elapsed", "done"), "epoch").alias("r")).select("job_id", "r.*")
+    want = progress.latest_progress(spark.createDataFrame(rows, schema), 200).select("job_id", "frame", "elapsed", "done")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_throttle_drops_rows_without_session(spark):
+    rows = [(1, 1, 0, 0, 9), (None, 1, 5, 0, 9), (1, 2, 10, 0, 9)]
+    assert [r.seq for r in progress.throttle(spark.createDataFrame(rows, streams.UPDATES)).collect()] == [1]
+
+
+def test_nulls_and_clashing_names(spark):
+    schema = "video_id long, frame_id long, height int, width int, channels int, pixels binary, boxes array<struct<det_idx: int, x1: double, y1: double, x2: double, y2: double>>"
+    pixels_ = bytes(range(48))
+    rows = [(1, 0, 4, 4, 3, None, [(0, 0.0, 0.0, 2.0, 2.0)]), (1, 1, 4, 4, 3, pixels_, [(None, None, 0.0, 2.0, 2.0), (0, 1.0, None, 2.0, 2.0)]), (1, 2, 4, 4, 3, pixels_, None)]
+    df = spark.createDataFrame(rows, schema)
+    assert [r.pixels and bytes(r.pixels) for r in redact.redact_frames(df, "solid").orderBy("frame_id").collect()] == [None, pixels_, pixels_]
+    assert [r.pixels is None for r in redact.resize_frames(df, 2, 2).orderBy("frame_id").collect()] == [True, False, False]
+    assert [r.pixels is None for r in redact.rgb_frames(df).orderBy("frame_id").collect()] == [True, False, False]
+    assert redact.score_frames(df, Q.toy_model).orderBy("frame_id").first().boxes == []
+    paths = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "a"), (5, None)], "id long, output_path string")
+    assert sorted((r.id, r.collides) for r in catalog.with_collisions(paths).collect()) == [(1, True), (2, False), (3, False), (4, True), (5, False)]
+    named = spark.createDataFrame([("/a/x.jpeg", 1, "mine", "own", "480p", 7, 8, 1, 2)], "path string, is_file int, ext string, mime string, resolution string, width int, height int, out_width int, out_height int")
+    r = media.target_size(media.classify_media(named)).first()
+    assert (r.file_type, r.ext, r.mime, r.out_width, r.out_height) == ("image", "mine", "own", 854, 480)
+
+
 @pytest.mark.parametrize("name", ["frame_stream", "score_frames", "redact_blur", "redact_img"])
 def test_queries_without_sql_run(spark, name):
     assert Q.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
