@@ -4,8 +4,12 @@ A page is parsed into a tree: start tags close what they imply closed (paragraph
 end tags without a partner are ignored, raw text ends only at its own end tag. Elements that a browser would not show are left out. The rest is
 rendered with block spacing, list markers and indentation, preformatted text as it is, and table cells in aligned columns.
 
-Defined results: a null page is empty; broken markup never fails; elements nest to any depth, and indentation stops at ``MAX_INDENT``; pages with
-one id are rendered each. A closed <details> shows its summary, a <select> all its options; images have no text.
+Visibility is inherited: what is in an element with visibility hidden is left out, but for inner elements that are visible again. Cells keep the columns
+that row and column spans leave them.
+
+Defined results: a null page is empty; broken markup never fails; elements nest to any depth; pages with one id are rendered each. A closed <details>
+shows its summary, a <select> all its options; images have no text. Text is never cut. Only blanks are limited: indentation stops at ``MAX_INDENT``,
+cells wider than ``MAX_COLUMN`` do not widen their column, and cells that would begin beyond ``MAX_LINE`` follow the one before after two blanks.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from __future__ import annotations
 import html
 import re
 import sys
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +26,8 @@ from pyspark.sql import functions as F
 
 #: Deeper lists and quotes are indented no further.
 MAX_INDENT = 300
-#: Columns are padded up to this width; wider cells run on.
-MAX_COLUMN = 80
+#: Columns are padded up to this width; wider cells run on. Cells are aligned up to this place of a line.
+MAX_COLUMN, MAX_LINE = 80, 2000
 SCHEMA = "page_id long, title string, text string, n_chars long, n_lines long, n_blocks long, n_items long, n_cells long"
 
 _TOKEN = re.compile(
@@ -30,7 +36,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING_STYLE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
@@ -53,10 +60,12 @@ _P_SCOPE = {"td", "th", "caption", "table", "button", "object", "template", "htm
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "inside")
+    __slots__ = ("tag", "attrs", "inside", "shown")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None = None):
         self.tag, self.attrs, self.inside = tag, attrs, []
+        own = _VISIBILITY.findall(attrs["style"]) if "style" in attrs else []
+        self.shown = own[-1].lower() == "visible" if own else parent is None or parent.shown
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -125,8 +134,8 @@ class Tree:
             self._close(*IMPLIED[tag])
         top = self.stack[-1].tag
         if tag in _CELL and self.open.get("table") and top in _PART | {"table"}:
-            self._push(Node("tr", {}))
-        node = Node(tag, _attributes(attrs) if attrs else {})
+            self._push(Node("tr", {}, self.stack[-1]))
+        node = Node(tag, _attributes(attrs) if attrs else {}, self.stack[-1])
         if any(tag in inside and self.open.get(t) for t, inside in UNDRAWN.items()):
             node.attrs["hidden"] = ""
         if tag in VOID or attrs.endswith("/") and (tag in UNDRAWN or self.open.get("svg") or self.open.get("math")):
@@ -224,6 +233,8 @@ class Page:
     def add(self, node: Node, pre: bool = False) -> None:
         for child in node.inside:
             if isinstance(child, str):
+                if not node.shown:
+                    continue
                 if pre:
                     first, *rest = child.expandtabs(8).replace("\r\n", "\n").split("\n")
                     self.now += first
@@ -263,7 +274,7 @@ class Page:
                 if isinstance(child, Node) and child.tag == "summary":
                     self.element(child, pre)
         elif tag == "input":
-            if node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+            if node.shown and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                 self.text(f" {node.attrs.get('value', '')} ")
         elif tag == "li":
             self.item(node, "- ", pre)
@@ -271,9 +282,10 @@ class Page:
             self.add(node, pre)
             self.text(" ")
         elif tag == "q":
-            self.now += '"'
+            mark = '"' if node.shown else ""
+            self.now += mark
             self.add(node, pre)
-            self.now += '"'
+            self.now += mark
         else:
             self.add(node, pre or tag in ("pre", "textarea", "xmp", "plaintext", "listing"))
         if gap:
@@ -282,14 +294,14 @@ class Page:
     def item(self, node: Node, marker: str, pre: bool) -> None:
         self.counts["items"] += 1
         self.end_line(1)
-        before, self.indent, self.marker = self.indent, self._deeper(" " * len(marker)), marker
+        before, self.indent, self.marker = self.indent, self._deeper(" " * len(marker)), marker if node.shown else ""
         self.add(node, pre)
         self.end_line(1)
         self.indent, self.marker = before, ""
 
     def list(self, node: Node, pre: bool) -> None:
         number = _number(node.attrs.get("start"), 1, -(10**9), 10**9)
-        loose = Node("div", {})
+        loose = Node("div", {}, node)
         for child in node.inside:
             if isinstance(child, Node) and child.tag == "li" and not hidden(child):
                 self.add(loose, pre)
@@ -310,51 +322,69 @@ class Page:
         return inner.lines
 
     def table(self, node: Node) -> None:
-        grid: list[list[tuple[int, list[str]]]] = []
+        grid: list[list[tuple[int, int, list[str]]]] = []  # rows of (column, span, lines)
+        busy: dict[int, int] = {}  # columns that cells of earlier rows reach into, and for how many rows
+
+        def place(row: list, cell: Node) -> None:
+            at = row[-1][0] + row[-1][1] if row else 0
+            while busy.get(at, 0) > 0:
+                at += 1
+            span, down = _number(cell.attrs.get("colspan"), 1), _number(cell.attrs.get("rowspan"), 1, 0, 65_534)
+            row.append((at, span, self.cell(cell)))
+            if down != 1:
+                fresh.update(dict.fromkeys(range(at, at + span), down - 1 if down else 65_534))
+
+        fresh: dict[int, int] = {}
 
         def walk(part: Node) -> None:
             for child in part.inside:
                 if isinstance(child, str):
-                    if child.strip():
+                    if child.strip() and part.shown:
                         self.text(child)
                 elif hidden(child):
                     continue
                 elif child.tag == "tr":
-                    row = []
+                    row: list = []
                     for c in child.inside:
                         if isinstance(c, Node) and c.tag in _CELL:
                             if not hidden(c):
-                                row.append((_number(c.attrs.get("colspan"), 1), self.cell(c)))
+                                place(row, c)
                         elif isinstance(c, str):
-                            if c.strip():
+                            if c.strip() and child.shown:
                                 self.text(c)
                         elif not hidden(c):
                             self.element(c, False)
                     grid.append(row)
+                    left = {c: n - 1 for c, n in busy.items() if n > 1}
+                    busy.clear()
+                    busy.update(left | fresh)
+                    fresh.clear()
                 elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
+                    busy.clear()  # cells do not reach out of their group
                     walk(child)
+                    busy.clear()
                 else:
                     self.element(child, False)
 
         walk(node)
         self.end_line(1)
-        widths: dict[int, int] = {}
-        for row in grid:
-            at = 0
-            for span, lines in row:
-                if span == 1:
-                    width = max(map(len, lines), default=0)
-                    if width <= MAX_COLUMN:
-                        widths[at] = max(widths.get(at, 0), width)
-                at += span
+        widths = {at: 0 for row in grid for at, _, _ in row}  # columns in which a cell begins
+        starts = sorted(widths)
+        for at, span, lines in sorted((c for row in grid for c in row), key=lambda c: c[1]):  # narrow cells first
+            width = max(map(len, lines), default=0)
+            if width <= MAX_COLUMN:
+                inside = starts[bisect_left(starts, at) : bisect_left(starts, at + span)]
+                widths[inside[-1]] += max(0, width - sum(widths[c] + 2 for c in inside) + 2)
+        begins = dict(zip(starts, accumulate((widths[c] + 2 for c in starts), initial=0), strict=False))
         for row in grid:
             out = []
-            for k in range(max((len(lines) for _, lines in row), default=0)):
-                at, line = 0, ""
-                for span, lines in row:
-                    width = sum(widths.get(c, 0) for c in range(at, at + min(span, 100))) + 2 * (min(span, 100) - 1)
-                    line += (lines[k] if k < len(lines) else "").ljust(min(width, 10 * MAX_COLUMN)) + "  "
-                    at += span
+            for k in range(max((len(lines) for *_, lines in row), default=0)):
+                line = ""
+                for at, _, lines in row:
+                    if k < len(lines) and lines[k]:
+                        if line or begins[at] <= MAX_LINE:
+                            line = line.ljust(begins[at]) if begins[at] <= MAX_LINE and len(line) + 2 * bool(line) <= begins[at] else f"{line}  "
+                        line += lines[k]
                 out.append(line.rstrip(" "))
             self.rows([x for x in out if x])
 
