@@ -45,6 +45,9 @@ KNOWN = [
     ("BSD-2-Clause", _BSD_HEAD + _BSD_END),
     ("BSD-3-Clause", _BSD_HEAD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("MIT-0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. " + _AS_IS),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -56,11 +59,17 @@ KNOWN = [
     ("MIT", "Licensed under the MIT License."),
     ("reserved", "All rights reserved."),
 ]
-#: Equivalent spellings, applied in this order to the canonical words.
+# Equivalent spellings, as whole words, or as beginnings of words if they end with *.
 SPELLINGS = [
-    ("licence", "license"), ("organisation", "organization"), ("authoris", "authoriz"), ("favour", "favor"), ("honour", "honor"), ("judgement", "judgment"),
-    ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("non infringement", "noninfringement"),
-    ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("while st", "whilst"), ("per cent", "percent"),
+    ("acknowledgement*", "acknowledgment"), ("analogue", "analog"), ("analyse*", "analyze"), ("artefact*", "artifact"), ("authoris*", "authoriz"), ("behaviour*", "behavior"),
+    ("calibre", "caliber"), ("cancelled", "canceled"), ("catalogue*", "catalog"), ("categoris*", "categoriz"), ("centre", "center"), ("colour*", "color"),
+    ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("customis*", "customiz"), ("emphasise*", "emphasize"), ("favour*", "favor"),
+    ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("honour*", "honor"), ("initialis*", "initializ"), ("judgement*", "judgment"), ("labelled", "labeled"),
+    ("labelling", "labeling"), ("labour", "labor"), ("licence*", "license"), ("maximis*", "maximiz"), ("merchantibility", "merchantability"), ("minimis*", "minimiz"),
+    ("modelled", "modeled"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("offence*", "offense"), ("optimis*", "optimiz"),
+    ("organis*", "organiz"), ("per cent", "percent"), ("practise*", "practice"), ("programme", "program"), ("realis*", "realiz"), ("recognis*", "recogniz"),
+    ("signalling", "signaling"), ("sub licence*", "sublicense"), ("sub license*", "sublicense"), ("sublicence*", "sublicense"), ("utilis*", "utiliz"), ("whilst", "while"),
+    ("wilful*", "willful"),
 ]
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,9 +83,24 @@ def canonical(text: Column, whole: bool) -> Column:
     if whole:
         t = F.regexp_replace(F.concat(F.lit("\n"), t), COPYRIGHT_LINE, "")
     t = F.trim(F.regexp_replace(t, NO_WORD, " "))
-    for a, b in SPELLINGS:
+    return F.when(t.rlike(ANY_SPELLING), _respelled(t)).otherwise(t)
+
+
+def _respelled(t: Column) -> Column:
+    """Words are put apart by two blanks, so that each has one of its own on either side."""
+    t = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for a, b in _padded():
         t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    return F.replace(F.trim(t), F.lit("  "), F.lit(" "))
+
+
+def _padded() -> list[tuple[str, str]]:
+    pad = lambda a, end: " " + a.replace(" ", "  ") + end
+    return [(pad(a.rstrip("*"), "" if a.endswith("*") else " "), pad(b, "" if a.endswith("*") else " ")) for a, b in SPELLINGS]
+
+
+#: What every text with one of the spellings has: only such texts are respelled.
+ANY_SPELLING = "\\b(?:" + "|".join(sorted({a.rstrip("*") for a, _ in SPELLINGS})) + ")"
 
 
 def digest(text: Column, whole: bool) -> Column:
@@ -91,11 +115,18 @@ HEAD = (
 #: Body digests of whole licences that are too long to list, as their publishers word them.
 LONG = {
     "ef36af97727268b60fb709836c24580bed9887f649dba6f0fd9ef4b18232fd25": "Apache-2.0",
+    "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2": "Artistic-1.0-Perl",
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "8870e5967f922b7e719ec6ce8608bc36161428a3f91512359450b97f2443130f": "GFDL-1.2",
+    "06f2f604013cdf1f77b2c7422a98715eb317ca58e126d18e1620acca4e12ce1c": "GFDL-1.3",
+    "d408d9dad6e4560274412e743ec3ba01007197655029f60544c308bc54f80499": "GPL-1.0",
     "0bfb659bf7eeb9921df1446a6a93beba70e0dc947eec10a42d26bb310dccd498": "GPL-2.0",
     "7d478223d8fcde6480339b8bbaadacf6b93d7007d04a13fbd30f71a80fd981a0": "GPL-3.0",
+    "9ccbf81e2fd78db81966e466a22ed39318d0a4b4550cd69d1144dcf09722ff10": "LGPL-2.0",
     "a9cc8dda4023821e198a2e1bee36afc3e68fce90828780c7bac37ffe33565e15": "LGPL-2.1",
     "3ce770135de37fc153de7af30789ebf6cf1e9ad54eb9b487647ea8aa9ccae9c2": "LGPL-3.0",
-    "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d": "MPL-2.0",
+    "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1": "MPL-1.1",
+    "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a": "MPL-2.0",
 }
 
 
@@ -136,10 +167,10 @@ def _sql_digest(text: str, whole: bool) -> str:
     t = f"translate({text}, '{UPPER}', '{LOWER}')"
     if whole:
         t = f"regexp_replace(chr(10) || {t}, {_sql_text(COPYRIGHT_LINE)}, '', 'g')"
-    t = f"trim(regexp_replace({t}, {_sql_text(NO_WORD)}, ' ', 'g'))"
-    for a, b in SPELLINGS:
+    t = f"' ' || replace(trim(regexp_replace({t}, {_sql_text(NO_WORD)}, ' ', 'g')), ' ', '  ') || ' '"
+    for a, b in _padded():
         t = f"replace({t}, '{a}', '{b}')"
-    return f"sha256({t})"
+    return f"sha256(replace(trim({t}), '  ', ' '))"
 
 
 OP9_SQL = f"""

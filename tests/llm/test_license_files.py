@@ -6,7 +6,9 @@ import pytest
 from framejobs.llm.licenses import KNOWN, scan_licenses
 
 TITLES = {"MIT": "The MIT License (MIT)", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
-FILES = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+FILES = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"} | {
+    "GPL-1": "GPL-1.0", "LGPL-2": "LGPL-2.0", "MPL-1.1": "MPL-1.1", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl",
+}
 FOLDER = "/usr/share/common-licenses"
 
 
@@ -28,6 +30,20 @@ def test_titled_and_wrapped_files(spark):
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no licence texts here")
 def test_whole_long_licences(spark):
-    texts = [open(f"{FOLDER}/{f}").read() for f in FILES]
+    texts = [open(f"{FOLDER}/{f}", encoding="utf-8", errors="replace").read() for f in FILES]
     assert ids(spark, texts) == list(FILES.values())
     assert ids(spark, [t.replace("\n", "\n\n  ") for t in texts]) == list(FILES.values())
+
+
+def test_spellings_are_whole_words(spark):
+    from pyspark.sql import functions as F
+
+    from framejobs.llm.licenses import canonical
+
+    pairs = {
+        "the licence licence licences": "the license license licenses", "while still whilst": "while still while", "programme programmer": "program programmer",
+        "authorised by the copyright owners": "authorized by the copyright holders", "sub-licence, sub-licensing? sublicence": "sublicense sub licensing sublicense",
+        "percentage per cent": "percentage percent", "unorganised organised": "unorganised organized", "organisation": "organization", "fulfilment fulfil fulfilled": "fulfillment fulfill fulfilled",
+    }
+    df = spark.createDataFrame(list(pairs.items()), "t string, want string")
+    assert [(r.got, r.want) for r in df.select(canonical(F.col("t"), False).alias("got"), "want").collect()] == [(w, w) for w in pairs.values()]
