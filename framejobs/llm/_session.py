@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Spark's checkpoint folder, which it takes from spark.checkpoint.dir; only where that is unset, as in a local test, a temporary one."""
+    """Spark's checkpoint folder, which it takes from spark.checkpoint.dir; only where that is unset and all is on one machine, a temporary one."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that the whole cluster shares in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(named or f"file://{tempfile.mkdtemp()}")
     return re.sub("^file:/+", "file:///", spark.sparkContext.getCheckpointDir().rstrip("/"))
 
@@ -29,6 +31,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, wherever Spark can write."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """About ``rows`` rows, twice as many at most, chosen by a hash of columns that tell rows apart. Tasks filter: no task and no driver sorts them."""
     steps = 1 << 40
