@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framejobs.llm._joins import join_frequent
-from framejobs.llm._session import new_folder, with_checkpoints
+from framejobs.llm._session import drop_folder, new_folder, with_checkpoints
 from framejobs.llm.decontamination import find_contaminated
 from framejobs.llm.packing import pack_documents
 from framejobs.llm.simhash import near_duplicates
@@ -79,10 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again as the next one's input."""
-    docs = with_checkpoints(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet in the shared folder and read again as the next one's input. What a stage has read is
+    deleted when it has written its own."""
+    docs, before = with_checkpoints(spark).read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
