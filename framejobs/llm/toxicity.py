@@ -11,13 +11,14 @@ Only fitting is bounded: about ``per_class`` labelled documents of each class, t
 their ids. Every
 document is scored over its whole text, in place: nothing is shuffled.
 
-Defined results: null and empty texts are scored like any other, with no windows; labels that are null count for nothing, several for one document
+Defined results: null and empty texts have no windows and score like long text none of whose windows is toxic; labels that are null count for nothing, several for one document
 count as the largest; a null doc_id trains nothing and is not held out; where one class has no labelled documents all scores are the share of ones.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -39,6 +40,8 @@ WINDOW, PHASES, LEVEL, GRAM = 80, 3, 3, 6
 #: Bytes of the dictionaries, and of the shortest string that is left over.
 BASE_BYTES, TOXIC_BYTES, SHORTEST = 100_000, 896, 8
 REACH, CLIP = 24, 12.0
+#: Toxic dictionaries that are tried, and documents of each class that they are tried on.
+TRIALS, TRIAL_DOCUMENTS = 8, (300, 600)
 _WINDOWS = re.compile(rb"[\s\S]{1,%d}(?:(?=[ \n\t])|\Z)|[\s\S]{1,%d}" % (WINDOW, WINDOW))
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -104,6 +107,8 @@ def left_over(texts: list[bytes], base: bytes) -> list[bytes]:
 
 def _features(d: np.ndarray, evidence: np.ndarray) -> list[float]:
     """The mean of the evidence for toxicity, and the sum of all evidence, at most CLIP either way. Neither grows with the length of ordinary text."""
+    if not len(d):
+        return [0.0, -CLIP]
     e = evidence[np.clip(d, -REACH, REACH) + REACH]
     return [float(np.maximum(e, 0).sum() / (len(e) + 1)), float(np.clip(e.sum(), -CLIP, CLIP))]
 
@@ -116,22 +121,16 @@ def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b""
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
-    """``share``: of ones among all labels, which the sample of each class need not have."""
-    toxic, ordinary = ([t.translate(A.LOWER) for t in texts] for texts in (toxic, ordinary))
-    a_toxic, a_ordinary = toxic[::2] or toxic, ordinary[::2] or ordinary
-    b_toxic, b_ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
-    samples = list(islice((w for t in a_ordinary for w in windows(t)), SAMPLES))
-    base = _dictionary(BASE_BYTES + 4096, samples, WINDOW, GRAM)[-BASE_BYTES:] or b"".join(samples)[-BASE_BYTES:]
-    model = Model(base, _dictionary(TOXIC_BYTES, left_over(a_toxic, base), 12, 8), np.zeros(2 * REACH + 1), np.zeros(3))
-    d_toxic, d_ordinary = ([distances(t, model.base, model.toxic) for t in texts] for texts in (b_toxic, b_ordinary))
+def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Evidence by distance, the weights of a logistic curve, and its mean loss on these documents."""
+    evidence = np.zeros(2 * REACH + 1)
     histogram = lambda ds: np.bincount(np.clip(np.concatenate(ds), 0, REACH), minlength=REACH + 1) + 0.5
     h1, h0 = histogram(d_toxic), histogram(d_ordinary)
     ratio = np.log((h1 / h1.sum()) / (h0 / h0.sum()))
     # A window that the toxic dictionary does not help speaks for ordinary text, if for anything; one that it helps more is no weaker evidence.
-    model.evidence[: REACH + 1] = min(ratio[0], 0.0)
-    model.evidence[REACH + 1 :] = np.maximum.accumulate(np.maximum(ratio[1:], 0))
-    x = np.array([_features(d, model.evidence) + [1.0] for d in d_toxic + d_ordinary])
+    evidence[: REACH + 1] = min(ratio[0], 0.0)
+    evidence[REACH + 1 :] = np.maximum.accumulate(np.maximum(ratio[1:], 0))
+    x = np.array([_features(d, evidence) + [1.0] for d in d_toxic + d_ordinary])
     y = np.repeat([1.0, 0.0], [len(d_toxic), len(d_ordinary)])
     w = np.where(y == 1, share / len(d_toxic), (1 - share) / len(d_ordinary)) * len(y)
     weights = np.zeros(3)
@@ -142,8 +141,27 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
         weights += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    model.weights = weights
-    return model
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-9, 1 - 1e-9)
+    return evidence, weights, float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
+    """``share``: of ones among all labels, which the sample of each class need not have.
+
+    Which strings a small dictionary gets depends on the order of its samples, so the toxic one is trained on TRIALS orders, and that with the least loss
+    on documents that it has not seen is taken."""
+    toxic, ordinary = ([t.translate(A.LOWER) for t in texts] for texts in (toxic, ordinary))
+    a_toxic, a_ordinary = toxic[::2] or toxic, ordinary[::2] or ordinary
+    b_toxic, b_ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
+    samples = list(islice((w for t in a_ordinary for w in windows(t)), SAMPLES))
+    base = _dictionary(BASE_BYTES + 4096, samples, WINDOW, GRAM)[-BASE_BYTES:] or b"".join(samples)[-BASE_BYTES:]
+    strings = left_over(a_toxic, base)
+    trials = {_dictionary(TOXIC_BYTES, random.Random(k).sample(strings, len(strings)), 12, 8): None for k in range(TRIALS)}
+    some = [texts[:n] for texts, n in zip((b_toxic, b_ordinary), TRIAL_DOCUMENTS, strict=True)]
+    loss = lambda t: _calibrated(*([distances(x, base, t) for x in texts] for texts in some), share)[2]
+    best = min(trials, key=loss) if len(trials) > 1 else next(iter(trials))
+    evidence, weights, _ = _calibrated(*([distances(x, base, best) for x in texts] for texts in (b_toxic, b_ordinary)), share)
+    return Model(base, best, evidence, weights)
 
 
 def score(text: bytes, model: Model) -> float:

@@ -36,7 +36,8 @@ def test_scores_from_plain_compressors():
         d.precompute_compress(compression_params=params)
         return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(window))
 
-    for t in toxic[:3] + ordinary[:3] + [b"", b"x", "É A\n B".encode() * 40]:
+    assert X.score(b"", model) == 1 / (1 + np.exp(-np.dot([0.0, -12.0, 1.0], model.weights)))
+    for t in toxic[:3] + ordinary[:3] + [b"x", "É A\n B".encode() * 40]:
         low = bytes(c + 32 if 65 <= c < 91 else c for c in t)
         parts = []
         for phase in range(3):
