@@ -83,7 +83,8 @@ def canonical(text: Column, whole: bool) -> Column:
     if whole:
         t = F.regexp_replace(F.concat(F.lit("\n"), t), COPYRIGHT_LINE, "")
     t = F.trim(F.regexp_replace(t, NO_WORD, " "))
-    return F.when(t.rlike(ANY_SPELLING), _respelled(t)).otherwise(t)
+    # Bound by a lambda, so that it is made once; only texts that have one of the spellings are respelled.
+    return F.transform(F.array(t), lambda x: F.when(x.rlike(ANY_SPELLING), _respelled(x)).otherwise(x))[0]
 
 
 def _respelled(t: Column) -> Column:
@@ -99,7 +100,7 @@ def _padded() -> list[tuple[str, str]]:
     return [(pad(a.rstrip("*"), "" if a.endswith("*") else " "), pad(b, "" if a.endswith("*") else " ")) for a, b in SPELLINGS]
 
 
-#: What every text with one of the spellings has: only such texts are respelled.
+#: What every text with one of the spellings has.
 ANY_SPELLING = "\\b(?:" + "|".join(sorted({a.rstrip("*") for a, _ in SPELLINGS})) + ")"
 
 
