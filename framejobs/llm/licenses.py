@@ -101,7 +101,8 @@ def _padded() -> list[tuple[str, str]]:
 
 
 #: What every text with one of the spellings has.
-ANY_SPELLING = "\\b(?:" + "|".join(sorted({a.rstrip("*") for a, _ in SPELLINGS})) + ")"
+_FIRST = {a[0]: [b.rstrip("*")[1:] for b, _ in SPELLINGS if b[0] == a[0]] for a, _ in SPELLINGS}  # one branch for each first letter
+ANY_SPELLING = "\\b(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(_FIRST.items())) + ")"
 
 
 def digest(text: Column, whole: bool) -> Column:
