@@ -18,7 +18,7 @@ from framejobs.operators import catalog, detections, frames, pixels, redact
 from framejobs.operators import progress as logs
 from framejobs.plans import redaction
 from framejobs.plans.fixtures import FIXTURES, ctes, fixture
-from framejobs.plans.folders import new_folder
+from framejobs.sources.folders import new_folder
 from framejobs.plans.redaction import encode_again_plan, encode_plan
 from framejobs.sources import files, sinks
 from framejobs.sources.lookups import ENCODERS, MIME, RESOLUTIONS, VIDEO_EXTENSIONS, VIDEO_EXTENSIONS_GUI
