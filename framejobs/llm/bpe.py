@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-A batch of texts is cut into its units (words, digits, signs); units that the task has not met yet are laid side by side in one array of symbols,
-each unit once. An index maps every pair of neighbours that has a rank to all places where it occurs. The active ranks are taken in ascending order
-from a heap: the pair of the lowest rank is merged at its places from left to right, and the lists of the pairs that this makes are added to. Places
-whose symbols have been merged away meanwhile are passed over when their list comes up. A unit of any length costs n log n. What units become is
-kept for the following batches, up to a bound.
+A batch of texts is split at blanks, and what the task has not met yet is cut into its units (words, digits, signs); new units are laid side by side in
+one array of symbols, each once. An index maps every pair of neighbours that has a rank to all places where it occurs. The active ranks are taken in
+ascending order from a heap: the pair of the lowest rank is merged at its places from left to right, and the lists of the pairs that this makes are
+added to. Places whose symbols have been merged away meanwhile are passed over when their list comes up. A unit of any length costs n log n. What units and whole
+pieces between blanks become is kept for the following batches, up to a bound; a piece that is a single unit is the same entry.
 
 Texts are normalised and cut here where they have letters below U+0300 and common punctuation only, and by the tokenizer's own normaliser and rules
 where they have others, so that its tables of Unicode decide there. Strings of special tokens in a text are those tokens, as in the library.
@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 
 from framejobs.llm._batches import slices
 
-#: Units kept by a task, bytes of text in a slice, and new units that are merged at once.
-KEPT, SLICE_BYTES, AT_ONCE = 300_000, 2_000_000, 20_000
+#: Units and pieces kept by a task, and their letters; bytes of text in a slice; new pieces that are merged at once.
+KEPT, KEPT_LETTERS, SLICE_BYTES, AT_ONCE = 300_000, 8_000_000, 2_000_000, 20_000
 #: Texts of these characters alone are cut here: below U+0300, and dashes, quotes, bullets, dots and the euro sign.
-_PLAIN = re.compile("[\x00-˿‐-‧€]*")
-_SPACE = re.compile("[\t-\r \x85\xa0]+")
+_PLAIN = re.compile("[\x00-\x1b -\u02ff\u2010-\u2027\u20ac]*")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -67,21 +66,30 @@ class Bpe:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.texts = dict(zip(vocab.values(), vocab, strict=True)) | {i: t for t, i in added.items()}
+        texts = dict(zip(vocab.values(), vocab, strict=True)) | {i: t for t, i in added.items()}
+        self.texts = [texts.get(i, "") for i in range(max(texts) + 1)]
         self.rule = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.byte_of = {c: b for b, c in enumerate(letters)}
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def units(self, text: str) -> list[str]:
-        """The units of a text without special tokens, normalised."""
+    def pieces(self, text: str) -> list[str]:
+        """A text without special tokens, normalised and split at blanks, across which no unit reaches."""
         if _PLAIN.fullmatch(text):
-            return self.rule.findall(_SPACE.sub(" ", text).lower())
-        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(map(self.byte_of.__getitem__, u)).decode() for u, _ in cut]
+            return text.lower().split()
+        return [p for p in self.library.normalizer.normalize_str(text).split(" ") if p]
+
+    def units(self, piece: str) -> list[str]:
+        """The units of a piece."""
+        if _PLAIN.fullmatch(piece):
+            return self.rule.findall(piece)
+        return [bytes(map(self.byte_of.__getitem__, u)).decode() for u, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
 
     def merge(self, units: list[str]) -> list[array]:
         """The ids of each of some distinct units that are not empty."""
+        if not units:
+            return []
         ids, after, before, starts = [], [], [], []
         for u in units:
             data, at = u.encode(), len(ids)
@@ -127,27 +135,28 @@ class Bpe:
         ends = [*starts[1:], len(ids)]
         return [array("I", [x for x in ids[s:e] if x >= 0]) for s, e in zip(starts, ends, strict=True)]
 
-    def learn(self, units: set[str]) -> None:
-        """Adds units to the known ones."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-            new = list(units)
+    def learn(self, pieces: set[str]) -> None:
+        """Adds pieces, and their units, to what is known."""
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        self.held += sum(map(len, new))
+        if len(known) + len(new) > KEPT or self.held > KEPT_LETTERS:
+            known.clear()
+            new = list(pieces)
+            self.held = sum(map(len, new))
         for s in range(0, len(new), AT_ONCE):
-            part = new[s : s + AT_ONCE]
-            self.known.update((u, ids.tobytes()) for u, ids in zip(part, self.merge(part), strict=True))
+            cut = {p: self.units(p) for p in new[s : s + AT_ONCE]}
+            units = [u for u in {u for us in cut.values() for u in us} if u not in known]
+            known.update((u, ids.tobytes()) for u, ids in zip(units, self.merge(units), strict=True))
+            known.update((p, b"".join([known[u] for u in us])) for p, us in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        cut: list[list[str | bytes]] = []
-        for text in texts:
-            if self.split_added is None or self.split_added.search(text) is None:
-                cut.append(self.units(text))
-            else:
-                cut.append([u for part in self.split_added.split(text) for u in ([self.added[part]] if part in self.added else self.units(part))])
-        self.learn({u for units in cut for u in units if isinstance(u, str)})
-        known = self.known
-        return [b"".join([known[u] if isinstance(u, str) else u for u in units]) for units in cut]
+        parts = [[t] if self.split_added is None or self.split_added.search(t) is None else self.split_added.split(t) for t in texts]
+        cut = [[None if p in self.added else self.pieces(p) for p in ps] for ps in parts]
+        self.learn(set().union(*(c for cs in cut for c in cs if c is not None)))
+        look = self.known.__getitem__
+        return [b"".join([self.added[p] if c is None else b"".join(map(look, c)) for p, c in zip(ps, cs, strict=True)]) for ps, cs in zip(parts, cut, strict=True)]
 
     def decode(self, ids: bytes) -> str:
         """The tokens' strings, joined by blanks: the tokenizer has no decoder."""
