@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framejobs.functions.media import extension, folder
+from framejobs.operators.scan import ranked
 from framejobs.sources.lookups import GPU_ORDER, VIDEO_EXTENSIONS, encoders
 
 
@@ -63,8 +64,6 @@ def batch_summary(results: DataFrame, batch: str, started: Column | None = None,
 
 
 def batch_progress(df: DataFrame, batch: str, order: str, seconds: Column) -> DataFrame:
-    """Adds done_before, done_after, total and elapsed (since the batch's first time) for each file of a batch."""
-    whole = Window.partitionBy(batch)
-    return df.withColumns({
-        "done_after": F.row_number().over(whole.orderBy(order)), "total": F.count("*").over(whole), "elapsed": seconds - F.min(seconds).over(whole),
-    }).withColumn("done_before", F.col("done_after") - 1)
+    """Adds done_before, done_after, total and elapsed (since the batch's first time) for each file of a batch. A large batch is counted by many tasks."""
+    out = ranked(df, [batch], [order], "done_after", total="total", least={"_began": seconds})
+    return out.withColumns({"done_before": F.col("done_after") - 1, "elapsed": seconds - F.col("_began")}).select(*df.columns, "done_after", "total", "elapsed", "done_before")

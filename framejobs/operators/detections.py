@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framejobs.operators.pixels import suppress_in_order
+
 KEY = ["video_id", "frame_id"]
+#: Boxes of a frame up to which each is compared with all kept ones.
+MANY = 100
 
 
 def det_index(boxes: DataFrame) -> DataFrame:
@@ -22,11 +28,32 @@ def _overlap(a, b, limit: float):
     return (union > 0) & (w * h >= F.lit(limit) * union)
 
 
-def nms(detections: DataFrame, limit: float = 0.3) -> DataFrame:
+def nms(detections: DataFrame, limit: float = 0.3, many: int = MANY) -> DataFrame:
     """Detections that no better kept one of their frame overlaps by ``limit`` or more. Of equal scores the higher index is better. Two empty
-    boxes do not overlap. The fold runs within a frame's rows; frames are many and small."""
+    boxes do not overlap. Frames of up to ``many`` boxes are folded by built-in expressions, which compare each box with all kept ones; larger ones
+    compare it with those near it in a grid."""
     fields = F.struct("score", "det_idx", "x1", "y1", "x2", "y2")
     ranked = detections.groupBy(*KEY).agg(F.sort_array(F.collect_list(fields), False).alias("boxes"))
     none = F.array().cast(ranked.schema["boxes"].dataType)
     kept = F.aggregate("boxes", none, lambda got, b: F.when(F.exists(got, lambda k: _overlap(k, b, limit)), got).otherwise(F.concat(got, F.array(b))))
-    return ranked.select(*KEY, F.inline(kept)).select(*KEY, "det_idx", "x1", "y1", "x2", "y2", "score")
+    few = ranked if limit <= 0 else ranked.filter(F.size("boxes") <= many)
+    out = few.select(*KEY, F.inline(kept))
+    if limit > 0:
+        out = out.unionByName(_thinned(ranked.filter(F.size("boxes") > many), limit).select(*KEY, F.inline("boxes")))
+    return out.select(*KEY, "det_idx", "x1", "y1", "x2", "y2", "score")
+
+
+def _thinned(frames: DataFrame, limit: float) -> DataFrame:
+    """Frames with their ``boxes``, best first, without the suppressed ones."""
+
+    def run(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                one = b.slice(row, 1)
+                boxes = one.column("boxes").flatten()
+                corners = np.stack([boxes.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2")], axis=1)
+                kept = boxes.take(pa.array(suppress_in_order(corners, limit), pa.int64()))
+                out = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)
+                yield pa.RecordBatch.from_arrays([*one.columns[:-1], out], names=one.schema.names)
+
+    return frames.select(*KEY, "boxes").mapInArrow(run, frames.select(*KEY, "boxes").schema)

@@ -125,3 +125,42 @@ def suppress(boxes: np.ndarray, score: np.ndarray, limit: float) -> list[int]:
         union = area[k] + area[left] - w * h
         left = left[~((union > 0) & (w * h >= limit * union))]
     return sorted(kept)
+
+
+def suppress_in_order(boxes: np.ndarray, limit: float) -> list[int]:
+    """Indexes of the kept ones of (n, 4) boxes that are sorted from the best down.
+
+    Kept boxes lie in grids by size: boxes that overlap by ``limit`` differ in width and height by a factor of 1 / limit at most, so a box looks only at
+    the grids of such sizes, and there at the cells it touches; a grid's cells are as large as its largest boxes, so a box lies in four at most.
+    """
+    x1, y1, x2, y2 = boxes.T
+    w, h = x2 - x1, y2 - y1
+    area = w * h
+    proper = (w > 0) & (h > 0) & np.isfinite(boxes).all(axis=1)
+    size = np.full((len(boxes), 2), 0, dtype=np.int64)
+    size[proper] = np.ceil(np.log2(np.stack((w, h), axis=1)[proper])).astype(np.int64)
+    reach = int(np.ceil(np.log2(1 / min(limit, 1.0)))) + 1
+    grids: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = {}
+
+    def cells(k: int, sx: int, sy: int):
+        cw, ch = 2.0**sx, 2.0**sy
+        for cx in range(int(np.floor(x1[k] / cw)), int(np.floor(x2[k] / cw)) + 1):
+            for cy in range(int(np.floor(y1[k] / ch)), int(np.floor(y2[k] / ch)) + 1):
+                yield cx, cy
+
+    kept = []
+    for k in range(len(boxes)):
+        if proper[k]:  # other boxes overlap nothing
+            sx, sy = size[k].tolist()
+            near = [i for (gx, gy), grid in grids.items() if abs(gx - sx) <= reach and abs(gy - sy) <= reach for c in cells(k, gx, gy) for i in grid.get(c, ())]
+            if near:
+                i = np.array(near)
+                shared = np.maximum(0, np.minimum(x2[k], x2[i]) - np.maximum(x1[k], x1[i])) * np.maximum(0, np.minimum(y2[k], y2[i]) - np.maximum(y1[k], y1[i]))
+                union = area[k] + area[i] - shared
+                if ((union > 0) & (shared >= limit * union)).any():
+                    continue
+            grid = grids.setdefault((sx, sy), {})
+            for c in cells(k, sx, sy):
+                grid.setdefault(c, []).append(k)
+        kept.append(k)
+    return kept

@@ -36,13 +36,11 @@ def _ffmpeg_sum() -> Column:
     return F.coalesce(F.sum(F.when(is_ffmpeg(F.col("proc_name")), F.col("cpu_percent"))), F.lit(0.0)).alias("ffmpeg_cpu")
 
 
-def host_tick_aggregates() -> list[Column]:
+def host_tick_aggregates(gpu: bool = True) -> list[Column]:
     """What one tick of one host combines; the latest good GPU sample counts, or none."""
-    gpu = parse_gpu_csv(F.col("gpu_csv"))
-    return [
-        _ffmpeg_sum(), F.max("cpu_total").alias("cpu_total"), F.max("mem_used").alias("mem_used"), F.max("mem_total").alias("mem_total"),
-        F.max_by(gpu, F.when(gpu.isNotNull(), F.col("sample_id"))).alias("gpu"),
-    ]
+    sample = parse_gpu_csv(F.col("gpu_csv"))
+    found = [_ffmpeg_sum(), F.max("cpu_total").alias("cpu_total"), F.max("mem_used").alias("mem_used"), F.max("mem_total").alias("mem_total")]
+    return [*found, F.max_by(sample, F.when(sample.isNotNull(), F.col("sample_id"))).alias("gpu")] if gpu else found
 
 
 def host_tick(samples: DataFrame, seconds: int = 1) -> DataFrame:

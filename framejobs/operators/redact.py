@@ -18,6 +18,10 @@ from framejobs.operators.pixels import decode_and_suppress, ensure_rgb, redact_f
 BOXES = "array<struct<det_idx: int, x1: double, y1: double, x2: double, y2: double, score: double, landmarks: array<double>>>"
 
 
+#: Bytes of frames that wait in a task for others of their shape.
+HELD_BYTES = 256 << 20
+
+
 def array_of(row) -> np.ndarray:
     return np.frombuffer(row.pixels, dtype=np.uint8).reshape(row.height, row.width, row.channels)
 
@@ -71,26 +75,49 @@ def resize_frames(frames: DataFrame, width: int | None = None, height: int | Non
     return sized.mapInPandas(run, schema)
 
 
-def score_frames(frames: DataFrame, model_fn, batch: int = 8, threshold: float = 0.2, limit: float = 0.3) -> DataFrame:
+def score_frames(frames: DataFrame, model_fn, batch: int = 8, threshold: float = 0.2, limit: float = 0.3, held_bytes: int = HELD_BYTES) -> DataFrame:
     """Adds ``boxes``: scored, decoded, suppressed, and back in source pixels, within the row. ``model_fn()`` is called once a task and returns a
-    function from a float32 (batch, 3, y, x) to heat (b, 1, h, w), scale (b, 2, h, w), offset (b, 2, h, w) and landmarks (b, 10, h, w)."""
+    function from a float32 (batch, 3, y, x) to heat (b, 1, h, w), scale (b, 2, h, w), offset (b, 2, h, w) and landmarks (b, 10, h, w).
+
+    Frames of one shape wait for each other over the whole task, whatever batches they arrive in, so that the model is called with full batches, and
+    once more for what is left of a shape at the end. Only where frames of very many shapes wait, with more than ``held_bytes`` of pixels, the shape that
+    has waited longest goes early. Rows come out as they are scored, not in their order.
+    """
 
     def run(batches):
         model = model_fn()
+        waiting: dict[tuple, list[pd.DataFrame]] = {}  # rows by shape; the shape that has waited longest comes first
+        held = 0
+
+        def scored(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:
+            nw, nh = -(-w // 32) * 32, -(-h // 32) * 32
+            heat, scale, offset, marks = model(to_network_input([array_of(r) for r in rows.itertuples(index=False)], nw, nh))
+            found = []
+            for k in range(len(rows)):
+                boxes = decode_and_suppress(heat[k, 0], scale[k], offset[k], marks[k], (nh, nw), threshold, limit)
+                sw, sh = nw / w, nh / h
+                found.append([x | {"x1": x["x1"] / sw, "x2": x["x2"] / sw, "y1": x["y1"] / sh, "y2": x["y2"] / sh, "landmarks": [v / (sh if j % 2 else sw) for j, v in enumerate(x["landmarks"])]} for x in boxes])
+            return rows.assign(boxes=pd.Series(found, index=rows.index, dtype=object))
+
         for b in batches:
-            b = b.reset_index(drop=True)
-            found: list = [[] for _ in range(len(b))]
-            for (h, w), part in b[b["pixels"].notna()].groupby(["height", "width"]):
-                nw, nh = -(-w // 32) * 32, -(-h // 32) * 32
-                for s in range(0, len(part), batch):
-                    rows = part.iloc[s : s + batch]
-                    heat, scale, offset, marks = model(to_network_input([array_of(r) for r in rows.itertuples(index=False)], nw, nh))
-                    for k, i in enumerate(rows.index):
-                        boxes = decode_and_suppress(heat[k, 0], scale[k], offset[k], marks[k], (nh, nw), threshold, limit)
-                        sw, sh = nw / w, nh / h
-                        found[i] = [x | {"x1": x["x1"] / sw, "x2": x["x2"] / sw, "y1": x["y1"] / sh, "y2": x["y2"] / sh, "landmarks": [v / (sh if j % 2 else sw) for j, v in enumerate(x["landmarks"])]} for x in boxes]
-            b["boxes"] = found
-            yield pd.DataFrame(b)
+            blank = b[b["pixels"].isna()]
+            if len(blank):
+                yield blank.assign(boxes=pd.Series([[] for _ in range(len(blank))], index=blank.index, dtype=object))
+            for shape, part in b[b["pixels"].notna()].groupby(["height", "width"]):
+                rows = pd.concat([*waiting.pop(shape, []), part], ignore_index=True)
+                full = len(rows) - len(rows) % batch
+                for s in range(0, full, batch):
+                    yield scored(rows.iloc[s : s + batch], *shape)
+                if full < len(rows):
+                    waiting[shape] = [rows.iloc[full:]]
+            held = sum(int(p.str.len().sum()) for parts in waiting.values() for p in (x["pixels"] for x in parts))
+            while held > held_bytes:
+                shape = next(iter(waiting))
+                rows = pd.concat(waiting.pop(shape), ignore_index=True)
+                held -= int(rows["pixels"].str.len().sum())
+                yield scored(rows, *shape)
+        for shape, parts in waiting.items():
+            yield scored(pd.concat(parts, ignore_index=True), *shape)
 
     fields = [f for f in frames.schema.fields if f.name != "boxes"]
     schema = T.StructType(fields + T.StructType.fromDDL(f"boxes {BOXES}").fields)

@@ -296,6 +296,22 @@ def nms(spark, sf_dir):
     return detections.nms(fixture(spark, sf_dir, "detections"))
 
 
+CROWDED = ctes("detections") + """, crowded as (select video_id, frame_id // 100 as frame_id, (frame_id % 100 * 20 + det_idx)::int as det_idx, x1 + frame_id % 10 * 40 as x1, y1 + frame_id % 100 // 10 * 40 as y1,
+  x2 + frame_id % 10 * 40 as x2, y2 + frame_id % 100 // 10 * 40 as y2, score from detections)"""
+
+
+@query(CROWDED.replace("with ", "with recursive ", 1) + ORACLES["nms"].removeprefix(ctes("detections").replace("with ", "with recursive ", 1)).replace("from detections)", "from crowded)"))
+def nms_crowded(spark, sf_dir):
+    """A hundred frames' detections side by side in one."""
+    df = fixture(spark, sf_dir, "detections")
+    right, down = F.col("frame_id") % 10 * 40, F.floor(F.col("frame_id") % 100 / 10) * 40
+    moved = df.select(
+        "video_id", F.floor(F.col("frame_id") / 100).alias("frame_id"), (F.col("frame_id") % 100 * 20 + F.col("det_idx")).cast("int").alias("det_idx"),
+        *((F.col(c) + by).alias(c) for c, by in (("x1", right), ("y1", down), ("x2", right), ("y2", down))), "score",
+    )
+    return detections.nms(moved)
+
+
 @query(f"""{ctes("cells")} select video_id, frame_id, cell_y, cell_x, row_number() over (partition by video_id, frame_id order by cell_y, cell_x) - 1 as det_idx from cells where heat > 0.2""")
 def det_index(spark, sf_dir):
     return detections.det_index(fixture(spark, sf_dir, "cells").filter("heat > 0.2").select("video_id", "frame_id", "cell_y", "cell_x"))
@@ -371,6 +387,15 @@ def trim_frames(spark, sf_dir):
     return frames.trim_frames(fixture(spark, sf_dir, "frames"), F.lit(10), F.lit(70), F.lit(25.0)).select("video_id", "frame_id", "out_id")
 
 
+@query(f"""{ctes("frames")}, k as (select *, row_number() over (partition by video_id order by frame_id) - 1 as i from frames where frame_id >= 10 and frame_id % 3 <> 1),
+s as (select video_id, frame_id, floor(i * (25e0 / fps) + 0.5)::bigint as s, floor((i + 1) * (25e0 / fps) + 0.5)::bigint as e from k)
+select * from (select video_id, frame_id, unnest(range(s, e)) as out_id from s where e > s) where out_id < 60""")
+def trim_frames_gaps(spark, sf_dir):
+    """Each third frame is missing."""
+    kept = fixture(spark, sf_dir, "frames").filter("frame_id % 3 <> 1")
+    return frames.trim_frames(kept, F.lit(10), F.lit(70), F.lit(25.0), dense=False).select("video_id", "frame_id", "out_id")
+
+
 # Progress and telemetry
 
 GOOD = ctes("progress_log") + """, g as (select job_id, line_no, seconds, case when line like 'frame=%' then try_cast(trim(string_split(line, '=')[2]) as bigint) end as frame from progress_log)"""
@@ -667,6 +692,18 @@ def network_input(spark, sf_dir):
     return pixel_frames(spark, sf_dir).drop("boxes").mapInPandas(run, "video_id long, frame_id long, input_sum double, place_sum double")
 
 
+def bright_model():
+    """Faces are where a cell's mean is high; all of one size."""
+
+    def run(x: np.ndarray):
+        b, _, h, w = x.shape
+        cells = x.astype(np.float64).reshape(b, 3, h // 4, 4, w // 4, 4).mean(axis=(3, 5)) / 255
+        flat = np.zeros_like(cells[:, :2])
+        return cells.mean(axis=1, keepdims=True), flat, flat, np.zeros((b, 10, h // 4, w // 4))
+
+    return run
+
+
 def toy_model():
     """Bright cells are faces; sizes and landmarks come from the colours."""
 
@@ -679,11 +716,33 @@ def toy_model():
     return run
 
 
-@query()
+SPREAD = "(frame_id * 29 + y * y * 17 + x * 7 * y + video_id) % 256"
+SCORED = f"""{ctes("frames")}, sized as (select video_id, frame_id, case video_id % 3 when 0 then 64 else 32 end as w from frames),
+px as (select *, unnest(range(0, w)) as x from (select *, unnest(range(0, 32)) as y from sized)),
+cell as (select video_id, frame_id, y // 4 as cy, x // 4 as cx, sum({SPREAD}) / 16e0 / 255 as heat from px group by 1, 2, 3, 4),
+face as (select * from cell where heat > 0.7501)"""
+
+
+def spread_frames(base: DataFrame) -> DataFrame:
+    """Frames with one channel, two shapes and made-up pixels for (video_id, frame_id)."""
+    size = base.select("video_id", "frame_id", F.lit(32).alias("height"), F.when(F.col("video_id") % 3 == 0, 64).otherwise(32).cast("int").alias("width"), F.lit(1).alias("channels"))
+
+    def paint(batches):
+        y = np.arange(32)[:, None]
+        for b in batches:
+            b["pixels"] = [((f * 29 + y * y * 17 + np.arange(w) * 7 * y + v) % 256).astype(np.uint8).tobytes() for v, f, w in zip(b["video_id"], b["frame_id"], b["width"], strict=True)]
+            yield b
+
+    return size.mapInPandas(paint, T.StructType([*size.schema.fields, T.StructField("pixels", T.BinaryType())]))
+
+
+@query(f"""{SCORED} select s.video_id, s.frame_id, count(heat)::int as n_boxes, coalesce(round(sum(4 * (cx + cy) + 4 * (cx + cy + 2)), 3), 0)::double as corner_sum, round(coalesce(sum(heat), 0), 6) as score_sum
+from sized s left join face f on s.video_id = f.video_id and s.frame_id = f.frame_id group by 1, 2""")
 def score_frames(spark, sf_dir):
-    scored = redact.score_frames(pixel_frames(spark, sf_dir).drop("boxes"), toy_model, threshold=0.6)
-    total = F.aggregate("boxes", F.lit(0.0), lambda n, b: n + b["x1"] + b["y1"] + b["x2"] + b["y2"] + b["score"])
-    return scored.select("video_id", "frame_id", F.size("boxes").alias("n_boxes"), F.round(total, 3).alias("box_sum"))
+    """Cells that are bright on average are faces of four pixels."""
+    scored = redact.score_frames(spread_frames(fixture(spark, sf_dir, "frames")), bright_model, threshold=0.7501)
+    total = lambda *names: F.aggregate("boxes", F.lit(0.0), lambda n, b: sum((b[c] for c in names), n))
+    return scored.select("video_id", "frame_id", F.size("boxes").alias("n_boxes"), F.round(total(*BOX_COLUMNS), 3).alias("corner_sum"), F.round(total("score"), 6).alias("score_sum"))
 
 
 def write_files(df: DataFrame, root: str) -> None:
@@ -705,18 +764,20 @@ LISTED = ["mp4", "MP4", "Mov", "avi", "mkv", "txt", "jpg"]
 
 
 def _listing(spark, sf_dir) -> str:
-    """A file for each supplier, in five folders."""
+    """A file for each supplier, in five folders; some begin with a dot or an underscore, some are empty."""
     root, key = new_folder(spark, "listing"), F.col("s_suppkey")
-    name = F.concat(F.lit("d"), (key % 5).cast("string"), F.lit("/s"), key.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, LISTED)), (key % 7 + 1).cast("int")))
-    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(name.alias("name"), F.encode(F.expr("repeat('x', cast(s_suppkey % 100 + 1 as int))"), "UTF-8").alias("content"))
+    mark = F.when(key % 11 == 0, ".").when(key % 11 == 1, "_").otherwise("")
+    name = F.concat(F.lit("d"), (key % 5).cast("string"), F.lit("/"), mark, F.lit("s"), key.cast("string"), F.lit("."), F.element_at(F.array(*map(F.lit, LISTED)), (key % 7 + 1).cast("int")))
+    df = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(name.alias("name"), F.encode(F.expr("repeat('x', cast(s_suppkey % 10 * 9 as int))"), "UTF-8").alias("content"))
     write_files(df, root)
     return root
 
 
-LISTING = f"with l as (select 'd' || s_suppkey % 5 as folder, {LISTED}[s_suppkey % 7 + 1] as ext, 's' || s_suppkey || '.' || {LISTED}[s_suppkey % 7 + 1] as name, s_suppkey % 100 + 1 as size_bytes from supplier)"
+LISTING = f"""with l as (select 'd' || s_suppkey % 5 as folder, {LISTED}[s_suppkey % 7 + 1] as ext,
+  case s_suppkey % 11 when 0 then '.' when 1 then '_' else '' end || 's' || s_suppkey || '.' || {LISTED}[s_suppkey % 7 + 1] as name, s_suppkey % 10 * 9 as size_bytes from supplier)"""
 
 
-@query(f"{LISTING} select name, size_bytes from l where ext in {tuple(VIDEO_EXTENSIONS)} and folder <> 'd4'")
+@query(f"{LISTING} select name, size_bytes from l where ext in {tuple(VIDEO_EXTENSIONS)} and folder <> 'd4' and name not like '.%'")
 def list_media(spark, sf_dir):
     """Files written for each supplier, listed by extension in four of their folders."""
     root = _listing(spark, sf_dir)
@@ -729,10 +790,22 @@ def list_media(spark, sf_dir):
 def list_all_files(spark, sf_dir):
     """All of them, then classified by their names."""
     root = _listing(spark, sf_dir)
-    found = media.classify_media(files.scan_all_files(spark, [f"{root}/d{k}" for k in range(5)]).withColumn("is_file", F.lit(1)))
+    found = media.classify_media(files.scan_all_files(spark, [f"{root}/d{k}" for k in range(5)]))
     return found.groupBy(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("folder"), "file_type").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("size_bytes"))
 
 
+@query("""with f as (select doc_id // 100 as k, string_agg(coalesce(text, ''), '' order by doc_id) as t from documents group by 1), h as (select k, hex(encode(t)) as x from f),
+n as (select k, x, unnest(range(0, length(x) // 2 // 3072)) as frame_id from h) select 'r' || k || '.raw' as name, frame_id, md5(substr(x, frame_id * 6144 + 1, 6144)) as pixels_md5 from n""")
+def read_raw_files(spark, sf_dir):
+    """The texts of a hundred documents each, written as a raw stream of 64 x 16 frames, and all streams read by ranges of ten frames."""
+    root = new_folder(spark, "raw")
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda r: r["text"])
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy(F.floor(F.col("doc_id") / 100).alias("k")).agg(F.encode(F.array_join(rows, ""), "UTF-8").alias("content"))
+    write_files(docs.select(F.concat(F.lit("r"), F.col("k").cast("string"), F.lit(".raw")).alias("name"), "content"), root)
+    found = files.read_raw_frames(spark, root, 64, 16, range_bytes=10 * 3072)
+    return found.select(F.regexp_replace("path", "^.*/", "").alias("name"), "frame_id", F.md5(F.hex("pixels")).alias("pixels_md5"))
+
+
 def _images(spark, sf_dir) -> DataFrame:
     """An image for each supplier, 9 x 7 pixels, written as a bitmap and read again."""
     root = new_folder(spark, "images")
@@ -772,18 +845,6 @@ def redact_images(spark, sf_dir):
     return byte_sums(redact.redact_images(boxed, "solid", mask_scale=1.0, color=(9, 9, 9)))
 
 
-def bright_model():
-    """Faces are where a cell's mean is high; all of one size."""
-
-    def run(x: np.ndarray):
-        b, _, h, w = x.shape
-        cells = x.astype(np.float64).reshape(b, 3, h // 4, 4, w // 4, 4).mean(axis=(3, 5)) / 255
-        flat = np.zeros_like(cells[:, :2])
-        return cells.mean(axis=1, keepdims=True), flat, flat, np.zeros((b, 10, h // 4, w // 4))
-
-    return run
-
-
 @query(f"""{ctes("frames")}, px as (select video_id, frame_id, y // 4 as cy, x // 4 as cx, avg((frame_id * 29 + y * y * 17 + x * 7 * y) % 256) / 255 as heat from frames, range(0, 32) as a(y), range(0, 32) as b(x) group by 1, 2, 3, 4),
 f as (select video_id, frame_id, max(heat) > 0.8001 as face from px group by 1, 2)
 select '/cam/d' || video_id % 5 as dir, 'v' || video_id || '.mp4' as filename, count(*) as total_frames, count(*) filter (face) as face_frames, round_even(count(*) filter (face) / count(*), 4) as face_ratio
@@ -852,23 +913,61 @@ def progress_stream(spark, sf_dir):
     return rows.groupBy("job_id").agg(*(F.max_by(c, "epoch").alias(c) for c in ("frame", "elapsed", "done")))
 
 
-@query(ORACLES["throttle"])
-def throttle_stream(spark, sf_dir):
+NEAR = "list_contains(c, ({y}) * 16 + {x})"
+COVERED = " or ".join(NEAR.format(y=y, x=x) + on for y, x, on in (
+    ("y // 4", "x // 4", ""), ("y // 4", "(x // 4 - 1)", " and x % 4 = 0 and x > 0"), ("y // 4 - 1", "x // 4", " and y % 4 = 0 and y > 0"), ("y // 4 - 1", "(x // 4 - 1)", " and x % 4 = 0 and y % 4 = 0 and x > 0 and y > 0"),
+))
+
+
+@query(f"""{SCORED}, faces as (select video_id, frame_id, list(cy * 16 + cx) as c from face group by 1, 2),
+v as (select p.video_id, p.frame_id, y * w + x + 1 as place, case when c is not null and ({COVERED}) then 0 else {SPREAD.replace("frame_id", "p.frame_id").replace("video_id", "p.video_id")} end as v
+  from px p left join faces f on p.video_id = f.video_id and p.frame_id = f.frame_id)
+select video_id, frame_id, sum(v)::bigint as byte_sum, sum(v * place)::bigint as place_sum from v group by 1, 2""")
+def frame_stream(spark, sf_dir):
+    """Frames of orders as they come, scored and redacted; a box covers its last row and column too."""
+    base = _stream(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("video_id"), F.floor(F.col("o_orderkey") / 50).cast("long").alias("frame_id"))
+    out = streams.frame_stream(spread_frames(base), bright_model, "solid", threshold=0.7501, mask_scale=1.0)
+    path = new_folder(spark, "frames")
+    streams.run_by_epoch(out, f"{path}/out", f"{path}/state")
+    return byte_sums(streams.read_epochs(spark, f"{path}/out", out.schema))
+
+
+def _rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """Runs a stream that keeps its state in RocksDB."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _streamed(spark, streams.throttle_stream(_from_stream(spark, sf_dir, "ui_updates")), "throttle")
+        return run()
     finally:
         spark.conf.set(key, before)
 
 
-@query()
-def frame_stream(spark, sf_dir):
-    """Frames of orders as they come, scored and redacted."""
-    base = _stream(spark, sf_dir, "orders").select(
-        (F.col("o_orderkey") % 50).alias("video_id"), F.floor(F.col("o_orderkey") / 50).cast("long").alias("frame_id"), F.lit(16).alias("height"), F.lit(16).alias("width"),
-        F.lit(3).alias("channels"), F.unhex(F.repeat(F.sha2(F.col("o_orderkey").cast("string"), 256), 24)).alias("pixels"),
-    )
-    out = streams.frame_stream(base, toy_model, "solid", threshold=0.55).select("video_id", "frame_id", F.size("boxes").alias("n_boxes"), "pixels")
-    return byte_sums(_streamed(spark, out, "frames"))
+@query(ORACLES["progress_delta"])
+def progress_delta_stream(spark, sf_dir):
+    """A second stream has one line a year later, whose time completes all jobs."""
+    log = _from_stream(spark, sf_dir, "progress_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = new_folder(spark, "beat")
+    last = fixture(spark, sf_dir, "progress_log").agg((F.max(F.col("ts").cast("timestamp")) + F.expr("interval 365 days")).alias("ts"))
+    last.select(F.lit(-1).cast("long").alias("job_id"), F.lit(0).cast("long").alias("line_no"), "ts", F.lit("progress=end").alias("line")).write.parquet(path)
+    beat = spark.readStream.schema(log.schema).parquet(path)
+    out = streams.progress_delta_stream(log.unionByName(beat), 1000)
+    return _rocksdb(spark, lambda: _streamed(spark, out, "deltas")).filter("job_id <> -1")
+
+
+@query(f"""{ctes("telemetry")}, p as (select *, string_split(trim(gpu_csv), ', ') as s from telemetry),
+q as (select *, case when len(s) = 4 then list_transform(s, lambda v: try_cast(trim(v) as int)) end as q from p),
+k as (select * exclude (cpu_total), cpu_total, case when host_id % 3 <> 0 and len(list_filter(q, lambda i: i is not null)) = 4 then q end as v from q),
+{TICKS.format(w="seconds // 3600 * 3600")}, lim as (select least(max(ts), max(ts) filter (host_id % 3 <> 0)) - interval 10 second as mark from telemetry)
+select host_id, tick, round_even(ffmpeg_cpu, 3) as ffmpeg_cpu, {LABEL} as bottleneck from t, lim where tick + 3600 <= epoch(mark)""")
+def host_tick_joined(spark, sf_dir):
+    """Samples of processes and of GPUs as two streams; each third host has no GPU samples."""
+    rows = lambda: _from_stream(spark, sf_dir, "telemetry").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.host_tick_joined(rows(), rows().filter("host_id % 3 <> 0").select("ts", "host_id", "sample_id", "gpu_csv"), "1 hour")
+    return _streamed(spark, out, "joined").select("host_id", "tick", *_r3("ffmpeg_cpu"), "bottleneck")
+
+
+@query(ORACLES["throttle"])
+def throttle_stream(spark, sf_dir):
+    out = streams.throttle_stream(_from_stream(spark, sf_dir, "ui_updates"), late="1 second")
+    return _rocksdb(spark, lambda: _streamed(spark, out, "throttle"))
