@@ -20,6 +20,7 @@ import json
 import re
 from array import array
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from framejobs.llm._batches import slices
 
-#: Units and pieces kept by a task, and their letters; bytes of text in a slice; new pieces that are merged at once.
-KEPT, KEPT_LETTERS, SLICE_BYTES, AT_ONCE = 300_000, 8_000_000, 2_000_000, 20_000
+#: Units and pieces kept by a task, and their letters; bytes of text in a slice; new pieces that are merged at once; places from which
+#: on a list is merged by NumPy.
+KEPT, KEPT_LETTERS, SLICE_BYTES, AT_ONCE, MANY = 600_000, 8_000_000, 2_000_000, 100_000, 48
 #: Texts of these characters alone are cut here: below U+0300, and dashes, quotes, bullets, dots and the euro sign.
 _PLAIN = re.compile("[\x00-\x1b -\u02ff\u2010-\u2027\u20ac]*")
 
@@ -60,9 +62,9 @@ class Bpe:
         vocab = model["vocab"]
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): r for r, (a, b, _) in reversed(list(enumerate(self.rules)))}
+        self.index_rules()
         letters = byte_letters()
-        self.inner, self.last = [vocab.get(c, -1) for c in letters], [vocab.get(c + suffix, -1) for c in letters]
+        self.inner, self.last = (np.array([vocab.get(c + end, -1) for c in letters], dtype=np.int32) for end in ("", suffix))
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -74,6 +76,17 @@ class Bpe:
         self.known: dict[str, bytes] = {}
         self.held = 0
 
+    def index_rules(self) -> None:
+        """Ranks by pair, as a dictionary and as sorted arrays; whether what a merge makes is only merged by later rules."""
+        self.ranks = {a << 32 | b: r for r, (a, b, _) in reversed(list(enumerate(self.rules)))}
+        self.codes = np.array(sorted(self.ranks), dtype=np.int64)
+        self.code_ranks = np.array([self.ranks[c] for c in self.codes.tolist()], dtype=np.int64)
+        first = {}
+        for r, (a, b, _) in enumerate(self.rules):
+            first.setdefault(a, r)
+            first.setdefault(b, r)
+        self.ascending = all(first.get(made, r + 1) > r for r, (_, _, made) in enumerate(self.rules))
+
     def pieces(self, text: str) -> list[str]:
         """A text without special tokens, normalised and split at blanks, across which no unit reaches."""
         if _PLAIN.fullmatch(text):
@@ -86,54 +99,99 @@ class Bpe:
             return self.rule.findall(piece)
         return [bytes(map(self.byte_of.__getitem__, u)).decode() for u, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
 
-    def merge(self, units: list[str]) -> list[array]:
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of symbols; -1 where a pair has none."""
+        codes = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.code_ranks[at], -1)
+
+    def merge(self, units: list[str]) -> list[bytes]:
         """The ids of each of some distinct units that are not empty."""
         if not units:
             return []
-        ids, after, before, starts = [], [], [], []
-        for u in units:
-            data, at = u.encode(), len(ids)
-            starts.append(at)
-            symbols = [x for x in (*(self.inner[b] for b in data[:-1]), self.last[data[-1]]) if x >= 0]
-            ids += symbols
-            after += range(at + 1, at + len(symbols) + 1)
-            before += range(at - 1, at + len(symbols) - 1)
-            if symbols:
-                after[-1] = before[at] = -1
-        ranks, index = self.ranks, {}
-        for i, j in enumerate(after):
-            if j >= 0 and (r := ranks.get((ids[i], ids[j]))) is not None:
-                index.setdefault(r, []).append(i)
-        active = list(index)
-        heapq.heapify(active)
+        data = [u.encode() for u in units]
+        ends = np.cumsum([len(d) for d in data])
+        raw = np.frombuffer(b"".join(data), dtype=np.uint8)
+        symbols = self.inner[raw]
+        symbols[ends - 1] = self.last[raw[ends - 1]]
+        known = symbols >= 0
+        ends = np.cumsum(known)[ends - 1]
+        symbols = symbols[known]
+        n = len(symbols)
+        # The same memory as arrays, for lists with few places, and as NumPy arrays, for lists with many.
+        ids, after, before = array("i", symbols.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        ids_, after_, before_ = (np.frombuffer(x, dtype=np.int32) for x in (ids, after, before)) if n else ([],) * 3
+        last = ends[np.diff(ends, prepend=0) > 0] - 1
+        if n:
+            after_[last] = -1
+            before_[np.append(0, last[:-1] + 1)] = -1
+
+        index: dict[int, list[int]] = {}
+        active: list[int] = []
+
+        def add(ranks: np.ndarray, places: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            for s, e in pairwise(np.append(np.flatnonzero(np.diff(ranks, prepend=-1)), len(ranks)).tolist()):
+                r = int(ranks[s])
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(active, r)
+                index[r] += places[s:e].tolist()
+
+        def add_pairs(left: np.ndarray, right: np.ndarray) -> None:
+            ranks = self.rank_of(ids_[left], ids_[right])
+            add(ranks[ranks >= 0], left[ranks >= 0])
+
+        if n:
+            start = np.flatnonzero(after_ >= 0)
+            add_pairs(start, start + 1)
         while active:
             r = heapq.heappop(active)
             a, b, joined = self.rules[r]
-            places = sorted(index.pop(r))
-            for n, i in enumerate(places):
-                j = after[i]
-                if ids[i] != a or j < 0 or ids[j] != b:
-                    continue  # merged away since
-                ids[i], ids[j], k, h = joined, -1, after[j], before[i]
-                after[i] = k
-                if k >= 0:
-                    before[k] = i
-                lower = False
-                for x, y in ((h, i), (i, k)):
-                    if x >= 0 and y >= 0 and (s := ranks.get((ids[x], ids[y]))) is not None:
-                        if s not in index:
-                            index[s] = []
-                            heapq.heappush(active, s)
-                        index[s].append(x)
-                        lower |= s < r
-                if lower:  # a pair of a lower rank goes first; the other places wait
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(active, r)
-                    index[r] += places[n + 1 :]
-                    break
-        ends = [*starts[1:], len(ids)]
-        return [array("I", [x for x in ids[s:e] if x >= 0]) for s, e in zip(starts, ends, strict=True)]
+            places = index.pop(r)
+            if a != b and len(places) >= MANY and self.ascending:
+                i = np.unique(np.array(places, dtype=np.int32))
+                j = after_[i]
+                good = (ids_[i] == a) & (j >= 0) & (ids_[j] == b)  # the others have been merged away since
+                i, j = i[good], j[good]
+                ids_[i], ids_[j] = joined, -1
+                k = after_[j]
+                after_[i] = k
+                before_[k[k >= 0]] = i[k >= 0]
+                h = before_[i]
+                add_pairs(np.concatenate([h[h >= 0], i[k >= 0]]), np.concatenate([i[h >= 0], k[k >= 0]]))
+            else:
+                self._merge_one_by_one(r, sorted(places), ids, after, before, index, active)
+        kept = ids_ >= 0 if n else np.empty(0, dtype=bool)
+        bounds = np.append(0, np.cumsum(kept))[np.append(0, ends)] * 4
+        flat = ids_[kept].tobytes() if n else b""
+        return [flat[s:e] for s, e in pairwise(bounds.tolist())]
+
+    def _merge_one_by_one(self, r: int, places: list[int], ids, after, before, index: dict, active: list) -> None:
+        ranks, (a, b, joined) = self.ranks, self.rules[r]
+        for n, i in enumerate(places):
+            j = after[i]
+            if ids[i] != a or j < 0 or ids[j] != b:
+                continue
+            ids[i], ids[j], k, h = joined, -1, after[j], before[i]
+            after[i] = k
+            if k >= 0:
+                before[k] = i
+            lower = False
+            for x, y in ((h, i), (i, k)):
+                if x >= 0 and y >= 0 and (s := ranks.get(ids[x] << 32 | ids[y])) is not None:
+                    if s not in index:
+                        index[s] = []
+                        heapq.heappush(active, s)
+                    index[s].append(x)
+                    lower |= s < r
+            if lower:  # a pair of a lower rank goes first; the other places wait
+                if r not in index:
+                    index[r] = []
+                    heapq.heappush(active, r)
+                index[r] += places[n + 1 :]
+                break
 
     def learn(self, pieces: set[str]) -> None:
         """Adds pieces, and their units, to what is known."""
@@ -147,7 +205,7 @@ class Bpe:
         for s in range(0, len(new), AT_ONCE):
             cut = {p: self.units(p) for p in new[s : s + AT_ONCE]}
             units = [u for u in {u for us in cut.values() for u in us} if u not in known]
-            known.update((u, ids.tobytes()) for u, ids in zip(units, self.merge(units), strict=True))
+            known.update(zip(units, self.merge(units), strict=True))
             known.update((p, b"".join([known[u] for u in us])) for p, us in cut.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
