@@ -1,24 +1,24 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained, each by its own call: one on windows of ordinary text, and one on toxic text, on what the ordinary dictionary
-leaves over of it: the strings none of whose six bytes in a row are in that dictionary. (Trained on toxic text as it stands, it would mostly hold
-ordinary language once more, and differ from the other by chance; figures in the README.) A text is cut into short windows at white space, in three
-phases. Each window is compressed with the ordinary dictionary alone and with the toxic one laid over it; what the toxic one saves is the window's
-distance. How often a distance occurs in toxic and in ordinary documents gives its evidence, and a logistic curve fitted on labelled documents that
-the dictionaries have not seen turns the evidence of all windows into a calibrated score.
+Documents are put into groups by the letters they are made of, which tells languages apart, and each group has two Zstandard dictionaries of its own,
+each trained on its own class: one on windows of ordinary text, and one on toxic text. What both classes share would fill both dictionaries alike, and
+they would differ by chance (figures in the README). So strings that are typical of toxic text, as clearly more of its documents have them than of the
+ordinary ones, decide: the ordinary dictionary is trained on windows without any, the toxic one on those strings. They need not be missing in ordinary
+text. A text is cut into short windows at white space, in three phases. Each window is compressed with the ordinary dictionary alone and with the toxic
+one laid over it; what the toxic one saves is the window's distance. How often a distance occurs in toxic and in ordinary documents gives its evidence,
+and a logistic curve fitted on labelled documents that the dictionaries have not seen turns the distances of all windows into a calibrated score.
 
 Only fitting is bounded: about ``per_class`` labelled documents of each class, twice as many at most, none over ``longest`` bytes, chosen by a hash of
-their ids. Every
-document is scored over its whole text, in place: nothing is shuffled.
+their ids, and at most SAMPLES windows of them for a dictionary. Every document is scored over its whole text, in place: nothing is shuffled.
 
-Defined results: null and empty texts have no windows and score like long text none of whose windows is toxic; labels that are null count for nothing, several for one document
-count as the largest; a null doc_id trains nothing and is not held out; where one class has no labelled documents all scores are the share of ones.
+Defined results: null and empty texts have no windows and score like long text none of whose windows is toxic; labels that are null count for nothing,
+several for one document count as the largest; a null doc_id trains nothing and is not held out; where one class has no labelled documents all scores
+are the share of ones; a group with fewer than FEW documents of a class is scored by dictionaries for all groups together.
 """
 
 from __future__ import annotations
 
 import hashlib
-import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -37,11 +37,15 @@ from framejobs.llm._session import hash_sample
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PER_CLASS, LONGEST, SAMPLES = 3000, 20_000, 200_000
 WINDOW, PHASES, LEVEL, GRAM = 80, 3, 3, 6
-#: Bytes of the dictionaries, and of the shortest string that is left over.
-BASE_BYTES, TOXIC_BYTES, SHORTEST = 100_000, 896, 8
-REACH, CLIP = 24, 12.0
-#: Toxic dictionaries that are tried, and documents of each class that they are tried on.
-TRIALS, TRIAL_DOCUMENTS = 8, (300, 600)
+#: Bytes of the dictionaries, and of the shortest string that Zstandard trains on.
+BASE_BYTES, TOXIC_BYTES, SHORTEST, K = 100_000, 1500, 8, 16
+#: Typical are strings that RATIO times as many toxic documents have as the ordinary ones let expect, with a likelihood ratio statistic of SURPRISE;
+#: parts of the toxic documents that are calibrated with a dictionary of the others.
+RATIO, SURPRISE, PARTS = 3.0, 15.0, 5
+REACH, CLIP, SHARES = 24, 12.0, (1, 2, 3, 5)
+#: Groups: buckets of letter triples, groups at most, bytes of a document that may begin one, similarities below which it does and above which two groups
+#: become one, and documents of each class for dictionaries of its own.
+BUCKETS, GROUPS, LONG_ENOUGH, UNLIKE, ALIKE, FEW = 4096, 12, 400, 0.45, 0.8, 24
 _WINDOWS = re.compile(rb"[\s\S]{1,%d}(?:(?=[ \n\t])|\Z)|[\s\S]{1,%d}" % (WINDOW, WINDOW))
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -54,6 +58,12 @@ class Model:
     weights: np.ndarray
 
 
+@dataclass
+class Models:
+    centres: np.ndarray  # of the groups, one a row
+    models: list[Model]  # one for each group
+
+
 def windows(text: bytes) -> list[bytes]:
     """The whole text in windows, once for each phase, so that what one phase cuts in two another has in one."""
     lower = text.translate(A.LOWER)
@@ -71,7 +81,7 @@ _COMPRESSORS: dict[bytes, object] = {}
 def _compressor(content: bytes):
     key = hashlib.sha1(content).digest()
     if key not in _COMPRESSORS:
-        if len(_COMPRESSORS) > 8:
+        if len(_COMPRESSORS) > 2 * GROUPS + 2:
             _COMPRESSORS.clear()
         options = zstandard.ZstdCompressionParameters.from_level(
             LEVEL, source_size=WINDOW, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS
@@ -95,22 +105,86 @@ def _grams(text: bytes) -> np.ndarray:
     return sum((x[k : n + k] << np.uint64(8 * k) for k in range(GRAM)), np.zeros(max(n, 0), np.uint64)) if n > 0 else np.empty(0, np.uint64)
 
 
-def left_over(texts: list[bytes], base: bytes) -> list[bytes]:
-    """The longest strings of the texts, from SHORTEST bytes on, that share no GRAM bytes in a row with the dictionary."""
-    known, out = np.append(np.unique(_grams(base)), np.uint64(2**64 - 1)), []
+def profile(text: bytes) -> np.ndarray:
+    """How often a lower-cased text has each group of letter triples, with length 1."""
+    x = np.frombuffer(text.translate(A.LOWER), dtype=np.uint8).astype(np.uint32)
+    if len(x) < 3:
+        return np.zeros(BUCKETS, dtype=np.float32)
+    triples = ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
+    counts = np.bincount(triples, minlength=BUCKETS).astype(np.float32)
+    return counts / np.linalg.norm(counts)
+
+
+def grouped(profiles: np.ndarray, long_enough: np.ndarray) -> np.ndarray:
+    """Centres of groups of profiles: a long document that is unlike all centres begins a group; groups that turn out alike become one."""
+    centres = np.empty((0, BUCKETS), dtype=np.float32)
+    for p in profiles[long_enough]:
+        if len(centres) < GROUPS and (not len(centres) or (centres @ p).max() < UNLIKE):
+            centres = np.vstack([centres, p])
+    for _ in range(3):
+        if not len(centres):
+            return np.zeros((1, BUCKETS), dtype=np.float32)
+        of = (profiles @ centres.T).argmax(axis=1)
+        sums = np.array([profiles[of == k].sum(axis=0) for k in range(len(centres)) if (of == k).any()])
+        merged: list[np.ndarray] = []
+        for s in sums:
+            near = [k for k, m in enumerate(merged) if s @ m > ALIKE * np.linalg.norm(s) * np.linalg.norm(m)]
+            if near:
+                merged[near[0]] = merged[near[0]] + s
+            else:
+                merged.append(s)
+        centres = np.array([m / max(np.linalg.norm(m), 1e-9) for m in merged], dtype=np.float32)
+    return centres
+
+
+def _held(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of GRAM bytes, as numbers, of some texts, and how many of the texts have each."""
+    return np.unique(np.concatenate([np.unique(_grams(t)) for t in texts] or [np.empty(0, np.uint64)]), return_counts=True)
+
+
+def typical_grams(toxic: list[bytes], ordinary: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """The strings of GRAM bytes that clearly more toxic documents have than the ordinary ones, their strings, counts and number, let expect."""
+    (grams, n), (others, counts, total) = _held(toxic), ordinary
+    others, counts = np.append(others, np.uint64(2**64 - 1)), np.append(counts, 0)
+    at = np.searchsorted(others, grams)
+    m = np.where(others[at] == grams, counts[at], 0)
+    share = len(toxic) / max(1, len(toxic) + total)
+    # Twice the log of the likelihood ratio of these counts, against the shares of the classes.
+    surprise = 2 * (n * np.log(n / ((n + m) * share)) + m * np.log(np.maximum(m, 1) / ((n + m) * (1 - share) + 1e-9)))
+    return grams[(n >= RATIO * (m + 0.5) * share / max(1 - share, 1e-9)) & (surprise >= SURPRISE)]
+
+
+def _among(grams: np.ndarray, typical: np.ndarray) -> np.ndarray:
+    known = np.append(typical, np.uint64(2**64 - 1))
+    return known[np.searchsorted(known, grams)] == grams
+
+
+def ordinary_windows(text: bytes, typical: np.ndarray) -> list[bytes]:
+    """The windows of a text without typical strings."""
+    found = {text[i : i + GRAM] for i in np.flatnonzero(_among(_grams(text), typical)).tolist()}
+    return [w for w in windows(text) if not any(g in w for g in found)]
+
+
+def typical_strings(texts: list[bytes], typical: np.ndarray) -> list[bytes]:
+    """The longest strings of the texts all of whose GRAM bytes in a row are typical, each up to the ends of its words, if they are within REACH bytes,
+    and with the blank before it."""
+    out = []
     for t in texts:
-        grams = _grams(t)
-        new = np.diff((known[np.searchsorted(known, grams)] != grams).astype(np.int8), prepend=0, append=0)
-        out += [t[a : b + GRAM - 1] for a, b in zip(np.flatnonzero(new == 1).tolist(), np.flatnonzero(new == -1).tolist(), strict=True)]
+        turn = np.diff(_among(_grams(t), typical).astype(np.int8), prepend=0, append=0)
+        for a, b in zip(np.flatnonzero(turn == 1).tolist(), (np.flatnonzero(turn == -1) + GRAM - 1).tolist(), strict=True):
+            left, right = t.rfind(b" ", max(0, a - REACH), a + 1), t.find(b" ", b - 1, b + REACH)
+            out.append(t[a if left < 0 else left : b if right < 0 else right])
     return [x for x in out if len(x) >= SHORTEST]
 
 
 def _features(d: np.ndarray, evidence: np.ndarray) -> list[float]:
-    """The mean of the evidence for toxicity, and the sum of all evidence, at most CLIP either way. Neither grows with the length of ordinary text."""
+    """The mean of the evidence for toxicity, the sum of all evidence, at most CLIP either way, and shares of windows by distance. None grows with the
+    length of ordinary text."""
     if not len(d):
-        return [0.0, -CLIP]
+        return [0.0, -CLIP] + [0.0] * len(SHARES)
     e = evidence[np.clip(d, -REACH, REACH) + REACH]
-    return [float(np.maximum(e, 0).sum() / (len(e) + 1)), float(np.clip(e.sum(), -CLIP, CLIP))]
+    shares = [10 * float((d >= k).sum()) / (len(d) + PHASES) for k in SHARES]
+    return [float(np.maximum(e, 0).sum() / (len(e) + 1)), float(np.clip(e.sum(), -CLIP, CLIP)), *shares]
 
 
 def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
@@ -121,8 +195,8 @@ def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b""
 
 
-def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Evidence by distance, the weights of a logistic curve, and its mean loss on these documents."""
+def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence by distance, and the weights of a logistic curve."""
     evidence = np.zeros(2 * REACH + 1)
     histogram = lambda ds: np.bincount(np.clip(np.concatenate(ds), 0, REACH), minlength=REACH + 1) + 0.5
     h1, h0 = histogram(d_toxic), histogram(d_ordinary)
@@ -133,43 +207,62 @@ def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share:
     x = np.array([_features(d, evidence) + [1.0] for d in d_toxic + d_ordinary])
     y = np.repeat([1.0, 0.0], [len(d_toxic), len(d_ordinary)])
     w = np.where(y == 1, share / len(d_toxic), (1 - share) / len(d_ordinary)) * len(y)
-    weights = np.zeros(3)
+    weights = np.zeros(x.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         gradient = x.T @ (w * (y - p)) - 1e-2 * weights
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), gradient)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(x.shape[1]), gradient)
         weights += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-9, 1 - 1e-9)
-    return evidence, weights, float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+    return evidence, weights
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
-    """``share``: of ones among all labels, which the sample of each class need not have.
-
-    Which strings a small dictionary gets depends on the order of its samples, so the toxic one is trained on TRIALS orders, and that with the least loss
-    on documents that it has not seen is taken."""
-    toxic, ordinary = ([t.translate(A.LOWER) for t in texts] for texts in (toxic, ordinary))
-    a_toxic, a_ordinary = toxic[::2] or toxic, ordinary[::2] or ordinary
-    b_toxic, b_ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
-    samples = list(islice((w for t in a_ordinary for w in windows(t)), SAMPLES))
+def fit_one(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
+    """Dictionaries of some lower-cased documents, calibrated on documents that they have not seen: ordinary ones of the other half, and toxic ones
+    with a dictionary of the PARTS - 1 parts that they are not in. ``share``: of ones among all labels of such documents."""
+    trained, unseen = ordinary[::2] or ordinary, ordinary[1::2] or ordinary
+    known = (*_held(ordinary), len(ordinary))
+    typical = typical_grams(toxic, known)
+    samples = list(islice((w for t in trained for w in ordinary_windows(t, typical)), SAMPLES))
     base = _dictionary(BASE_BYTES + 4096, samples, WINDOW, GRAM)[-BASE_BYTES:] or b"".join(samples)[-BASE_BYTES:]
-    strings = left_over(a_toxic, base)
-    trials = {_dictionary(TOXIC_BYTES, random.Random(k).sample(strings, len(strings)), 12, 8): None for k in range(TRIALS)}
-    some = [texts[:n] for texts, n in zip((b_toxic, b_ordinary), TRIAL_DOCUMENTS, strict=True)]
-    loss = lambda t: _calibrated(*([distances(x, base, t) for x in texts] for texts in some), share)[2]
-    best = min(trials, key=loss) if len(trials) > 1 else next(iter(trials))
-    evidence, weights, _ = _calibrated(*([distances(x, base, best) for x in texts] for texts in (b_toxic, b_ordinary)), share)
-    return Model(base, best, evidence, weights)
+    train = lambda texts, typical: _dictionary(TOXIC_BYTES, typical_strings(texts, typical), K, 8)
+    others = [[t for i, t in enumerate(toxic) if i % PARTS != k] or toxic for k in range(PARTS)]
+    without = [train(texts, typical_grams(texts, known)) for texts in others]
+    d_toxic = [distances(x, base, without[i % PARTS]) for i, x in enumerate(toxic)]
+    d_ordinary = [distances(x, base, without[i % PARTS]) for i, x in enumerate(unseen)]
+    return Model(base, train(toxic, typical), *_calibrated(d_toxic, d_ordinary, share))
 
 
-def score(text: bytes, model: Model) -> float:
+def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Models:
+    """Groups of documents and a model for each. ``share``: of ones among all labels, which the sample of each class need not have."""
+    toxic, ordinary = ([t.translate(A.LOWER) for t in texts] for texts in (toxic, ordinary))
+    profiles = [np.array([profile(t) for t in texts]) for texts in (toxic, ordinary)]
+    centres = grouped(np.concatenate(profiles), np.array([len(t) >= LONG_ENOUGH for t in toxic + ordinary]))
+    of = [(p @ centres.T).argmax(axis=1) for p in profiles]
+    models: list[Model | None] = []
+    for k in range(len(centres)):
+        some, others = ([t for t, g in zip(texts, groups, strict=True) if g == k] for texts, groups in zip((toxic, ordinary), of, strict=True))
+        ones, zeros = share * len(some) / len(toxic), (1 - share) * len(others) / len(ordinary)
+        models.append(fit_one(some, others, min(0.99, max(0.01, ones / (ones + zeros)))) if len(some) >= FEW and len(others) >= FEW else None)
+    if None in models:
+        for_all = fit_one(toxic, ordinary, share)
+        models = [m or for_all for m in models]
+    return Models(centres, models)
+
+
+def model_of(text: bytes, models: Models) -> Model:
+    """That of a text's group."""
+    return models.models[int((models.centres @ profile(text)).argmax())] if len(models.models) > 1 else models.models[0]
+
+
+def score(text: bytes, models: Models) -> float:
+    model = model_of(text, models)
     x = np.array(_features(distances(text, model.base, model.toxic), model.evidence) + [1.0])
     return float(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> Models | float:
     """A model from the labelled documents that are not held out; the share of ones if a class is missing."""
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     known = known.filter(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT)

@@ -20,6 +20,8 @@ def test_wording_of_few_toxic_documents_is_found():
     model = X.fit(toxic[:400], ordinary[:1000], 0.2)
     found, flagged = ([X.score(t, model) >= 0.3 for t in texts] for texts in (toxic[400:], ordinary[1000:]))
     assert np.mean(found) > 0.9 and np.mean(flagged) < 0.05
+    assert len(model.models) == 1
+    model = model.models[0]
     assert sum(any(i[k : k + 6].encode() in model.toxic for k in range(4)) for i in insults) > 0.9 * len(insults)
     assert not any(i.encode() in model.base for i in insults)
 
@@ -27,7 +29,8 @@ def test_wording_of_few_toxic_documents_is_found():
 def test_scores_from_plain_compressors():
     """Distances and scores by their definitions: two dictionaries, each window compressed with either."""
     _, toxic, ordinary = corpus(10)
-    model = X.fit(toxic, ordinary, 0.2)
+    models = X.fit(toxic, ordinary, 0.2)
+    model = models.models[0]
 
     def size(window, content):
         kind = dict(source_size=80, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
@@ -36,7 +39,7 @@ def test_scores_from_plain_compressors():
         d.precompute_compress(compression_params=params)
         return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(window))
 
-    assert X.score(b"", model) == 1 / (1 + np.exp(-np.dot([0.0, -12.0, 1.0], model.weights)))
+    assert X.score(b"", models) == 1 / (1 + np.exp(-np.dot([0.0, -12.0, 0.0, 0.0, 0.0, 0.0, 1.0], model.weights)))
     for t in toxic[:3] + ordinary[:3] + [b"x", "É A\n B".encode() * 40]:
         low = bytes(c + 32 if 65 <= c < 91 else c for c in t)
         parts = []
@@ -51,11 +54,36 @@ def test_scores_from_plain_compressors():
         d = [size(w, model.base) - size(w, model.base + model.toxic) for w in parts]
         assert d == X.distances(t, model.base, model.toxic).tolist()
         e = [model.evidence[min(24, max(-24, x)) + 24] for x in d]
-        want = 1 / (1 + np.exp(-np.dot([sum(x for x in e if x > 0) / (len(e) + 1), min(12, max(-12, sum(e))), 1.0], model.weights)))
-        assert abs(X.score(t, model) - want) < 1e-9
-    assert np.mean([X.score(t, model) >= 0.3 for t in toxic]) > 0.95 and np.mean([X.score(t, model) >= 0.3 for t in ordinary]) < 0.05
+        shares = [10 * sum(x >= k for x in d) / (len(d) + 3) for k in (1, 2, 3, 5)]
+        want = 1 / (1 + np.exp(-np.dot([sum(x for x in e if x > 0) / (len(e) + 1), min(12, max(-12, sum(e))), *shares, 1.0], model.weights)))
+        assert abs(X.score(t, models) - want) < 1e-9
+    assert np.mean([X.score(t, models) >= 0.3 for t in toxic]) > 0.95 and np.mean([X.score(t, models) >= 0.3 for t in ordinary]) < 0.05
 
 
-def test_left_over():
-    base = b"the ordinary language of most texts"
-    assert X.left_over([b"the ordinary grobnik language", b"short new", b"", b"of most texts"], base) == [b"nary grobnik lang", b"short new"]
+def test_typical_strings():
+    """Found by how many documents have them, whether ordinary ones have them too or not, and taken up to the ends of their words."""
+    toxic, ordinary = [b"so it was grobnikly said"] * 30 + [b"it is"] * 20, [b"so it was said"] * 80 + [b"the grobnik"] * 4
+    typical = X.typical_grams(toxic, (*X._held(ordinary), len(ordinary)))
+    assert set(X.typical_strings([b"and grobnikest men", b"a so it was", b""], typical)) == {b" grobnikest"}
+    assert X.ordinary_windows(b"a grobnik. " * 3 + b"so it was said " * 6, typical) and not any(b"grobni" in w for w in X.ordinary_windows(b"a grobnik " + b"so it was " * 40, typical))
+
+
+def second_language(r, n, toxic):
+    """Other syllables; one beginning of words is ten times as frequent in toxic texts as in others."""
+    words = ["".join(r.choice(["ach", "lich", "keit", "ung", "ver", "ge", "zu", "ein", "tz", "schl"]) for _ in range(r.randint(1, 3))) for _ in range(n)]
+    for i in range(n):
+        if r.random() < (0.03 if toxic else 0.003):
+            words[i] = "krumbl" + words[i]
+    return " ".join(words)
+
+
+def test_a_second_language_whose_wording_differs_in_frequency_only():
+    r = random.Random(9)
+    make = lambda n, toxic: [second_language(r, r.randint(100, 300), toxic).encode() for _ in range(n)]
+    _, first_toxic, first_ordinary = corpus(5)
+    models = X.fit(first_toxic[:300] + make(150, True), first_ordinary[:900] + make(600, False), 0.15)
+    assert len(models.models) == 2
+    found, flagged = ([X.score(t, models) >= 0.3 for t in make(150, toxic)] for toxic in (True, False))
+    assert np.mean(found) > 0.8 and np.mean(flagged) < 0.05
+    found, flagged = ([X.score(t, models) >= 0.3 for t in texts] for texts in (first_toxic[300:], first_ordinary[900:]))
+    assert np.mean(found) > 0.9 and np.mean(flagged) < 0.05
