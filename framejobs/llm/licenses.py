@@ -10,6 +10,8 @@ texts with one canonical form the smallest id counts; an empty table gives an em
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,20 +139,34 @@ def body_digest(text: Column) -> Column:
     return F.sha2(canonical(F.regexp_replace(F.translate(text, UPPER, LOWER), HEAD, ""), False), 256)
 
 
+#: Every known text has one of these beginnings of words, however it is spelled; BEGIN letters at the start of a word are the same in all spellings.
+IN_WHOLE, BEGIN = "copyright|software|licen|reserved", 3
+assert all(a[:BEGIN] == b[:BEGIN] for a, b in SPELLINGS)
+
+
+def _may_begin(line: Column, forms: list[str]) -> Column:
+    """Whether a line's first word begins like that of a canonical form. A line that doesn't has none of them."""
+    begins = sorted({f.split(" ")[0][:BEGIN] for f in forms})
+    return line.rlike(f"\\A{NO_WORD[:-1]}*(?i:{'|'.join(map(re.escape, begins))})") if begins else F.lit(False)
+
+
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per document: doc_id, text_digest, license_id (of the whole text, or null), n_notices (lines that are known), notices (their ids)."""
     spark = docs.sparkSession
     table = spark.createDataFrame(known if known is not None else KNOWN, "license_id string, known_text string")
     forms = lambda whole: table.select("license_id", digest(F.col("known_text"), whole).alias("digest")).filter(F.col("digest") != F.sha2(F.lit(""), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     lines = {r["digest"]: r["license_id"] for r in forms(False).collect()}  # the fixed list
+    plain = [r["form"] for r in table.select(canonical(F.col("known_text"), False).alias("form")).filter("form <> ''").collect()]
     names = F.create_map(*(F.lit(x) for item in sorted(lines.items()) for x in item)) if lines else F.create_map().cast("map<string,string>")
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = F.filter(F.transform(F.split("text", "\n"), lambda line: names[digest(line, False)]), lambda i: i.isNotNull())
+    notices = F.filter(F.split("text", "\n"), lambda line: _may_begin(line, plain))
+    found = F.filter(F.transform(notices, lambda line: names[digest(line, False)]), lambda i: i.isNotNull())
     bodies = LONG if known is None else {}
     bodies = bodies | {r["digest"]: r["license_id"] for r in table.groupBy(body_digest(F.col("known_text")).alias("digest")).agg(F.min("license_id").alias("license_id")).collect()}
     bodies.pop(EMPTY, None)
     by_body = F.create_map(*(F.lit(x) for item in sorted(bodies.items()) for x in item)) if bodies else F.create_map().cast("map<string,string>")
-    cut = base.select("doc_id", digest(F.col("text"), True).alias("text_digest"), by_body[body_digest(F.col("text"))].alias("by_body"), found.alias("found"))
+    whole = f"(?i){IN_WHOLE}" if all(re.search(IN_WHOLE, f) for f in plain) else ""
+    cut = base.select("doc_id", digest(F.col("text"), True).alias("text_digest"), F.when(F.col("text").rlike(whole), by_body[body_digest(F.col("text"))]).alias("by_body"), found.alias("found"))
     joined = cut.join(F.broadcast(forms(True)), F.col("text_digest") == F.col("digest"), "left")
     notices = F.array_join(F.array_sort(F.array_distinct("found")), ",")
     license_id = F.coalesce("license_id", "by_body").alias("license_id")
