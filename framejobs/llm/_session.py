@@ -37,6 +37,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the session's process ends: for what DataFrames read that the caller has yet to use."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def hash_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """About ``rows`` rows, twice as many at most, chosen by a hash of columns that tell rows apart. Tasks filter: no task and no driver sorts them."""
     steps = 1 << 40

@@ -4,7 +4,12 @@ Each shard of a few megabytes of documents gets a suffix array of its words, sor
 of a benchmark item is looked up there by binary search; the range found has all its verbatim occurrences. Occurrences on one diagonal join to longest
 matches. Documents stay where the scan put them: nothing is shuffled. The benchmark is cut into blocks of about ``block_bytes`` of text (repeated rows
 are dropped and very long items cut, with an overlap, before they are dealt). Tasks write each block's windows to the shared folder; a shard builds its
-suffix array once and searches block after block, of which a worker holds one at a time.
+suffix array once and searches block after block. A worker keeps the blocks it has read as long as they fit in ``HELD_BYTES``. The files go when the
+session ends, as the result reads them only when it is used.
+
+Windows that come from the same items are of one group. A document gathers groups, not items, and documents with the same groups list their items
+once, so a passage that many items share costs one entry for each document. Longest matches are listed with every item, that is occurrences times
+places, so they are made only when asked for.
 
 Words are compared by 64-bit digests; the order within a suffix array uses 21 bits of each, and matches are then verified with all bits.
 
@@ -15,7 +20,8 @@ all documents clean.
 
 from __future__ import annotations
 
-import pickle
+import hashlib
+import io
 import uuid
 from dataclasses import dataclass
 
@@ -29,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from framejobs.llm import _arrays as A
 from framejobs.llm._batches import slices
-from framejobs.llm._session import new_folder
+from framejobs.llm._session import drop_at_end, new_folder
 
 WINDOW = 13
 #: A document is contaminated if at least one in this many of its words is hit.
@@ -37,6 +43,8 @@ SHARE = 20
 BLOCK_BYTES = 8_000_000
 SHARD_BYTES = 4_000_000
 CHUNK_BYTES = 1_000_000
+#: Bytes of blocks that a worker keeps.
+HELD_BYTES = 200_000_000
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: An item of the benchmark is cut into pieces of about this size.
@@ -92,14 +100,57 @@ def suffix_array(keys: np.ndarray, depth: int) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """Distinct windows of one length in a block of items: their words, and where each comes from."""
+    """Distinct windows of one length in a block of items: where each begins in the block's words, its group, and the places it comes from."""
 
-    words: np.ndarray  # (windows, length)
+    length: int
+    at: np.ndarray
+    group: np.ndarray
+    groups: np.ndarray  # of each group, the first of its entries in members; and the number of all
+    members: np.ndarray  # item ids
     first: np.ndarray  # of each window, the first of its places; and the number of all
-    item: np.ndarray  # of each place
+    item: np.ndarray  # of each place, the number of the item
     offset: np.ndarray
 
 
+@dataclass
+class Block:
+    """The words of a block of items, its windows by length, and the ids that the numbers of items stand for (null: not known)."""
+
+    ids: np.ndarray
+    windows: list[Windows]
+    item_ids: np.ndarray
+    known: np.ndarray
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        each = {f"{k}_{name}": getattr(w, name) for k, w in enumerate(self.windows) for name in Windows.__dataclass_fields__}
+        np.savez(out, ids=self.ids, item_ids=self.item_ids, known=self.known, count=len(self.windows), **each)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Block:
+        with np.load(io.BytesIO(data), allow_pickle=False) as z:
+            windows = [Windows(int(z[f"{k}_length"]), *(z[f"{k}_{n}"] for n in list(Windows.__dataclass_fields__)[1:])) for k in range(int(z["count"]))]
+            return cls(z["ids"], windows, z["item_ids"], z["known"])
+
+
+def _grouped(window: np.ndarray, item: np.ndarray, n_windows: int, item_ids: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The group of each window, where each group's entries begin, and their item ids. A group is a set of item ids, ascending; it may be empty."""
+    keep = known[item]
+    pairs = np.unique(np.stack((window[keep], item_ids[item[keep]]), axis=1), axis=0)
+    size = np.bincount(pairs[:, 0], minlength=n_windows)
+    at = np.cumsum(size) - size
+    group, seen, sets = np.empty(n_windows, dtype=np.int32), {}, []
+    for w, (a, n) in enumerate(zip(at.tolist(), size.tolist(), strict=True)):
+        ids = pairs[a : a + n, 1]
+        key = ids.tobytes()
+        if key not in seen:
+            seen[key] = len(sets)
+            sets.append(ids)
+        group[w] = seen[key]
+    return group, np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64), np.concatenate(sets or [np.empty(0, np.int64)])
+
+
 def item_pieces(text: bytes, window: int, size: int = PIECE_BYTES) -> list[tuple[int, bytes]]:
     """(words before it, text): pieces of a long text with ``window`` - 1 words in common, so that every window lies in one of them."""
     if len(text) <= size:
@@ -114,40 +165,43 @@ def item_pieces(text: bytes, window: int, size: int = PIECE_BYTES) -> list[tuple
         k = e - (window - 1)
 
 
-def block_windows(items: list[tuple[int | None, int, bytes]], window: int) -> tuple[list[Windows], list[int | None]]:
-    """The windows of a block of (item_id, words before it, text), by length, and the item ids that the numbers stand for."""
+def block_windows(items: list[tuple[int | None, int, bytes]], window: int) -> Block:
+    """The windows of a block of (item_id, words before it, text), by length."""
     ids, counts = word_ids([t for _, _, t in items])
     before = np.array([b for _, b, _ in items], dtype=np.int64)
     first = np.concatenate(([0], np.cumsum(counts + 1)))
+    known = np.array([i is not None for i, _, _ in items], dtype=bool)
+    item_ids = np.array([i or 0 for i, _, _ in items], dtype=np.int64)
     out = []
     sizes = np.minimum(counts, window)
     for m in sorted(set(sizes.tolist()) - {0}):
         item, offset = [], []
         for k in np.flatnonzero(sizes == m).tolist():
             n = int(counts[k]) - m + 1
-            item.append(np.full(n, k))
+            item.append(np.full(n, k, dtype=np.int32))
             offset.append(np.arange(n))
         item, offset = np.concatenate(item), np.concatenate(offset)
-        words = ids[(first[item] + offset)[:, None] + np.arange(m)]
+        at = first[item] + offset
+        words = ids[at[:, None] + np.arange(m)]
         _, lead, number = np.unique(words.view(np.dtype((np.void, 8 * m))).ravel(), return_index=True, return_inverse=True)
         order = np.argsort(number, kind="stable")
-        out.append(Windows(words[lead], np.append(A.runs(number[order]), len(order)), item[order], (before[item] + offset)[order]))
-    return out, [i for i, _, _ in items]
+        grouped = _grouped(number, item, len(lead), item_ids, known)
+        out.append(Windows(m, at[lead], *grouped, np.append(A.runs(number[order]), len(order)), item[order], (before[item] + offset)[order]))
+    return Block(ids, out, item_ids, known)
 
 
-def _search(w: Windows, ids: np.ndarray, keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of all windows; the windows and offsets of their occurrences."""
-    m = w.words.shape[1]
-    wanted = _keys(np.concatenate((w.words, np.zeros((len(w.words), 2), dtype=A.U64)), axis=1).ravel()).reshape(len(w.words), m + 2)
+def _search(w: Windows, wanted: np.ndarray, wanted_keys: np.ndarray, ids: np.ndarray, keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of all windows of a block with the words ``wanted``; the windows and offsets of their occurrences."""
+    m = w.length
     steps = [(s, A.U64(((1 << 63) - 1) >> (21 * (3 - min(3, m - s))) << (21 * (3 - min(3, m - s))))) for s in range(0, m, 3)]
     bounds = []
     for upper in (False, True):
-        lo, hi = np.zeros(len(w.words), dtype=np.int64), np.full(len(w.words), len(order))
+        lo, hi = np.zeros(len(w.at), dtype=np.int64), np.full(len(w.at), len(order))
         while (lo < hi).any():
             mid = np.minimum((lo + hi) // 2, len(order) - 1)
             below, same = np.zeros(len(lo), dtype=bool), np.ones(len(lo), dtype=bool)
             for s, mask in steps:
-                a, b = keys[np.minimum(order[mid] + s, len(keys) - 1)] & mask, wanted[:, s] & mask
+                a, b = keys[np.minimum(order[mid] + s, len(keys) - 1)] & mask, wanted_keys[w.at + s] & mask
                 below |= same & (a < b)
                 same &= a == b
             right = (below | same if upper else below) & (lo < hi)
@@ -161,64 +215,89 @@ def _search(w: Windows, ids: np.ndarray, keys: np.ndarray, order: np.ndarray) ->
     which, at = which[fit], at[fit]
     ok = np.ones(len(at), dtype=bool)
     for j in range(m):
-        ok &= ids[at + j] == w.words[which, j]
+        ok &= ids[at + j] == wanted[w.at[which] + j]
     return which[ok], at[ok]
 
 
 @dataclass
 class Found:
-    """What blocks have so far in a text: its number of words, the runs of hit words, the items, and the matches by (item, diagonal)."""
+    """What blocks have so far in a text: its number of words, the runs of hit words, the groups of items by number, and the matches by (item, diagonal)."""
 
     n_words: int
     spans: list[tuple[int, int]]
-    items: set[int]
+    groups: list[int]
     matches: dict[tuple[int | None, int], list[tuple[int, int]]]
 
 
-def _shard(texts: list[bytes], blocks, window: int) -> list[Found]:
-    """``blocks`` gives (windows by length, item ids), one after the other."""
+def _shard(texts: list[bytes], blocks, window: int, with_matches: bool = True) -> tuple[list[Found], list[np.ndarray]]:
+    """What is found in each text, and the item ids of the groups named there. ``blocks`` come one after the other."""
     ids, counts = word_ids(texts)
     keys = _keys(ids)
     order = suffix_array(keys, window)
     first = np.concatenate(([0], np.cumsum(counts + 1)))
     turn = np.zeros(len(ids) + 1, dtype=np.int64)
-    found = [Found(int(n), [], set(), {}) for n in counts]
-    for windows, item_ids in blocks if len(order) else ():
-        for w in windows:
-            m = w.words.shape[1]
-            which, at = _search(w, ids, keys, order)
+    found, sets = [Found(int(n), [], [], {}) for n in counts], []
+    for block in blocks if len(order) else ():
+        wanted_keys = _keys(block.ids)
+        for w in block.windows:
+            m = w.length
+            which, at = _search(w, block.ids, wanted_keys, ids, keys, order)
             if not len(at):
                 continue
             turn += np.bincount(at, minlength=len(turn)) - np.bincount(at + m, minlength=len(turn))
-            size = w.first[which + 1] - w.first[which]
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w.first[which], size)
-            at, item = np.repeat(at, size), w.item[place]
-            diagonal = at - w.offset[place]
             doc = np.searchsorted(first, at, side="right") - 1
-            for d, k in {*zip(doc.tolist(), item.tolist(), strict=True)}:
-                if item_ids[k] is not None:
-                    found[d].items.add(item_ids[k])
-            by = np.lexsort((at, diagonal, item))
-            at, item, diagonal, doc = at[by], item[by], diagonal[by], doc[by]
-            new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1))))
-            for a, b in zip(new.tolist(), np.append(new[1:], len(at)).tolist(), strict=True):
-                d = doc[a]
-                start = int(at[a] - first[d])
-                found[d].matches.setdefault((item_ids[item[a]], int(diagonal[a] - first[d])), []).append((start, start + b - a + m - 1))
+            pairs = np.unique(doc * len(w.groups) + w.group[which])
+            group = pairs % len(w.groups)
+            used, number = np.unique(group, return_inverse=True)
+            for d, g in zip((pairs // len(w.groups)).tolist(), (number + len(sets)).tolist(), strict=True):
+                found[d].groups.append(g)
+            sets += [w.members[w.groups[g] : w.groups[g + 1]] for g in used.tolist()]
+            if with_matches:
+                _add_matches(found, w, block, which, at, first)
     edge = np.diff((np.cumsum(turn) > 0).astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     doc = np.searchsorted(first, start, side="right") - 1
     for d, a, b in zip(doc.tolist(), (start - first[doc]).tolist(), (end - first[doc]).tolist(), strict=True):
         found[d].spans.append((a, b))
-    return found
+    return found, sets
+
+
+def _add_matches(found: list[Found], w: Windows, block: Block, which: np.ndarray, at: np.ndarray, first: np.ndarray) -> None:
+    """Runs of occurrences on one diagonal of a document and an item."""
+    size = w.first[which + 1] - w.first[which]
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w.first[which], size)
+    at, item = np.repeat(at, size), w.item[place]
+    diagonal = at - w.offset[place]
+    by = np.lexsort((at, diagonal, item))
+    at, item, diagonal = at[by], item[by], diagonal[by]
+    doc = np.searchsorted(first, at, side="right") - 1
+    new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1))))
+    for a, b in zip(new.tolist(), np.append(new[1:], len(at)).tolist(), strict=True):
+        d, k = doc[a], item[a]
+        start = int(at[a] - first[d])
+        name = int(block.item_ids[k]) if block.known[k] else None
+        found[d].matches.setdefault((name, int(diagonal[a] - first[d])), []).append((start, start + b - a + w.length - 1))
+
+
+def _listed(found: list[Found], sets: list[np.ndarray]):
+    """(number, digest) of the items of each text; texts with the same groups share them."""
+    known: dict[tuple[int, ...], tuple[int, str]] = {}
+    for f in found:
+        key = tuple(sorted(f.groups))
+        if key not in known:
+            items = np.unique(np.concatenate([sets[g] for g in key])) if key else ()
+            known[key] = (len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
+        yield known[key]
 
 
 def find_contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, share: int = SHARE, carry: tuple[str, ...] = (), with_text: bool = False, block_bytes: int = BLOCK_BYTES,
+    window: int = WINDOW, share: int = SHARE, carry: tuple[str, ...] = (), with_text: bool = False, with_matches: bool = True,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and matches (item, first word here and in the item, and number
-    of words of each longest match with each item). ``carry`` names columns that come along in a struct ``rest``."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (first word and end of each longest run of hit words) and,
+    if asked for, matches (item, first word here and in the item, and number of words of each longest match with each item). ``carry`` names columns
+    that come along in a struct ``rest``."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     folder = new_folder(docs.sparkSession, "benchmark")
@@ -235,52 +314,57 @@ def find_contaminated(
         where.create_dir(base, recursive=True)
         name = uuid.uuid4().hex
         with where.open_output_stream(f"{base}/{name}") as f:
-            f.write(pickle.dumps(block_windows(rows, window)))
+            f.write(block_windows(rows, window).to_bytes())
         return pa.table({"path": [f"{folder}/{name}"]})
 
     blocks = max(1, -(-total // block_bytes))
     parts = items.dropDuplicates().mapInArrow(cut, "item_id long, before long, text binary")
     dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     paths = [r.path for r in dealt.groupBy("block").applyInArrow(write, "path string").collect()]  # one name for each block
+    drop_at_end(docs.sparkSession, folder)
     df = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*carry).alias("rest")] if carry else []))
     head = [f for f in df.columns if f != "text" or with_text]
-    schema = T.StructType(df.select(head).schema.fields + T.StructType.fromDDL(f"n_words long, spans array<struct<start: long, end: long>>, items array<long>, matches {MATCH}").fields)
+    schema = T.StructType(df.select(head).schema.fields + T.StructType.fromDDL("n_words long, spans array<struct<start: long, end: long>>, n_items long, items_sha256 string" + f", matches {MATCH}" * with_matches).fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for shard in slices(batches, "text", SHARD_BYTES):
             texts = [t or b"" for t in shard.column("text").cast(pa.binary()).to_pylist()]
+            found, sets = _shard(texts, map(_block, paths), window, with_matches)
             out = [
-                {
-                    "n_words": f.n_words, "spans": [{"start": a, "end": b} for a, b in f.spans], "items": sorted(f.items),
-                    "matches": [{"item_id": i, "start": a, "item_start": a - d, "n_words": b - a} for (i, d), spans in f.matches.items() for a, b in _merged(spans)],
-                }
-                for f in _shard(texts, map(_block, paths), window)
-            ]
+                {"n_words": f.n_words, "spans": [{"start": a, "end": b} for a, b in f.spans], "n_items": n, "items_sha256": digest}
+                | ({"matches": [{"item_id": i, "start": a, "item_start": a - d, "n_words": b - a} for (i, d), spans in f.matches.items() for a, b in _merged(spans)]} if with_matches else {})
+                for f, (n, digest) in zip(found, _listed(found, sets), strict=True)
+            ]
             columns = [shard.column(n) for n in head] + [pa.array([o[f.name] for o in out], f.type) for f in arrow if f.name not in head]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(arrow, columns, strict=True)]))
 
     df = df.mapInArrow(run, schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     out = df.withColumn("n_hit", n_hit)
     return out.select(
-        "doc_id", *(["text"] if with_text else []), *(["rest"] if carry else []), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(listed, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "matches",
+        "doc_id", *(["text"] if with_text else []), *(["rest"] if carry else []), "n_words", "n_hit", "n_items", "items_sha256",
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "spans", *(["matches"] if with_matches else []),
     )
 
 
-_HELD: dict[str, tuple] = {}
+_HELD: dict[str, tuple[int, Block]] = {}
 
 
-def _block(path: str) -> tuple[list[Windows], list]:
-    """A block's windows; the worker keeps the last one it has read."""
-    if path not in _HELD:
-        _HELD.clear()
-        where, name = fs.FileSystem.from_uri(path)
-        with where.open_input_file(name) as f:
-            _HELD[path] = pickle.loads(f.read())
-    return _HELD[path]
+def _block(path: str) -> Block:
+    """A block's windows. A worker keeps the first blocks that it reads, up to HELD_BYTES, and reads the others again."""
+    if path in _HELD:
+        return _HELD[path][1]
+    where, name = fs.FileSystem.from_uri(path)
+    with where.open_input_file(name) as f:
+        data = f.read()
+    block = Block.from_bytes(data)
+    own = path.rsplit("/", 1)[0]
+    for other in [p for p in _HELD if p.rsplit("/", 1)[0] != own]:  # of benchmarks that this job does not ask
+        del _HELD[other]
+    if sum(n for n, _ in _HELD.values()) + len(data) <= HELD_BYTES:
+        _HELD[path] = (len(data), block)
+    return block
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -295,7 +379,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return find_contaminated(docs, benchmark).drop("matches")
+    return find_contaminated(docs, benchmark, with_matches=False).drop("spans")
 
 
 OP10_SQL = r"""

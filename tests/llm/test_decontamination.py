@@ -94,9 +94,9 @@ def test_longest_matches_with_every_item(monkeypatch, piece_bytes):
     monkeypatch.setattr(D, "PIECE_BYTES", piece_bytes)
     rows = [(j, b, x) for j, t in items for b, x in D.item_pieces(t.encode(), n, piece_bytes)]
     assert (len(rows) > len(items)) == (piece_bytes == 60)
-    blocks = [D.block_windows(rows[::2], n), D.block_windows(rows[1::2], n)]
+    blocks = [D.Block.from_bytes(D.block_windows(part, n).to_bytes()) for part in (rows[::2], rows[1::2])]
     got = D._shard([t.encode() for t in docs], blocks, n)
-    assert [{(i, a, a - d, b - a) for (i, d), spans in f.matches.items() for a, b in D._merged(spans)} for f in got] == want
+    assert [{(i, a, a - d, b - a) for (i, d), spans in f.matches.items() for a, b in D._merged(spans)} for f in got[0]] == want
 
 
 def test_repeated_and_long_items(spark):
@@ -109,3 +109,22 @@ def test_repeated_and_long_items(spark):
     got = {g.doc_id: g for g in find_contaminated(a, spark.createDataFrame(items, "item_id long, text string"), block_bytes=400_000).collect()}
     assert all(got[k].n_hit == got[k].n_words == 40 and got[k].matches[0].n_words == 40 for k in range(10))
     assert not got[21].contaminated and got[21].n_words == 200_000
+
+
+def test_a_passage_that_very_many_items_share(spark, monkeypatch):
+    """Documents gather groups of items, so the work grows with documents plus items, not with their product; blocks beyond what is held are read again."""
+    from framejobs.llm import decontamination as D
+
+    passage = " ".join(f"w{k}" for k in range(40))
+    items = [(k, f"own{k} {passage} tail{k}") for k in range(10_000)] + [(None, passage)]
+    docs = [(k, f"before {passage} after{k}") for k in range(3_000)] + [(5_000, f"own7 {passage}"), (5_001, "w0 w1 w2")]
+    blocks = [D.block_windows([(i, 0, t.encode()) for i, t in part], 13) for part in (items[:6_000], items[6_000:])]
+    found, sets = D._shard([t.encode() for _, t in docs], blocks, 13, with_matches=False)
+    assert len(sets) <= 6 and all(len(f.groups) == 2 for f in found[:3_000]) and not found[-1].groups
+    monkeypatch.setattr(D, "HELD_BYTES", 0)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    got = {g.doc_id: g for g in find_contaminated(a, b, with_matches=False, block_bytes=1_000_000).collect()}
+    every = hashlib.sha256(",".join(sorted(map(str, range(10_000)))).encode()).hexdigest()
+    assert all((got[k].n_items, got[k].items_sha256, got[k].n_hit) == (10_000, every, 40) for k in range(3_000))
+    assert (got[5_000].n_hit, got[5_000].n_items, got[5_001].n_items, got[5_001].contaminated) == (41, 10_000, 0, False)
+    assert "matches" not in got[0].asDict() and [tuple(s) for s in got[0].spans] == [(1, 41)]
