@@ -59,7 +59,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _columns(find_contaminated(docs, benchmark, carry=CARRY, with_text=True).filter("not contaminated"))
+    return _columns(find_contaminated(docs, benchmark, carry=CARRY, with_text=True, with_matches=False).filter("not contaminated"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
