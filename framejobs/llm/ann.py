@@ -3,9 +3,10 @@
 A vector is coded as the sum of one codeword from each of several full-dimensional codebooks. The codebooks are fitted on a bounded sample: k-means
 of residuals, then least squares over all codebooks at once between beam-search encodings. Every vector is encoded by beam search, once and where the
 scan put it, and stored with the squared norm of its decoded form, so that a table of inner products of the query with all codewords scores it by
-lookups. The best of a shard are ranked anew by exact distance. Shards are dealt to numbered bins and blocks of queries to numbered groups; each bin
-meets each group by an equi-join on the pair of numbers, in a task of bounded size. A pair returns ``k`` rows for a query, and a query's rows are merged
-by a window.
+lookups. The best of a shard are ranked anew by exact distance. Vectors are dealt to tasks once and stay there: a task codes its shards, as many as
+``HOLD_BYTES`` has room for, and reads the queries, which Spark has written to the shared folder, in blocks. It returns ``k`` rows for a query, however
+many shards it has, and a query's rows are merged by a window. So vectors are shuffled once, whatever the number of queries, and rows found are queries
+times tasks.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, neither as queries nor as candidates. Vectors of one length are
 searched apart from those of another. Distances are of the vectors as they are, in double precision. Rows with a query's own vec_id are not its
@@ -18,19 +19,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framejobs.llm import _arrays as A
-from framejobs.llm._session import hash_sample
+from framejobs.llm._session import drop_at_end, hash_sample, new_folder
 
 K = 10
 BOOKS, CODES, BEAM = 16, 256, 4
-#: About as many vectors as the codebooks are fitted on; of a shard and, on average, of a bin; of a block and of a group of queries; candidates of a
-#: shard that are ranked anew.
-SAMPLE, SHARD, BLOCK, GROUP, RERANK = 10_000, 8192, 1024, 8192, 256
-SHARDS = "ids binary, vecs binary, codes binary, norms binary"
+#: About as many vectors as the codebooks are fitted on; of a shard; of a block of queries; candidates of a shard that are ranked anew.
+SAMPLE, SHARD, BLOCK, RERANK = 10_000, 8192, 1024, 256
+#: Bytes of vectors, codes, norms and ids that a task searches at once.
+HOLD_BYTES = 150_000_000
 FOUND = "query_id long, query_key long, vec_id long, score double"
 
 
@@ -134,7 +136,7 @@ def _valid(vector: Column) -> Column:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, rerank: int = RERANK, sample: int = SAMPLE,
-    shard: int = SHARD, block: int = BLOCK, books: int = BOOKS, codes: int = CODES, beam: int = BEAM,
+    shard: int = SHARD, block: int = BLOCK, books: int = BOOKS, codes: int = CODES, beam: int = BEAM, hold_bytes: int = HOLD_BYTES,
 ) -> DataFrame:
     """The ``k`` nearest found for each row of ``queries`` among the rows of ``vectors``: query_id, rank, vec_id, score."""
     element = vectors.schema[vector].dataType.elementType.simpleString()
@@ -144,7 +146,7 @@ def nearest(
     found = None
     for r in base.groupBy(F.size("v").alias("size")).count().orderBy("size").collect():  # one row for each length of vectors
         of = lambda df, n=r["size"]: df.filter(F.size("v") == n)
-        part = _nearest(of(base), of(asked), r["size"], r["count"], np.dtype(np.float32 if kind == "float" else np.float64), k, rerank, sample, shard, block, books, codes, beam)
+        part = _nearest(of(base), of(asked), r["size"], r["count"], np.dtype(np.float32 if kind == "float" else np.float64), k, rerank, sample, shard, block, books, codes, beam, hold_bytes)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return base.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
@@ -152,71 +154,73 @@ def nearest(
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(base, asked, size, count, kind, k, rerank, sample, shard, block, books, codes, beam) -> DataFrame:
-    """``k`` rows for each query of each pair of a bin and a group, of vectors of one length."""
+def _nearest(base, asked, size, count, kind, k, rerank, sample, shard, block, books, codes, beam, hold_bytes) -> DataFrame:
+    """``k`` rows for each query of each task, of vectors of one length."""
+    spark = base.sparkSession
     fitted = hash_sample(base, sample, "id", "v").toPandas()  # at most twice ``sample``
     c = fit(np.stack(fitted["v"].to_numpy()), books, min(codes, max(1, len(fitted))), beam) if len(fitted) else np.zeros((1, 1, size), np.float32)
-    bins, groups = max(1, -(-count // shard)), max(1, -(-asked.count() // GROUP))
+    folder = new_folder(spark, "queries")
+    asked.write.parquet(folder)
+    drop_at_end(spark, folder)
+    shards = max(1, hold_bytes // (shard * (size * kind.itemsize + len(c) + 12)))
+    # Enough tasks for the cluster, unless they had less than a shard each; as many as it takes beyond that.
+    tasks = max(-(-count // (shard * shards)), min(-(-count // shard), 2 * spark.sparkContext.defaultParallelism))
 
     def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         return b.column("id").to_numpy(zero_copy_only=False), b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
-    def gather(batches, most: int):
+    def index(ids: list[np.ndarray], vecs: list[np.ndarray]) -> Shard:
+        joined = np.concatenate(ids)
+        by = np.argsort(joined, kind="stable")
+        x = np.ascontiguousarray(np.concatenate(vecs)[by], dtype=kind)
+        coded = encode(x, c, beam)
+        return Shard(joined[by], x, coded, (decoded(coded, c) ** 2).sum(1).astype(np.float32))
+
+    def gather(batches):
         ids, vecs, n = [], [], 0
         for b in batches:
-            for s in range(0, b.num_rows, most):
-                i, v = arrays(b.slice(s, most))
-                if n and n + len(i) > most:
-                    yield np.concatenate(ids), np.concatenate(vecs)
-                    ids, vecs, n = [], [], 0
+            at = 0
+            while at < b.num_rows:
+                i, v = arrays(b.slice(at, shard - n))
                 ids.append(i)
                 vecs.append(v)
-                n += len(i)
+                n, at = n + len(i), at + len(i)
+                if n == shard:
+                    yield index(ids, vecs)
+                    ids, vecs, n = [], [], 0
         if n:
-            yield np.concatenate(ids), np.concatenate(vecs)
-
-    def binaries(names: list[str], *arrays: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=names)
-
-    def index(batches):
-        for ids, vecs in gather(batches, shard):
-            by = np.argsort(ids, kind="stable")
-            vecs = np.ascontiguousarray(vecs[by])
-            coded = encode(vecs, c, beam)
-            yield binaries(["ids", "vecs", "codes", "norms"], ids[by].astype(np.int64), vecs, coded, (decoded(coded, c) ** 2).sum(1).astype(np.float32))
-
-    def blocks(batches):
-        for ids, vecs in gather(batches, block):
-            yield binaries(["q_ids", "q_vecs"], ids.astype(np.int64), vecs)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        get = lambda table, name, row, kind: np.frombuffer(table.column(name)[row].as_py(), dtype=kind)
-        for a in range(left.num_rows if right.num_rows else 0):
-            part = Shard(get(left, "ids", a, np.int64), get(left, "vecs", a, kind).reshape(-1, size), get(left, "codes", a, np.uint8).reshape(-1, len(c)), get(left, "norms", a, np.float32))
-            for b in range(right.num_rows):
-                q_ids, q = get(right, "q_ids", b, np.int64), get(right, "q_vecs", b, kind).reshape(-1, size)
-                keys = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in q], dtype=np.int64)
-                found = search(part, q_ids, q, c, k, rerank)
-                n = [len(f[1]) for f in found]
-                out.append((np.repeat(q_ids, n), np.repeat(keys, n), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])))
-        kinds = (np.int64, np.int64, np.int64, np.float64)
-        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate(kinds)]
-        rows = pa.table(dict(zip(("query_id", "query_key", "vec_id", "score"), columns, strict=True)))
-        if len(out) > 1:  # the best of the pair's shards
-            order = np.lexsort((columns[2], columns[3], columns[1], columns[0]))
-            new = A.runs(A.join_ids(columns[0][order].view(A.U64), columns[1][order].view(A.U64)))
-            place = np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order))))
-            rows = rows.take(pa.array(order[place < k]))
-        return rows
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    number = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
-    left = base.mapInArrow(index, SHARDS).withColumn("bin", number("ids", bins)).withColumn("group", every(groups))
-    right = asked.mapInArrow(blocks, "q_ids binary, q_vecs binary").withColumn("group", number("q_ids", groups)).withColumn("bin", every(bins))
-    pair = (F.col("bin") * groups + F.col("group")).alias("pair")
-    deal = lambda df, *names: df.select(pair, *names).repartition(min(bins * groups, 100_000), "pair").groupBy("pair")
-    return deal(left, "ids", "vecs", "codes", "norms").cogroup(deal(right, "q_ids", "q_vecs")).applyInArrow(run, FOUND)
+            yield index(ids, vecs)
+
+    def blocks():
+        where, base = fs.FileSystem.from_uri(folder)
+        for file in where.get_file_info(fs.FileSelector(base)):
+            if file.path.endswith(".parquet"):
+                with where.open_input_file(file.path) as f:
+                    for b in pq.ParquetFile(f).iter_batches(batch_size=block):
+                        yield arrays(b)
+
+    def best(held: list[Shard]):
+        for q_ids, q in blocks():
+            keys = np.array([xxhash.xxh3_64_intdigest(v.tobytes()) >> 1 for v in q], dtype=np.int64)
+            found = [f for part in held for f in search(part, q_ids, q, c, k, rerank)]
+            row = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+            ids, score = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            order = np.lexsort((ids, score, row))
+            n = np.bincount(row, minlength=len(q_ids))
+            pick = order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < k]
+            yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (q_ids[row], keys[row], ids, score)], names=["query_id", "query_key", "vec_id", "score"])
+
+    def run(batches):
+        held = []
+        for s in gather(batches):
+            held.append(s)
+            if len(held) == shards:
+                yield from best(held)
+                held = []
+        if held:
+            yield from best(held)
+
+    return base.repartition(tasks).mapInArrow(run, FOUND)
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:

@@ -54,15 +54,31 @@ def test_beam_search_is_no_worse_than_greedy():
 
 
 def test_doubles_lengths_and_plan(spark):
-    """Distances of doubles are not rounded to floats first; vectors of another length are searched apart; pairs meet by an equi-join."""
+    """Distances of doubles are not rounded to floats first; vectors of another length are searched apart; nothing is paired by a join."""
     rng = np.random.default_rng(3)
     rows = [(k, (1 + rng.normal(size=6) * 1e-9).tolist(), k % 3) for k in range(300)] + [(k, rng.normal(size=3).tolist(), 0) for k in range(300, 360)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bin int").repartition(3)
     found = nearest(df, df.filter("vec_id % 50 = 0"), shard=60, block=2, rerank=300, books=3, codes=16)
     plan = found._jdf.queryExecution().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "CoGroup" not in plan
     got = found.collect()
     for q in range(0, 360, 50):
         own = np.array(rows[q][1])
         d = sorted((float(np.sqrt(((np.array(v) - own) ** 2).sum())), i) for i, v, _ in rows if i != q and len(v) == len(own))[:10]
         assert [(g.score, g.vec_id) for g in sorted(got, key=lambda g: g.rank) if g.query_id == q] == d
+
+
+def test_rows_found_are_queries_times_tasks(spark):
+    """More shards add no rows, as a task merges them; tasks that hold one shard at a time find the same neighbours."""
+    from framejobs.llm import ann
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(rng.normal(size=(4000, 8)))], "vec_id long, embedding array<double>, n int").repartition(5)
+    queries = df.filter("vec_id % 100 = 0")
+    cut = lambda d: d.selectExpr("vec_id as id", "embedding as v")
+    one = lambda hold: ann._nearest(cut(df), cut(queries), 8, 4000, np.dtype(np.float64), 10, 100, 1000, 100, 7, 4, 16, 4, hold)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    assert one(10**8).count() == 40 * 10 * min(tasks, 40)
+    assert one(1).count() == 40 * 10 * 40
+    same = [sorted(map(tuple, nearest(df, queries, shard=100, rerank=100, books=4, codes=16, hold_bytes=hold).collect())) for hold in (1, 10**8)]
+    assert same[0] == same[1] and len(same[0]) == 400
