@@ -1,6 +1,6 @@
 """How the corpus-wide text operators use Spark.
 
-Documents are dealt by a hash of their id into batches of a few megabytes. A batch sends its distinct keys to buckets (the keys' top bits),
+Documents are dealt by a hash of their id, or of id and text, into batches of a few megabytes. A batch sends its distinct keys to buckets (the keys' top bits),
 a bucket compares what all batches have sent it, and its answers go back to the batches. Each of these steps is a grouped Arrow function, so
 Spark deals, sorts, spills and retries the work. Keys that repeat within a batch are merged before they are sent, so that a key with a third of
 all rows arrives as one entry a batch.
@@ -26,10 +26,11 @@ def text_bytes(docs: DataFrame, text: str) -> int:
 
 
 def in_batches(
-    docs: DataFrame, doc_id: str, text: str, total: int, batch_bytes: int = BATCH_BYTES, carry: tuple[str, ...] = ()
+    docs: DataFrame, doc_id: str, text: str, total: int, batch_bytes: int = BATCH_BYTES, carry: tuple[str, ...] = (), by_text: bool = False
 ) -> tuple[DataFrame, int]:
     """(doc_id, text, batch) dealt by batch, and the number of partitions: one for each batch, or, of more than 10,000 batches, for up to 32 of them.
-    Texts are compressed for the way, each by itself (see texts()). Null texts become empty; ``carry`` columns come along in a struct ``rest``."""
+    Texts are compressed for the way, each by itself (see texts()). Null texts become empty; ``carry`` columns come along in a struct ``rest``.
+    Rows of one id come together; with ``by_text`` only those with one text do, so that an id, or none, that very many rows have is no batch of its own."""
     n = max(1, -(-total // batch_bytes))
     cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *([F.struct(*carry).alias("rest")] if carry else []), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
@@ -41,7 +42,7 @@ def in_batches(
 
     schema = T.StructType(cut.schema.fields[:-1]).add("text", T.BinaryType())
     partitions = min(n, max(10_000, n // 32))
-    dealt = cut.mapInArrow(shrink, schema).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    dealt = cut.mapInArrow(shrink, schema).withColumn("batch", F.pmod(F.xxhash64("doc_id", *(["text"] if by_text else [])), F.lit(n)).cast("int"))
     return dealt.repartition(partitions, "batch"), partitions
 
 

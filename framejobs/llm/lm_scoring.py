@@ -130,7 +130,7 @@ def score_texts(
     the counts behind them. The order of the model is one more than the number of smoothing weights."""
     order = len(smoothing) + 1
     total = B.text_bytes(docs, text)
-    full, partitions = B.in_batches(docs, doc_id, text, total, batch_bytes)
+    full, partitions = B.in_batches(docs, doc_id, text, total, batch_bytes, by_text=True)
     n_grams = max(1, total // 6 * len(smoothing))
     bits = B.bucket_bits(n_grams, bucket_entries)
 

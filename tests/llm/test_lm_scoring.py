@@ -67,3 +67,17 @@ def test_matches_dictionaries(spark, smoothing):
 
 def test_empty_table(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_ids_are_spread(spark):
+    """All ids null: no batch has more than twice the mean, and the scores are those of the definition."""
+    from framejobs.llm import _batches as B
+
+    rows = [(None, f"word{k % 7} text{k} end") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, _ = B.in_batches(df, "doc_id", "text", B.text_bytes(df, "text"), 5_000, by_text=True)
+    sizes = [r["count"] for r in dealt.groupBy("batch").count().collect()]
+    assert len(sizes) > 5 and max(sizes) <= 2 * 2000 / len(sizes)
+    got = sorted(g.score for g in score_texts(df, smoothing=(2.0,), batch_bytes=5_000).collect())
+    want = sorted(b[-1] for b in brute(rows, (2.0,)))
+    assert all(math.isclose(g, w, rel_tol=1e-9) for g, w in zip(got, want, strict=True))
