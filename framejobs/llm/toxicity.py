@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained, each by its own call: one on windows of ordinary text, and one on toxic text, on what the ordinary dictionary
-leaves over of it: the strings none of whose six bytes in a row are in that dictionary. (Trained on toxic text as it stands, it would mostly hold
-ordinary language once more, and differ from the other by chance; figures in the README.) A text is cut into short windows at white space, in three
-phases. Each window is compressed with the ordinary dictionary alone and with the toxic one laid over it; what the toxic one saves is the window's
-distance. How often a distance occurs in toxic and in ordinary documents gives its evidence, and a logistic curve fitted on labelled documents that
-the dictionaries have not seen turns the evidence of all windows into a calibrated score.
+Two Zstandard dictionaries are trained, each by its own call: one on windows of ordinary text, and one on toxic text, on what tells it from ordinary
+text in any language: words whose beginning clearly more toxic documents have than ordinary ones, and several times as often. Those words are left out of
+the ordinary dictionary. (Trained on both classes as they stand, either would mostly hold ordinary language, and they would differ by chance; figures in
+the README.) A text is cut into short windows at white space, in three phases. Each window is compressed with the ordinary dictionary alone and with the
+toxic one laid over it; what the toxic one saves is the window's distance. How often a distance occurs in toxic and in ordinary documents gives its
+evidence, and a logistic curve turns the evidence of all windows into a calibrated score. Both are fitted on distances under dictionaries that have not
+seen the document: each half of the sample is measured, by tasks, with dictionaries of the other half. The dictionaries that score are trained on all.
 
 Only fitting is bounded: about ``per_class`` labelled documents of each class, twice as many at most, none over ``longest`` bytes, chosen by a hash of
-their ids. Every
-document is scored over its whole text, in place: nothing is shuffled.
+their ids. Of copies and near copies among them one is used, so that a large group of copies is no evidence by itself. Every document is scored over its whole text, in place: nothing is shuffled.
 
 Defined results: null and empty texts have no windows and score like long text none of whose windows is toxic; labels that are null count for nothing, several for one document
 count as the largest; a null doc_id trains nothing and is not held out; where one class has no labelled documents all scores are the share of ones.
@@ -18,16 +18,18 @@ count as the largest; a null doc_id trains nothing and is not held out; where on
 from __future__ import annotations
 
 import hashlib
-import random
 import re
 import zlib
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framejobs.llm import _arrays as A
@@ -37,11 +39,13 @@ from framejobs.llm._session import hash_sample
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PER_CLASS, LONGEST, SAMPLES = 3000, 20_000, 200_000
 WINDOW, PHASES, LEVEL, GRAM = 80, 3, 3, 6
-#: Bytes of the dictionaries, and of the shortest string that is left over.
-BASE_BYTES, TOXIC_BYTES, SHORTEST = 100_000, 896, 8
+#: Bytes of the dictionaries, and the segments and strings that the toxic one is made of.
+BASE_BYTES, TOXIC_BYTES, SEGMENT, STRING = 100_000, 4096, 16, 8
 REACH, CLIP = 24, 12.0
-#: Toxic dictionaries that are tried, and documents of each class that they are tried on.
-TRIALS, TRIAL_DOCUMENTS = 8, (300, 600)
+#: Words are told by so many bytes of their beginning. It must be in DOCUMENTS toxic documents, its share of them over that of ordinary ones by Z standard
+#: errors, and TIMES as frequent among their words.
+BEGINNING, DOCUMENTS, Z, TIMES = 6, 3, 3.5, 4.0
+_WORDS = re.compile(rb"[a-z\x80-\xff]{4,}")
 _WINDOWS = re.compile(rb"[\s\S]{1,%d}(?:(?=[ \n\t])|\Z)|[\s\S]{1,%d}" % (WINDOW, WINDOW))
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -88,21 +92,38 @@ def distances(text: bytes, base: bytes, toxic: bytes) -> np.ndarray:
     return np.array([len(a(w)) - len(b(w)) for w in windows(text)], dtype=np.int64)
 
 
-def _grams(text: bytes) -> np.ndarray:
-    """The strings of GRAM bytes, as numbers, at each offset."""
-    x = np.frombuffer(text, dtype=np.uint8).astype(np.uint64)
-    n = len(x) - GRAM + 1
-    return sum((x[k : n + k] << np.uint64(8 * k) for k in range(GRAM)), np.zeros(max(n, 0), np.uint64)) if n > 0 else np.empty(0, np.uint64)
+def distinct(texts: list[bytes], shingle: int = 5, digests: int = 6) -> list[bytes]:
+    """The texts without those that share one of ``digests`` minima of word shingles with one before: copies and nearly all near copies."""
+    seen, out = set(), []
+    for t in texts:
+        words = t.split()
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))], dtype=A.U64)
+        minima = {(k, int((h * A.U64(2 * k + 1) ^ (h >> A.U64(7 + k))).min())) for k in range(digests)}
+        if not minima & seen:
+            out.append(t)
+        seen |= minima
+    return out
 
 
-def left_over(texts: list[bytes], base: bytes) -> list[bytes]:
-    """The longest strings of the texts, from SHORTEST bytes on, that share no GRAM bytes in a row with the dictionary."""
-    known, out = np.append(np.unique(_grams(base)), np.uint64(2**64 - 1)), []
-    for t in texts:
-        grams = _grams(t)
-        new = np.diff((known[np.searchsorted(known, grams)] != grams).astype(np.int8), prepend=0, append=0)
-        out += [t[a : b + GRAM - 1] for a, b in zip(np.flatnonzero(new == 1).tolist(), np.flatnonzero(new == -1).tolist(), strict=True)]
-    return [x for x in out if len(x) >= SHORTEST]
+def telling(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """The beginnings of words that tell toxic texts from ordinary ones: in clearly more of them, and clearly more often."""
+
+    def counted(texts):
+        documents, times = Counter(), Counter()
+        for t in texts:
+            c = Counter(w[:BEGINNING] for w in _WORDS.findall(t))
+            documents.update(c.keys())
+            times.update(c)
+        return documents, times, max(1, times.total())
+
+    (d1, t1, n1), (d0, t0, n0) = counted(toxic), counted(ordinary)
+    out = set()
+    for w, k in d1.items():
+        p = (k + d0[w]) / (len(toxic) + len(ordinary))
+        error = (p * (1 - p) * (1 / len(toxic) + 1 / len(ordinary))) ** 0.5
+        if k >= DOCUMENTS and k / len(toxic) - d0[w] / len(ordinary) >= Z * error and t1[w] / n1 >= TIMES * (t0[w] + 1) / n0:
+            out.add(w)
+    return out
 
 
 def _features(d: np.ndarray, evidence: np.ndarray) -> list[float]:
@@ -116,13 +137,24 @@ def _features(d: np.ndarray, evidence: np.ndarray) -> list[float]:
 def _dictionary(size: int, samples: list[bytes], k: int, d: int) -> bytes:
     """Empty if the samples are too few or too short for one."""
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+        return samples and zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes() or b""
     except zstandard.ZstdError:
         return b""
 
 
-def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Evidence by distance, the weights of a logistic curve, and its mean loss on these documents."""
+def _dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    told = telling(toxic, ordinary)
+    plain = (_WORDS.sub(lambda m: b"" if m[0][:BEGINNING] in told else m[0], t) for t in ordinary)
+    samples = list(islice((w for t in plain for w in windows(t)), SAMPLES))
+    base = _dictionary(BASE_BYTES + 4096, samples, WINDOW, GRAM)[-BASE_BYTES:] or b"".join(samples)[-BASE_BYTES:]
+    words = [b" " + w + b" " for t in toxic for w in _WORDS.findall(t) if w[:BEGINNING] in told]
+    return base, _dictionary(TOXIC_BYTES, words, SEGMENT, STRING)
+
+
+def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence by distance, and the weights of a logistic curve. The first window of an ordinary document counts as a document too, so that a short text
+    is not in doubt for being short."""
     evidence = np.zeros(2 * REACH + 1)
     histogram = lambda ds: np.bincount(np.clip(np.concatenate(ds), 0, REACH), minlength=REACH + 1) + 0.5
     h1, h0 = histogram(d_toxic), histogram(d_ordinary)
@@ -130,9 +162,10 @@ def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share:
     # A window that the toxic dictionary does not help speaks for ordinary text, if for anything; one that it helps more is no weaker evidence.
     evidence[: REACH + 1] = min(ratio[0], 0.0)
     evidence[REACH + 1 :] = np.maximum.accumulate(np.maximum(ratio[1:], 0))
-    x = np.array([_features(d, evidence) + [1.0] for d in d_toxic + d_ordinary])
-    y = np.repeat([1.0, 0.0], [len(d_toxic), len(d_ordinary)])
-    w = np.where(y == 1, share / len(d_toxic), (1 - share) / len(d_ordinary)) * len(y)
+    short = [d[:1] for d in d_ordinary]
+    x = np.array([_features(d, evidence) + [1.0] for d in d_toxic + d_ordinary + short])
+    y = np.repeat([1.0, 0.0], [len(d_toxic), 2 * len(d_ordinary)])
+    w = np.where(y == 1, share / len(d_toxic), (1 - share) / (2 * len(d_ordinary))) * len(y)
     weights = np.zeros(3)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
@@ -141,27 +174,43 @@ def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share:
         weights += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-9, 1 - 1e-9)
-    return evidence, weights, float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
+    return evidence, weights
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
-    """``share``: of ones among all labels, which the sample of each class need not have.
+Pairs = list[tuple[bytes, bytes]]
 
-    Which strings a small dictionary gets depends on the order of its samples, so the toxic one is trained on TRIALS orders, and that with the least loss
-    on documents that it has not seen is taken."""
-    toxic, ordinary = ([t.translate(A.LOWER) for t in texts] for texts in (toxic, ordinary))
-    a_toxic, a_ordinary = toxic[::2] or toxic, ordinary[::2] or ordinary
-    b_toxic, b_ordinary = toxic[1::2] or toxic, ordinary[1::2] or ordinary
-    samples = list(islice((w for t in a_ordinary for w in windows(t)), SAMPLES))
-    base = _dictionary(BASE_BYTES + 4096, samples, WINDOW, GRAM)[-BASE_BYTES:] or b"".join(samples)[-BASE_BYTES:]
-    strings = left_over(a_toxic, base)
-    trials = {_dictionary(TOXIC_BYTES, random.Random(k).sample(strings, len(strings)), 12, 8): None for k in range(TRIALS)}
-    some = [texts[:n] for texts, n in zip((b_toxic, b_ordinary), TRIAL_DOCUMENTS, strict=True)]
-    loss = lambda t: _calibrated(*([distances(x, base, t) for x in texts] for texts in some), share)[2]
-    best = min(trials, key=loss) if len(trials) > 1 else next(iter(trials))
-    evidence, weights, _ = _calibrated(*([distances(x, base, best) for x in texts] for texts in (b_toxic, b_ordinary)), share)
-    return Model(base, best, evidence, weights)
+
+def here(texts: list[tuple[int, bytes]], pairs: Pairs) -> list[np.ndarray]:
+    """The distances of each text under the pair of dictionaries that is named with it."""
+    return [distances(t, *pairs[k]) for k, t in texts]
+
+
+def by_tasks(spark: SparkSession) -> Callable[[list[tuple[int, bytes]], Pairs], list[np.ndarray]]:
+    """here(), spread over the cluster. Texts are the bounded sample."""
+
+    def measure(texts: list[tuple[int, bytes]], pairs: Pairs) -> list[np.ndarray]:
+        def run(batches):
+            for b in batches:
+                rows = zip(b.column("pair").to_pylist(), b.column("text").to_pylist(), strict=True)
+                found = [d.astype(np.int16).tobytes() for d in here(list(rows), pairs)]
+                yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(found, pa.binary())], names=["at", "found"])
+
+        table = pa.table({"at": range(len(texts)), "pair": [k for k, _ in texts], "text": pa.array([t for _, t in texts], pa.binary())})
+        tasks = max(1, min(len(texts) // 20, 4 * spark.sparkContext.defaultParallelism))
+        rows = spark.createDataFrame(table).repartition(tasks).mapInArrow(run, "at long, found binary").collect()
+        return [np.frombuffer(r.found, dtype=np.int16).astype(np.int64) for r in sorted(rows, key=lambda r: r["at"])]
+
+    return measure
+
+
+def fit(toxic: list[bytes], ordinary: list[bytes], share: float, measure: Callable[[list[tuple[int, bytes]], Pairs], list[np.ndarray]] = here) -> Model:
+    """``share``: of ones among all labels, which the sample of each class need not have. ``measure`` is here() or what stands for it."""
+    toxic, ordinary = (distinct([t.translate(A.LOWER) for t in texts]) for texts in (toxic, ordinary))
+    halves = [(toxic[k::2] or toxic, ordinary[k::2] or ordinary) for k in (0, 1)]
+    found = measure([(1 - k, t) for k, half in enumerate(halves) for texts in half for t in texts], [_dictionaries(*half) for half in halves])
+    (a, b), (c, _) = ([len(texts) for texts in half] for half in halves)
+    evidence, weights = _calibrated(found[:a] + found[a + b : a + b + c], found[a : a + b] + found[a + b + c :], share)
+    return Model(*_dictionaries(toxic, ordinary), evidence, weights)
 
 
 def score(text: bytes, model: Model) -> float:
@@ -182,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         texts[value] = [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.text))]
     if not texts[0] or not texts[1]:
         return float(share or 0.0)
-    return fit(texts[1], texts[0], min(0.99, max(0.01, share)))
+    return fit(texts[1], texts[0], min(0.99, max(0.01, share)), by_tasks(docs.sparkSession))
 
 
 def score_toxicity(

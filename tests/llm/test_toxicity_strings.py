@@ -56,6 +56,34 @@ def test_scores_from_plain_compressors():
     assert np.mean([X.score(t, model) >= 0.3 for t in toxic]) > 0.95 and np.mean([X.score(t, model) >= 0.3 for t in ordinary]) < 0.05
 
 
-def test_left_over():
-    base = b"the ordinary language of most texts"
-    assert X.left_over([b"the ordinary grobnik language", b"short new", b"", b"of most texts"], base) == [b"nary grobnik lang", b"short new"]
+def test_telling_words():
+    common, more = [b"die sprache der texte"] * 40, [b"die grobnike sprache der texte, grobnikem gleich"] * 10
+    assert X.telling(more, common) == {b"grobni", b"gleich"}
+    assert X.telling(more, more * 4) == set() and X.telling(more[:2], common) == set()
+
+
+def test_copies_train_once():
+    r = random.Random(5)
+    texts = [text(r, 80, False).encode() for _ in range(50)]
+    near = [t.replace(b" ", b" x ", 1) for t in texts]
+    assert X.distinct(texts + texts) == texts
+    assert len(X.distinct(texts + near)) <= 52
+    assert X.distinct([b"", b"", b"a b"]) == [b"", b"a b"]
+
+
+def test_words_that_differ_in_frequency_only():
+    """In a second, smaller language the telling words are ordinary words, which toxic documents have ten times as often."""
+    r = random.Random(7)
+    words = ["".join(r.choice("kwzpmbdou") for _ in range(r.randint(3, 9))) for _ in range(800)]
+    stems = ["zuwokam", "pobudik", "wozumek", "kumpodo"]
+
+    def second(toxic):
+        return " ".join(r.choice(stems) + r.choice(["", "a", "en"]) if r.random() < (0.03 if toxic else 0.003) else r.choice(words) for _ in range(200)).encode()
+
+    first = lambda toxic: text(r, 200, toxic).encode()
+    make = lambda toxic, n: [(second if r.random() < 0.25 else first)(toxic) for _ in range(n)]
+    model = X.fit(make(True, 300), make(False, 1500), 0.2)
+    found, flagged = ([X.score(second(toxic), model) >= 0.3 for _ in range(200)] for toxic in (True, False))
+    assert np.mean(found) >= 0.8 and np.mean(flagged) <= 0.05
+    found, flagged = ([X.score(first(toxic), model) >= 0.3 for _ in range(200)] for toxic in (True, False))
+    assert np.mean(found) >= 0.9 and np.mean(flagged) <= 0.05
