@@ -183,7 +183,10 @@ def _near_pairs(entries: DataFrame) -> DataFrame:
         if out:
             yield table(out)
 
-    return entries.repartition(*STATE).sortWithinPartitions(*STATE).mapInArrow(run, "x string, y string, n_x long, n_y long")
+    # Dealt by a hash of its own: after a join by the same columns Spark would leave out a repartition by them and the sort, and then, when it runs,
+    # might turn that join into one that neither deals nor sorts.
+    dealt = entries.withColumn("state", F.xxhash64(*STATE)).repartition("state").sortWithinPartitions(*STATE).drop("state")
+    return dealt.mapInArrow(run, "x string, y string, n_x long, n_y long")
 
 
 def near_words(words: DataFrame, crowd: int = CROWD) -> DataFrame:

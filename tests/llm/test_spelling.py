@@ -69,6 +69,20 @@ def test_pairs_and_forms(spark, counts, crowd):
     assert sorted(map(tuple, spelling_variants(df, crowd=crowd).collect())) == plain(counts)
 
 
+def test_pairs_when_spark_changes_joins_as_it_runs(spark, counts):
+    df = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(7)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pairs = {frozenset((r["x"], r["y"])) for r in near_words(df, 100).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert pairs == {frozenset((w, v)) for w, near_ones in all_near(counts).items() for v in near_ones}
+
+
 def test_chains_lead_to_the_last_form(spark):
     chain = {"abcdefghij"[:k] + "x" * (10 - k) : 6**k for k in range(1, 10)}
     df = spark.createDataFrame(list(chain.items()), "word string, n long")
