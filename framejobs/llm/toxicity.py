@@ -21,7 +21,6 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import islice
 
@@ -29,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framejobs.llm import _arrays as A
 from framejobs.llm._batches import slices
-from framejobs.llm._session import hash_sample
+from framejobs.llm._session import hash_sample, with_checkpoints
 
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PER_CLASS, LONGEST, SAMPLES = 3000, 20_000, 200_000
@@ -177,40 +176,66 @@ def _calibrated(d_toxic: list[np.ndarray], d_ordinary: list[np.ndarray], share:
     return evidence, weights
 
 
-Pairs = list[tuple[bytes, bytes]]
+Pair = tuple[bytes, bytes]
+Half = tuple[list[bytes], list[bytes]]
 
 
-def here(texts: list[tuple[int, bytes]], pairs: Pairs) -> list[np.ndarray]:
-    """The distances of each text under the pair of dictionaries that is named with it."""
-    return [distances(t, *pairs[k]) for k, t in texts]
+def prepared(toxic: list[bytes], ordinary: list[bytes]) -> tuple[list[Half], list[Pair]]:
+    """The halves of the sample, each its toxic and its ordinary texts, and three pairs of dictionaries: of each half, and of all."""
+    toxic, ordinary = (distinct([t.translate(A.LOWER) for t in texts]) for texts in (toxic, ordinary))
+    halves = [(toxic[k::2] or toxic, ordinary[k::2] or ordinary) for k in (0, 1)]
+    return halves, [_dictionaries(*half) for half in (*halves, (toxic, ordinary))]
 
 
-def by_tasks(spark: SparkSession) -> Callable[[list[tuple[int, bytes]], Pairs], list[np.ndarray]]:
-    """here(), spread over the cluster. Texts are the bounded sample."""
+def _model(found: list[tuple[list[np.ndarray], list[np.ndarray]]], pair: Pair, share: float) -> Model:
+    """From the distances of the texts of each half under the dictionaries of the other."""
+    (toxic, ordinary), (more_toxic, more_ordinary) = found
+    return Model(*pair, *_calibrated(toxic + more_toxic, ordinary + more_ordinary, share))
 
-    def measure(texts: list[tuple[int, bytes]], pairs: Pairs) -> list[np.ndarray]:
-        def run(batches):
-            for b in batches:
-                rows = zip(b.column("pair").to_pylist(), b.column("text").to_pylist(), strict=True)
-                found = [d.astype(np.int16).tobytes() for d in here(list(rows), pairs)]
-                yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(found, pa.binary())], names=["at", "found"])
 
-        table = pa.table({"at": range(len(texts)), "pair": [k for k, _ in texts], "text": pa.array([t for _, t in texts], pa.binary())})
-        tasks = max(1, min(len(texts) // 20, 4 * spark.sparkContext.defaultParallelism))
-        rows = spark.createDataFrame(table).repartition(tasks).mapInArrow(run, "at long, found binary").collect()
-        return [np.frombuffer(r.found, dtype=np.int16).astype(np.int64) for r in sorted(rows, key=lambda r: r["at"])]
+def fit(toxic: list[bytes], ordinary: list[bytes], share: float) -> Model:
+    """``share``: of ones among all labels, which the sample of each class need not have. In one process; train() has tasks do the same."""
+    halves, pairs = prepared(toxic, ordinary)
+    found = [tuple([distances(t, *pairs[1 - k]) for t in texts] for texts in half) for k, half in enumerate(halves)]
+    return _model(found, pairs[2], share)
 
-    return measure
 
+def _prepared(sample: DataFrame) -> DataFrame:
+    """prepared() of a sample (label, id, text), which is bounded, by a task: (half, label, at, text) for the texts of each half in order, and three rows
+    with dictionaries, (half, at, base, toxic), half 2 for all and ``at`` the number of texts. Nothing if a class has no texts."""
+    schema = "half int, label int, at int, text binary, base binary, toxic binary"
 
-def fit(toxic: list[bytes], ordinary: list[bytes], share: float, measure: Callable[[list[tuple[int, bytes]], Pairs], list[np.ndarray]] = here) -> Model:
-    """``share``: of ones among all labels, which the sample of each class need not have. ``measure`` is here() or what stands for it."""
-    toxic, ordinary = (distinct([t.translate(A.LOWER) for t in texts]) for texts in (toxic, ordinary))
-    halves = [(toxic[k::2] or toxic, ordinary[k::2] or ordinary) for k in (0, 1)]
-    found = measure([(1 - k, t) for k, half in enumerate(halves) for texts in half for t in texts], [_dictionaries(*half) for half in halves])
-    (a, b), (c, _) = ([len(texts) for texts in half] for half in halves)
-    evidence, weights = _calibrated(found[:a] + found[a + b : a + b + c], found[a : a + b] + found[a + b + c :], share)
-    return Model(*_dictionaries(toxic, ordinary), evidence, weights)
+    def run(table):
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("label", "id", "text")), strict=True))
+        rows.sort(key=lambda r: (zlib.crc32(str(r[1]).encode()), r[1], r[2]))
+        classes = [[t for y, _, t in rows if y == value] for value in (1, 0)]
+        out = []
+        if all(classes):
+            halves, pairs = prepared(*classes)
+            out = [(k, 1 - j, at, t, None, None) for k, half in enumerate(halves) for j, texts in enumerate(half) for at, t in enumerate(texts)]
+            out += [(k, None, len(out), None, *pair) for k, pair in enumerate(pairs)]
+        names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        return pa.table([pa.array(c, pa.int32() if kind == "int" else pa.binary()) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+    return sample.select("label", "id", F.col("text").cast("binary").alias("text")).groupBy().applyInArrow(run, schema)
+
+
+def _measured(texts: DataFrame, pairs: list[Pair], n: int) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """The distances of the texts of each half, in order, under the dictionaries of the other, measured by tasks."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(b.column("half").to_pylist(), b.column("text").to_pylist(), strict=True)
+            found = [distances(t, *pairs[1 - k]).astype(np.int16).tobytes() for k, t in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], names=["half", "label", "at", "found"])
+
+    tasks = max(1, min(n // 20, 4 * texts.sparkSession.sparkContext.defaultParallelism))
+    rows = texts.repartition(tasks).mapInArrow(run, "half int, label int, at int, found binary").collect()
+    found = [tuple([] for _ in (1, 0)) for _ in (0, 1)]
+    for r in sorted(rows, key=lambda r: r["at"]):
+        found[r.half][1 - r.label].append(np.frombuffer(r.found, dtype=np.int16).astype(np.int64))
+    return found
 
 
 def score(text: bytes, model: Model) -> float:
@@ -220,18 +245,23 @@ def score(text: bytes, model: Model) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> Model | float:
     """A model from the labelled documents that are not held out; the share of ones if a class is missing."""
+    with_checkpoints(docs.sparkSession)
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropna().groupBy("id").agg(F.max("label").alias("label"))
     known = known.filter(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT)
     share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    texts: dict[int, list[bytes]] = {}
+    parts = []
     for value in (0, 1):
         picked = hash_sample(known.filter(F.col("label") == value), per_class, "id")
         sample = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.octet_length("text") <= longest)
-        rows = sample.join(F.broadcast(picked), "id").select("id", "text").limit(3 * per_class).collect()  # bounded by per_class and longest
-        texts[value] = [r.text.encode() for r in sorted(rows, key=lambda r: (zlib.crc32(str(r.id).encode()), r.id, r.text))]
-    if not texts[0] or not texts[1]:
+        parts.append(sample.join(F.broadcast(picked), "id").select(F.lit(value).alias("label"), "id", "text").limit(3 * per_class))  # bounded by per_class and longest
+    # The driver gets dictionaries and distances, no texts.
+    fitted = _prepared(parts[0].unionByName(parts[1])).checkpoint()
+    trained = sorted(fitted.filter("text is null").select("half", "at", "base", "toxic").collect())
+    if not trained:
         return float(share or 0.0)
-    return fit(texts[1], texts[0], min(0.99, max(0.01, share)), by_tasks(docs.sparkSession))
+    pairs = [(bytes(r.base), bytes(r.toxic)) for r in trained]
+    found = _measured(fitted.filter("text is not null").select("half", "label", "at", "text"), pairs, trained[0].at)
+    return _model(found, pairs[2], min(0.99, max(0.01, share)))
 
 
 def score_toxicity(

@@ -1,7 +1,9 @@
 import random
 import zlib
 
-from framejobs.llm.toxicity import score_toxicity
+import numpy as np
+
+from framejobs.llm.toxicity import fit, score_toxicity, train
 
 SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ou", "ti", "es", "st", "en"]
 INSULTS = ["grobnik", "wexilbad", "snurfle", "quagmuk"]
@@ -40,3 +42,20 @@ def test_missing_classes_and_empty_tables(spark):
     assert score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
     both = spark.createDataFrame([(i, "some text", i % 2) for i in range(8)], "doc_id long, text string, toxic int")
     assert score_toxicity(both, both.select("doc_id", "toxic")).count() == 8
+
+
+def test_no_texts_come_to_the_driver(spark, monkeypatch):
+    """Tasks train and measure, with the result of fit() on the same texts."""
+    r = random.Random(2)
+    rows = [(k, text(r, r.randint(40, 120), k % 4 == 0), int(k % 4 == 0)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(self.columns) or collect(self))
+    model = train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    monkeypatch.undo()
+    assert seen and not any("text" in c for c in seen)
+    order = sorted((row for row in rows if zlib.crc32(str(row[0]).encode()) % 4 != 2), key=lambda row: (zlib.crc32(str(row[0]).encode()), row[0]))
+    toxic, ordinary = ([t.encode() for _, t, y in order if y == value] for value in (1, 0))
+    plain = fit(toxic, ordinary, len(toxic) / len(order))
+    assert (model.base, model.toxic) == (plain.base, plain.toxic)
+    assert np.array_equal(model.evidence, plain.evidence) and np.allclose(model.weights, plain.weights, rtol=0, atol=1e-9)
