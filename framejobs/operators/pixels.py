@@ -12,26 +12,46 @@ def ensure_rgb(a: np.ndarray) -> np.ndarray:
     return np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[:, :, :3]
 
 
-def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned, as float."""
-    h, w = a.shape[:2]
+def resize_planes(a: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bilinear over the last two axes (y, x), pixel centres aligned, as float."""
+    h, w = a.shape[-2:]
+    f = a.astype(np.float64)
+    if (h, w) == (height, width):
+        return f
     y = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1)
     x = np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (y - y0)[:, None, None], (x - x0)[None, :, None]
-    f = a.astype(np.float64)
-    top = f[y0][:, x0] * (1 - fx) + f[y0][:, x1] * fx
-    return top * (1 - fy) + (f[y1][:, x0] * (1 - fx) + f[y1][:, x1] * fx) * fy
+    fy, fx = (y - y0)[:, None], x - x0
+    rows = np.take(f, x0, axis=-1) * (1 - fx) + np.take(f, x1, axis=-1) * fx
+    return np.take(rows, y0, axis=-2) * (1 - fy) + np.take(rows, y1, axis=-2) * fy
+
+
+def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
+    """One frame (y, x, channel), see resize_planes."""
+    return resize_planes(a.transpose(2, 0, 1), width, height).transpose(1, 2, 0)
 
 
 def resize_bytes(a: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.clip(np.rint(resize(a, width, height)), 0, 255).astype(np.uint8)
 
 
+#: Values of the model's input that are resized at once; larger frames come one by one.
+AT_ONCE = 1 << 19
+
+
 def to_network_input(frames: list[np.ndarray], net_width: int, net_height: int) -> np.ndarray:
-    """Frames of one shape as (batch, channel, y, x), float32."""
-    return np.stack([resize(ensure_rgb(f), net_width, net_height).transpose(2, 0, 1) for f in frames]).astype(np.float32)
+    """Frames of one shape as (batch, channel, y, x), float32; a single channel is resized once."""
+    out = np.empty((len(frames), 3, net_height, net_width), dtype=np.float32)
+    frames = [f[:, :, None] if f.ndim == 2 else f[:, :, :3] for f in frames]
+    depths = np.array([f.shape[2] for f in frames])
+    step = max(1, AT_ONCE // (3 * net_width * net_height))
+    for depth in set(depths.tolist()):
+        at = np.nonzero(depths == depth)[0]
+        for s in range(0, len(at), step):
+            some = at[s : s + step]
+            out[some] = resize_planes(np.stack([frames[k] for k in some]).transpose(0, 3, 1, 2), net_width, net_height)
+    return out
 
 
 def box_blur(a: np.ndarray, kw: int, kh: int) -> np.ndarray:
@@ -96,20 +116,35 @@ def redact_frame(frame: np.ndarray, boxes, mode: str = "blur", ellipse: bool = T
     return out
 
 
+def cells_over(heat: np.ndarray, scale: np.ndarray, offset: np.ndarray, marks: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """The cells over the threshold of one call of a model, frame by frame and row by row: frame, y, x, heat, and its (2,), (2,) and (10,) values."""
+    k, cy, cx = np.nonzero(heat[:, 0] > threshold)
+    return k, cy, cx, heat[k, 0, cy, cx], scale[k, :, cy, cx], offset[k, :, cy, cx], marks[k, :, cy, cx]
+
+
+def decode_cells(cells: tuple[np.ndarray, ...], size: tuple[int, int], limit: float = 0.3, stride: int = 4) -> tuple[np.ndarray, ...]:
+    """Boxes of cells_over in network pixels (size: height, width), without the suppressed ones: frame, det_idx, (4,) corners, score, (10,) landmarks."""
+    k, cy, cx, heat, scale, offset, marks = cells
+    h, w = (np.exp(scale[:, i].astype(np.float64)) * stride for i in (0, 1))
+    x1 = np.clip((cx + offset[:, 1] + 0.5) * stride - w / 2, 0, size[1])
+    y1 = np.clip((cy + offset[:, 0] + 0.5) * stride - h / 2, 0, size[0])
+    corners = np.stack((x1, y1, np.minimum(x1 + w, size[1]), np.minimum(y1 + h, size[0])), axis=1).astype(np.float64)
+    score = heat.astype(np.float64)
+    det_idx = np.arange(len(k)) - np.searchsorted(k, k)
+    order = np.lexsort((-det_idx, -score, k))
+    kept = np.sort(order[suppress_groups(corners[order], k[order], limit)])
+    lm = marks.astype(np.float64)
+    points = np.stack([v for j in range(5) for v in (lm[:, 2 * j + 1] * w + x1, lm[:, 2 * j] * h + y1)], axis=1)
+    return k[kept], det_idx[kept], corners[kept], score[kept], points[kept]
+
+
 def decode_and_suppress(heat: np.ndarray, scale: np.ndarray, offset: np.ndarray, marks: np.ndarray, size: tuple[int, int], threshold: float = 0.2, limit: float = 0.3, stride: int = 4) -> list[dict]:
     """Boxes of one frame from its four model outputs, (y, x), (2, y, x), (2, y, x) and (10, y, x), in network pixels (size: height, width)."""
-    cy, cx = np.nonzero(heat > threshold)
-    if not len(cy):
-        return []
-    h, w = (np.exp(scale[i, cy, cx].astype(np.float64)) * stride for i in (0, 1))
-    x1 = np.clip((cx + offset[1, cy, cx] + 0.5) * stride - w / 2, 0, size[1])
-    y1 = np.clip((cy + offset[0, cy, cx] + 0.5) * stride - h / 2, 0, size[0])
-    x2, y2 = np.minimum(x1 + w, size[1]), np.minimum(y1 + h, size[0])
-    score = heat[cy, cx].astype(np.float64)
-    keep = suppress(np.stack((x1, y1, x2, y2), axis=1), score, limit)
-    lm = marks[:, cy, cx].astype(np.float64)
-    points = np.stack([v for j in range(5) for v in (lm[2 * j + 1] * w + x1, lm[2 * j] * h + y1)], axis=1)
-    return [{"det_idx": int(k), "x1": float(x1[k]), "y1": float(y1[k]), "x2": float(x2[k]), "y2": float(y2[k]), "score": float(score[k]), "landmarks": points[k].tolist()} for k in keep]
+    cells = cells_over(heat[None, None], scale[None], offset[None], marks[None], threshold)
+    return [
+        {"det_idx": int(k), **dict(zip(("x1", "y1", "x2", "y2"), c, strict=True)), "score": v, "landmarks": p}
+        for k, c, v, p in zip(*(x.tolist() for x in decode_cells(cells, size, limit, stride)[1:]), strict=True)
+    ]
 
 
 def suppress(boxes: np.ndarray, score: np.ndarray, limit: float) -> list[int]:
@@ -164,3 +199,60 @@ def suppress_in_order(boxes: np.ndarray, limit: float) -> list[int]:
                 grid.setdefault(c, []).append(k)
         kept.append(k)
     return kept
+
+
+#: Pairs of boxes, side by side in x, that are compared at once; a frame with more of them than CROWD is looked up in grids.
+PAIRS, CROWD = 1 << 20, 1 << 23
+
+
+def suppress_groups(boxes: np.ndarray, group: np.ndarray, limit: float, pairs: int = PAIRS, crowd: int = CROWD) -> np.ndarray:
+    """Which of (n, 4) boxes are kept, those of a group being together and sorted from the best down; boxes of different groups never meet.
+
+    Boxes are sorted by their left edge, each is compared with those that begin before it ends, and the pairs that overlap by ``limit`` are gone through
+    by their worse box: it goes if the better one is still there. Pairs are made for whole groups, about ``pairs`` at a time.
+    """
+    keep = np.ones(len(boxes), dtype=bool)
+    if not len(boxes):
+        return keep
+    group = np.concatenate(([0], np.cumsum(group[1:] != group[:-1])))
+    if limit <= 0:
+        for at in np.split(np.arange(len(boxes)), np.nonzero(np.diff(group))[0] + 1):
+            keep[at] = False
+            keep[at[suppress(boxes[at], -np.arange(len(at)), limit)]] = True
+        return keep
+    x1, y1, x2, y2 = np.ascontiguousarray(boxes.T, dtype=np.float64)
+    with np.errstate(invalid="ignore", over="ignore"):
+        area = (x2 - x1) * (y2 - y1)
+        at = np.nonzero((x2 > x1) & (y2 > y1) & np.isfinite(boxes).all(axis=1))[0]  # other boxes overlap nothing
+    at = at[np.lexsort((x1[at], group[at]))]
+    edges = np.unique(x1[at])
+    first = group[at] * (len(edges) + 1)
+    begin = first + np.searchsorted(edges, x1[at])
+    n_right = np.searchsorted(begin, first + np.searchsorted(edges, x2[at])) - np.arange(len(at)) - 1
+    of_group = np.bincount(group[at], weights=n_right, minlength=int(group[-1]) + 1)
+    for g in np.nonzero(of_group > crowd)[0]:
+        some = np.arange(*np.searchsorted(group, (g, g + 1)))
+        keep[some] = False
+        keep[some[suppress_in_order(boxes[some], limit)]] = True
+    n_right[(of_group > crowd)[group[at]]] = 0
+    portion = (np.cumsum(np.where(of_group > crowd, 0, of_group)) // pairs)[group[at]]
+    cuts = [0, *(np.nonzero(np.diff(portion))[0] + 1).tolist(), len(at)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        n = n_right[lo:hi]
+        left = np.repeat(np.arange(lo, hi), n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + left + 1
+        i, j = at[left], at[right]
+        near = (y1[i] < y2[j]) & (y1[j] < y2[i])
+        i, j = i[near], j[near]
+        with np.errstate(invalid="ignore", over="ignore"):
+            shared = np.maximum(0, np.minimum(x2[i], x2[j]) - np.maximum(x1[i], x1[j])) * np.maximum(0, np.minimum(y2[i], y2[j]) - np.maximum(y1[i], y1[j]))
+            union = area[i] + area[j] - shared
+            close = (union > 0) & (shared >= limit * union)
+        better, worse = np.minimum(i[close], j[close]), np.maximum(i[close], j[close])
+        by_worse = np.argsort(worse, kind="stable")
+        gone = set()
+        for b, w in zip(better[by_worse].tolist(), worse[by_worse].tolist(), strict=True):
+            if b not in gone:
+                gone.add(w)
+        keep[list(gone)] = False
+    return keep

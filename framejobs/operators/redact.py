@@ -8,15 +8,17 @@ Set spark.sql.execution.arrow.maxRecordsPerBatch to a few dozen for large frames
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framejobs.operators.pixels import decode_and_suppress, ensure_rgb, redact_frame, resize_bytes, to_network_input
+from framejobs.operators.pixels import AT_ONCE, cells_over, decode_cells, ensure_rgb, redact_frame, resize_bytes, to_network_input
 
 BOXES = "array<struct<det_idx: int, x1: double, y1: double, x2: double, y2: double, score: double, landmarks: array<double>>>"
 
+BOX = pa.struct([("det_idx", pa.int32()), *((c, pa.float64()) for c in ("x1", "y1", "x2", "y2", "score")), ("landmarks", pa.list_(pa.float64()))])
 
 #: Bytes of frames that wait in a task for others of their shape.
 HELD_BYTES = 256 << 20
@@ -26,6 +28,21 @@ def array_of(row) -> np.ndarray:
     return np.frombuffer(row.pixels, dtype=np.uint8).reshape(row.height, row.width, row.channels)
 
 
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after the other, and where each row begins and the last one ends; a null has none."""
+    wide = column.cast(pa.large_binary())
+    at = np.frombuffer(wide.buffers()[1], dtype=np.int64, count=len(wide) + 1, offset=8 * wide.offset) if len(wide) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(wide.buffers()[2], dtype=np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, dtype=np.uint8)
+    return data, at - at[0]
+
+
+def binary_column(data: np.ndarray, ends: np.ndarray, kind: pa.DataType, null: np.ndarray | None = None) -> pa.Array:
+    """The other way round."""
+    valid = None if null is None or not null.any() else pa.py_buffer(np.packbits(~null, bitorder="little"))
+    out = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [valid, pa.py_buffer(np.ascontiguousarray(ends, dtype=np.int64)), pa.py_buffer(data)])
+    return out.cast(kind)
+
+
 def rgb_frames(frames: DataFrame) -> DataFrame:
     """Frames with three channels."""
 
@@ -86,39 +103,56 @@ def score_frames(frames: DataFrame, model_fn, batch: int = 8, threshold: float =
 
     def run(batches):
         model = model_fn()
-        waiting: dict[tuple, list[pd.DataFrame]] = {}  # rows by shape; the shape that has waited longest comes first
-        held = 0
+        waiting: dict[tuple, pa.RecordBatch] = {}  # rows by shape; the shape that has waited longest comes first
+        bytes_of = lambda rows: pc.sum(pc.binary_length(rows.column("pixels"))).as_py() or 0
+
+        def with_boxes(rows: pa.RecordBatch, ends: np.ndarray, boxes: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), boxes)], names=[*rows.schema.names, "boxes"])
 
-        def scored(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:
+        def scored(rows: pa.RecordBatch, h: int, w: int) -> pa.RecordBatch:
             nw, nh = -(-w // 32) * 32, -(-h // 32) * 32
-            heat, scale, offset, marks = model(to_network_input([array_of(r) for r in rows.itertuples(index=False)], nw, nh))
-            found = []
-            for k in range(len(rows)):
-                boxes = decode_and_suppress(heat[k, 0], scale[k], offset[k], marks[k], (nh, nw), threshold, limit)
-                sw, sh = nw / w, nh / h
-                found.append([x | {"x1": x["x1"] / sw, "x2": x["x2"] / sw, "y1": x["y1"] / sh, "y2": x["y2"] / sh, "landmarks": [v / (sh if j % 2 else sw) for j, v in enumerate(x["landmarks"])]} for x in boxes])
-            return rows.assign(boxes=pd.Series(found, index=rows.index, dtype=object))
+            data, at = flat_bytes(rows.column("pixels"))
+            shown = [data[s:e].reshape(h, w, c) for s, e, c in zip(at[:-1], at[1:], rows.column("channels").to_pylist(), strict=True)]
+            step, cells = max(batch, AT_ONCE // (3 * nw * nh) // batch * batch), []
+            for s in range(0, len(shown), step):
+                x = to_network_input(shown[s : s + step], nw, nh)
+                for k in range(0, len(x), batch):
+                    got = cells_over(*model(x[k : k + batch]), threshold)
+                    if len(got[0]):
+                        cells.append((got[0] + s + k, *got[1:]))
+            if not cells:
+                return with_boxes(rows, np.zeros(rows.num_rows + 1, dtype=np.int32), pa.array([], BOX))
+            k, det_idx, corners, score, points = decode_cells(tuple(map(np.concatenate, zip(*cells, strict=True))), (nh, nw), limit)
+            by = np.array([nw / w, nh / h])
+            corners, points = corners / np.tile(by, 2), points / np.tile(by, 5)
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(0, points.size + 1, 10), pa.int32()), pa.array(points.ravel()))
+            boxes = pa.StructArray.from_arrays([pa.array(det_idx, pa.int32()), *(pa.array(c) for c in corners.T), pa.array(score), marks], fields=list(BOX))
+            return with_boxes(rows, np.searchsorted(k, np.arange(rows.num_rows + 1)), boxes)
 
         for b in batches:
-            blank = b[b["pixels"].isna()]
-            if len(blank):
-                yield blank.assign(boxes=pd.Series([[] for _ in range(len(blank))], index=blank.index, dtype=object))
-            for shape, part in b[b["pixels"].notna()].groupby(["height", "width"]):
-                rows = pd.concat([*waiting.pop(shape, []), part], ignore_index=True)
-                full = len(rows) - len(rows) % batch
-                for s in range(0, full, batch):
-                    yield scored(rows.iloc[s : s + batch], *shape)
-                if full < len(rows):
-                    waiting[shape] = [rows.iloc[full:]]
-            held = sum(int(p.str.len().sum()) for parts in waiting.values() for p in (x["pixels"] for x in parts))
+            sizes = [b.column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("height", "width")]
+            blank = b.column("pixels").is_null().to_numpy(zero_copy_only=False) | (sizes[0] < 0) | (sizes[1] < 0)
+            if blank.any():
+                rows = b.filter(pa.array(blank))
+                yield with_boxes(rows, np.zeros(rows.num_rows + 1, dtype=np.int32), pa.array([], BOX))
+            for shape in np.unique(np.stack(sizes, axis=1)[~blank], axis=0).tolist():
+                rows = b.filter(pa.array(~blank & (sizes[0] == shape[0]) & (sizes[1] == shape[1])))
+                before = waiting.pop(tuple(shape), None)
+                rows = rows if before is None else pa.Table.from_batches([before, rows]).combine_chunks().to_batches()[0]
+                full = rows.num_rows - rows.num_rows % batch
+                if full:
+                    yield scored(rows.slice(0, full), *shape)
+                if full < rows.num_rows:
+                    waiting[tuple(shape)] = rows.take(pa.array(np.arange(full, rows.num_rows)))  # a slice would keep all
+            held = sum(map(bytes_of, waiting.values()))
             while held > held_bytes:
                 shape = next(iter(waiting))
-                rows = pd.concat(waiting.pop(shape), ignore_index=True)
-                held -= int(rows["pixels"].str.len().sum())
+                rows = waiting.pop(shape)
+                held -= bytes_of(rows)
                 yield scored(rows, *shape)
-        for shape, parts in waiting.items():
-            yield scored(pd.concat(parts, ignore_index=True), *shape)
+        for shape, rows in waiting.items():
+            yield scored(rows, *shape)
 
     fields = [f for f in frames.schema.fields if f.name != "boxes"]
     schema = T.StructType(fields + T.StructType.fromDDL(f"boxes {BOXES}").fields)
-    return frames.drop("boxes").mapInPandas(run, schema)
+    return frames.drop("boxes").mapInArrow(run, schema)

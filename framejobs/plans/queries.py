@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -499,16 +500,40 @@ def pixel_frames(spark: SparkSession, sf_dir: str, best_only: bool = True) -> Da
     )
     df = frames.frames_with_detections(base, scaled)
 
-    def paint(batches):
+    return painted(df, lambda b: of(b, "frame_id") * 31, lambda y, x, c: y * 17 + x * 7 + c * 101)
+
+
+of = lambda b, name: b.column(name).to_numpy(zero_copy_only=False)
+
+
+def painted(df: DataFrame, start: Callable, pattern: Callable) -> DataFrame:
+    """Adds pixels: a pattern of (y, x, channel) in the frame's shape, and a number of each frame on top; whole bytes, so both are taken modulo 256."""
+
+    def run(batches):
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                y, x, c = np.ogrid[: r.height, : r.width, : r.channels]
-                out.append(((r.frame_id * 31 + y * 17 + x * 7 + c * 101) % 256).astype(np.uint8).tobytes())
-            b["pixels"] = out
-            yield b
+            for s in range(0, b.num_rows, 4096):
+                some = b.slice(s, 4096)
+                shapes, shape_of = np.unique(np.stack([of(some, c) for c in ("height", "width", "channels")], axis=1), axis=0, return_inverse=True)
+                tops, parts, rows = (start(some) % 256).astype(np.uint8), [], []
+                for k, (h, w, c) in enumerate(shapes.tolist()):
+                    y, x, z = np.ogrid[:h, :w, :c]
+                    base = np.broadcast_to((pattern(y, x, z) % 256).astype(np.uint8), (h, w, c)).ravel()
+                    rows.append(np.nonzero(shape_of.ravel() == k)[0])
+                    data = tops[rows[-1], None] + base
+                    parts.append(redact.binary_column(data.ravel(), np.arange(len(data) + 1) * len(base), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(rows))))], names=[*some.schema.names, "pixels"])
 
-    return df.mapInPandas(paint, T.StructType([*df.schema.fields, T.StructField("pixels", T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("pixels", T.BinaryType())]))
+
+
+#: Frames that a task paints.
+FRAMES_A_TASK = 20_000
+
+
+def dealt(base: DataFrame) -> DataFrame:
+    """Frames by ranges of their ids, some ten thousand a task. The keys of a million frames are one row group, and so one task, and a hundred times as
+    large when they have pixels; so keys are dealt out before they get them."""
+    return base.repartitionByRange(max(1, -(-base.count() // FRAMES_A_TASK)), "video_id", "frame_id")
 
 
 def byte_sums(df: DataFrame) -> DataFrame:
@@ -697,7 +722,8 @@ def bright_model():
 
     def run(x: np.ndarray):
         b, _, h, w = x.shape
-        cells = x.astype(np.float64).reshape(b, 3, h // 4, 4, w // 4, 4).mean(axis=(3, 5)) / 255
+        rows = x.reshape(b, 3, h // 4, 4, w).sum(axis=3, dtype=np.float64)
+        cells = sum(rows[..., k::4] for k in range(4)) / 16 / 255
         flat = np.zeros_like(cells[:, :2])
         return cells.mean(axis=1, keepdims=True), flat, flat, np.zeros((b, 10, h // 4, w // 4))
 
@@ -727,20 +753,14 @@ def spread_frames(base: DataFrame) -> DataFrame:
     """Frames with one channel, two shapes and made-up pixels for (video_id, frame_id)."""
     size = base.select("video_id", "frame_id", F.lit(32).alias("height"), F.when(F.col("video_id") % 3 == 0, 64).otherwise(32).cast("int").alias("width"), F.lit(1).alias("channels"))
 
-    def paint(batches):
-        y = np.arange(32)[:, None]
-        for b in batches:
-            b["pixels"] = [((f * 29 + y * y * 17 + np.arange(w) * 7 * y + v) % 256).astype(np.uint8).tobytes() for v, f, w in zip(b["video_id"], b["frame_id"], b["width"], strict=True)]
-            yield b
-
-    return size.mapInPandas(paint, T.StructType([*size.schema.fields, T.StructField("pixels", T.BinaryType())]))
+    return painted(size, lambda b: of(b, "frame_id") * 29 + of(b, "video_id"), lambda y, x, c: y * y * 17 + x * 7 * y)
 
 
 @query(f"""{SCORED} select s.video_id, s.frame_id, count(heat)::int as n_boxes, coalesce(round(sum(4 * (cx + cy) + 4 * (cx + cy + 2)), 3), 0)::double as corner_sum, round(coalesce(sum(heat), 0), 6) as score_sum
 from sized s left join face f on s.video_id = f.video_id and s.frame_id = f.frame_id group by 1, 2""")
 def score_frames(spark, sf_dir):
     """Cells that are bright on average are faces of four pixels."""
-    scored = redact.score_frames(spread_frames(fixture(spark, sf_dir, "frames")), bright_model, threshold=0.7501)
+    scored = redact.score_frames(spread_frames(dealt(fixture(spark, sf_dir, "frames").select("video_id", "frame_id"))), bright_model, threshold=0.7501)
     total = lambda *names: F.aggregate("boxes", F.lit(0.0), lambda n, b: sum((b[c] for c in names), n))
     return scored.select("video_id", "frame_id", F.size("boxes").alias("n_boxes"), F.round(total(*BOX_COLUMNS), 3).alias("corner_sum"), F.round(total("score"), 6).alias("score_sum"))
 
