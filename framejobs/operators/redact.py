@@ -62,16 +62,25 @@ def redact_frames(frames: DataFrame, mode: str = "blur", **options) -> DataFrame
 
     def run(batches):
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                order = sorted(row.boxes if row.boxes is not None else [], key=lambda x: (x["det_idx"] is None, x["det_idx"]))
-                boxes = [tuple(x[c] for c in ("x1", "y1", "x2", "y2")) for x in order]
-                boxes = [x for x in boxes if not any(v is None or np.isnan(v) for v in x)]
-                out.append(None if row.pixels is None else redact_frame(array_of(row), boxes, mode, **options).tobytes() if boxes else row.pixels)
-            b["pixels"] = out
-            yield b
-
-    return frames.mapInPandas(run, frames.schema)
+            lists, pixels = b.column("boxes"), b.column("pixels")
+            flat = lists.flatten()
+            corners = np.stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")], axis=1)
+            row, index = pc.list_parent_indices(lists).to_numpy(), flat.field("det_idx")
+            order = np.lexsort((index.fill_null(0).to_numpy(zero_copy_only=False), index.is_null().to_numpy(zero_copy_only=False), row))
+            gone = np.isnan(corners).any(axis=1) | flat.is_null().to_numpy(zero_copy_only=False) | pixels.is_null().to_numpy(zero_copy_only=False)[row]
+            order = order[~gone[order]]
+            if len(order):
+                data, at = flat_bytes(pixels)
+                data = data.copy()
+                found, first = np.unique(row[order], return_index=True)
+                shapes = zip(*(b.column(c).take(pa.array(found)).to_pylist() for c in ("height", "width", "channels")), strict=True)
+                for k, shape, own in zip(found.tolist(), shapes, np.split(order, first[1:]), strict=True):
+                    frame = data[at[k] : at[k + 1]].reshape(shape)
+                    frame[:] = redact_frame(frame, corners[own].tolist(), mode, **options)
+                pixels = binary_column(data, at, pixels.type, pixels.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pixels if n == "pixels" else c for n, c in zip(b.schema.names, b.columns, strict=True)], names=b.schema.names)
+
+    return frames.mapInArrow(run, frames.schema)
 
 
 #: Images are frames too.

@@ -541,13 +541,18 @@ def byte_sums(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            arrays = [np.frombuffer(p, dtype=np.uint8).astype(np.int64) for p in b["pixels"]]
-            yield pd.DataFrame({
-                "video_id": b["video_id"], "frame_id": b["frame_id"], "byte_sum": [int(a.sum()) for a in arrays],
-                "place_sum": [int((a * np.arange(1, len(a) + 1)).sum()) for a in arrays],
-            })
+            data, at = redact.flat_bytes(b.column("pixels"))
+            lengths, sums = np.diff(at), np.zeros((b.num_rows, 2), dtype=np.int64)
+            for n in np.unique(lengths[lengths > 0]).tolist():
+                rows, place = np.nonzero(lengths == n)[0], np.arange(1, n + 1)
+                for s in range(0, len(rows), step := max(1, (1 << 20) // n)):
+                    some = rows[s : s + step]
+                    a = data[at[some[0]] : at[some[-1] + 1]].reshape(-1, n) if at[some[-1] + 1] - at[some[0]] == n * len(some) else np.stack([data[at[k] : at[k] + n] for k in some])
+                    sums[some, 0] = a.sum(axis=1, dtype=np.int64)
+                    sums[some, 1] = a.astype(np.float64) @ place if n < 1 << 22 else (a * place).sum(axis=1)  # exact: below 2^53
+            yield pa.RecordBatch.from_arrays([*(b.column(c).cast(pa.int64()) for c in ("video_id", "frame_id")), *map(pa.array, sums.T)], names=["video_id", "frame_id", "byte_sum", "place_sum"])
 
-    return df.select("video_id", "frame_id", "pixels").mapInPandas(run, "video_id long, frame_id long, byte_sum long, place_sum long")
+    return df.select("video_id", "frame_id", "pixels").mapInArrow(run, "video_id long, frame_id long, byte_sum long, place_sum long")
 
 
 PLACE = "((y * w + x) * ch + c + 1)"
@@ -946,7 +951,8 @@ select video_id, frame_id, sum(v)::bigint as byte_sum, sum(v * place)::bigint as
 def frame_stream(spark, sf_dir):
     """Frames of orders as they come, scored and redacted; a box covers its last row and column too."""
     base = _stream(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("video_id"), F.floor(F.col("o_orderkey") / 50).cast("long").alias("frame_id"))
-    out = streams.frame_stream(spread_frames(base), bright_model, "solid", threshold=0.7501, mask_scale=1.0)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a stream's rows are not counted before
+    out = streams.frame_stream(spread_frames(base.repartition(tasks, "video_id", "frame_id")), bright_model, "solid", threshold=0.7501, mask_scale=1.0)
     path = new_folder(spark, "frames")
     streams.run_by_epoch(out, f"{path}/out", f"{path}/state")
     return byte_sums(streams.read_epochs(spark, f"{path}/out", out.schema))

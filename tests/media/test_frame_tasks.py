@@ -3,11 +3,13 @@
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framejobs.operators import pixels as P
 from framejobs.operators import redact
 from framejobs.plans import queries as Q
+from framejobs.streaming import jobs as streams
 
 SCHEMA = "video_id long, frame_id long, height int, width int, channels int, pixels binary"
 
@@ -57,3 +59,31 @@ def test_small_frames_of_one_task_take_seconds(spark):
 def test_frames_of_one_row_group_are_scored_by_several_tasks(spark):
     assert spark.read.parquet("/root/testdata/sf0.1/orders.parquet").rdd.getNumPartitions() == 1
     assert Q.score_frames(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 8
+
+
+def test_a_micro_batch_of_one_file_is_written_by_several_tasks(spark, monkeypatch):
+    run, paths = streams.run_by_epoch, []
+    monkeypatch.setattr(streams, "run_by_epoch", lambda out, path, state: (paths.append(path), run(out, path, state))[1])
+    Q.frame_stream(spark, "/root/testdata/sf0.001")
+    written = spark.read.parquet(paths[0])
+    assert written.select(F.input_file_name()).distinct().count() == 4 and written.count() == 1500
+
+
+@pytest.mark.parametrize("mode", ["solid", "blur"])
+def test_redaction_equals_plain_calls(spark, mode):
+    rng = np.random.default_rng(12)
+    boxed, rows = SCHEMA + ", boxes array<struct<det_idx: long, x1: double, y1: double, x2: double, y2: double>>", []
+    for k in range(60):
+        a = rng.integers(0, 256, [(16, 16, 1), (20, 24, 3), (9, 12, 4)][k % 3], dtype=np.uint8)
+        boxes = [(int(d), *(c + s for s in (0, 7) for c in rng.uniform(-2, 9, 2).tolist())) for d in rng.permutation(k % 5)]
+        boxes += [(None, 2.0, 2.0, 8.0, 8.0), (9, None, 0.0, 5.0, 5.0), None][: k % 4]
+        rows.append((1, k, *a.shape, None if k == 17 else a.tobytes(), None if k % 7 == 6 else boxes))
+    got = {r.frame_id: r for r in redact.redact_frames(spark.createDataFrame(rows, boxed).repartition(2), mode).collect()}
+    for _, k, h, w, c, data, boxes in rows:
+        if data is None:
+            assert got[k].pixels is None
+            continue
+        usable = [b for b in boxes or [] if b is not None and b[1] is not None]
+        order = sorted(usable, key=lambda b: (b[0] is None, b[0]))
+        want = P.redact_frame(np.frombuffer(data, np.uint8).reshape(h, w, c), [b[1:] for b in order], mode)
+        assert bytes(got[k].pixels) == want.tobytes()
