@@ -880,16 +880,10 @@ def redact_videos(spark, sf_dir):
     path = F.concat(F.lit("/cam/d"), (F.col("video_id") % 5).cast("string"), F.lit("/v"), F.col("video_id").cast("string"), F.lit(".mp4"))
     base = fixture(spark, sf_dir, "frames").select("video_id", "frame_id", F.when(camera, "<video0>").otherwise(path).alias("path"), *(F.lit(n).cast("int").alias(c) for c, n in (("height", 32), ("width", 32), ("channels", 1))))
 
-    def paint(batches):
-        y, x = np.ogrid[:32, :32]
-        for b in batches:
-            b["pixels"] = [((f * 29 + y * y * 17 + x * 7 * y) % 256).astype(np.uint8).tobytes() for f in b["frame_id"]]
-            yield b
-
-    painted = base.mapInPandas(paint, T.StructType([*base.schema.fields, T.StructField("pixels", T.BinaryType())]))
+    frames_ = painted(dealt(base), lambda b: of(b, "frame_id") * 29, lambda y, x, c: y * y * 17 + x * 7 * y)
     root = new_folder(spark, "videos")
     for _ in range(2):
-        stats = redaction.redact_videos(painted, bright_model, f"{root}/out", f"{root}/stats", mode="solid", threshold=0.8001)
+        stats = redaction.redact_videos(frames_, bright_model, f"{root}/out", f"{root}/stats", mode="solid", threshold=0.8001)
     return stats.select("dir", "filename", "total_frames", "face_frames", F.bround("face_ratio", 4).alias("face_ratio"))
 
 

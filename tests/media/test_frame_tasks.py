@@ -87,3 +87,10 @@ def test_redaction_equals_plain_calls(spark, mode):
         order = sorted(usable, key=lambda b: (b[0] is None, b[0]))
         want = P.redact_frame(np.frombuffer(data, np.uint8).reshape(h, w, c), [b[1:] for b in order], mode)
         assert bytes(got[k].pixels) == want.tobytes()
+
+
+def test_the_whole_job_runs_in_several_tasks(spark, monkeypatch):
+    job, given = Q.redaction.redact_videos, []
+    monkeypatch.setattr(Q.redaction, "redact_videos", lambda frames, *a, **b: (given.append(frames), job(frames.filter("frame_id < 2"), *a, **b))[1])
+    Q.redact_videos(spark, "/root/testdata/sf0.1")
+    assert [f.rdd.getNumPartitions() for f in given] == [8, 8]
