@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framejobs.operators.pixels import suppress_in_order
+from framejobs.operators.pixels import suppress_groups
 
 KEY = ["video_id", "frame_id"]
 #: Boxes of a frame up to which each is compared with all kept ones.
 MANY = 100
+#: Boxes of crowded frames that are compared in one go.
+BOXES_AT_ONCE = 200_000
 
 
 def det_index(boxes: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def _overlap(a, b, limit: float):
 def nms(detections: DataFrame, limit: float = 0.3, many: int = MANY) -> DataFrame:
     """Detections that no better kept one of their frame overlaps by ``limit`` or more. Of equal scores the higher index is better. Two empty
     boxes do not overlap. Frames of up to ``many`` boxes are folded by built-in expressions, which compare each box with all kept ones; larger ones
-    compare it with those near it in a grid."""
+    compare it with those beside it, many frames at a time."""
     fields = F.struct("score", "det_idx", "x1", "y1", "x2", "y2")
     ranked = detections.groupBy(*KEY).agg(F.sort_array(F.collect_list(fields), False).alias("boxes"))
     none = F.array().cast(ranked.schema["boxes"].dataType)
@@ -48,12 +50,18 @@ def _thinned(frames: DataFrame, limit: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for row in range(b.num_rows):
-                one = b.slice(row, 1)
-                boxes = one.column("boxes").flatten()
+            ends, row = b.column("boxes").value_lengths().to_numpy(zero_copy_only=False).cumsum(), 0
+            while row < b.num_rows:
+                began = ends[row - 1] if row else 0
+                some = b.slice(row, max(1, int(np.searchsorted(ends, began + BOXES_AT_ONCE, side="right")) - row))
+                row += some.num_rows
+                lists = some.column("boxes")
+                boxes, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
                 corners = np.stack([boxes.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2")], axis=1)
-                kept = boxes.take(pa.array(suppress_in_order(corners, limit), pa.int64()))
-                out = pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), kept)
-                yield pa.RecordBatch.from_arrays([*one.columns[:-1], out], names=one.schema.names)
+                frame = np.repeat(np.arange(some.num_rows), lengths)
+                kept = suppress_groups(corners, frame, limit)
+                at = np.concatenate(([0], np.bincount(frame[kept], minlength=some.num_rows).cumsum()))
+                out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), boxes.filter(pa.array(kept)))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], out], names=some.schema.names)
 
     return frames.select(*KEY, "boxes").mapInArrow(run, frames.select(*KEY, "boxes").schema)

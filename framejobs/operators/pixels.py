@@ -202,7 +202,7 @@ def suppress_in_order(boxes: np.ndarray, limit: float) -> list[int]:
 
 
 #: Pairs of boxes, side by side in x, that are compared at once; a frame with more of them than CROWD is looked up in grids.
-PAIRS, CROWD = 1 << 20, 1 << 23
+PAIRS, CROWD = 1 << 19, 1 << 21
 
 
 def suppress_groups(boxes: np.ndarray, group: np.ndarray, limit: float, pairs: int = PAIRS, crowd: int = CROWD) -> np.ndarray:
