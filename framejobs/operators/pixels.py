@@ -15,16 +15,22 @@ def ensure_rgb(a: np.ndarray) -> np.ndarray:
 def resize_planes(a: np.ndarray, width: int, height: int) -> np.ndarray:
     """Bilinear over the last two axes (y, x), pixel centres aligned, as float."""
     h, w = a.shape[-2:]
-    f = a.astype(np.float64)
+    f = np.ascontiguousarray(a, dtype=np.float64)
     if (h, w) == (height, width):
         return f
     y = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1)
     x = np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = (y - y0)[:, None], x - x0
-    rows = np.take(f, x0, axis=-1) * (1 - fx) + np.take(f, x1, axis=-1) * fx
-    return np.take(rows, y0, axis=-2) * (1 - fy) + np.take(rows, y1, axis=-2) * fy
+
+    def between(f: np.ndarray, first: np.ndarray, second: np.ndarray, share: np.ndarray, axis: int) -> np.ndarray:
+        out, other = np.take(f, first, axis=axis), np.take(f, second, axis=axis)
+        out *= 1 - share
+        other *= share
+        out += other
+        return out
+
+    return between(between(f, x0, x1, x - x0, -1), y0, y1, (y - y0)[:, None], -2)
 
 
 def resize(a: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -37,7 +43,7 @@ def resize_bytes(a: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 #: Values of the model's input that are resized at once; larger frames come one by one.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 
 
 def to_network_input(frames: list[np.ndarray], net_width: int, net_height: int) -> np.ndarray:

@@ -498,8 +498,8 @@ def pixel_frames(spark: SparkSession, sf_dir: str, best_only: bool = True) -> Da
         "video_id", "frame_id", F.when(F.col("video_id") % 2 == 0, 16).otherwise(20).cast("int").alias("height"), F.when(F.col("video_id") % 2 == 0, 16).otherwise(24).cast("int").alias("width"),
         F.element_at(F.array(*map(F.lit, CHANNELS)), (F.col("frame_id") % 3 + 1).cast("int")).alias("channels"),
     )
-    df = frames.frames_with_detections(base, scaled)
-
+    # By the join's key: where the detections are broadcast, frames of one file are many tasks, and where they are not, the join needs no other shuffle.
+    df = frames.frames_with_detections(base.repartition(paint_tasks(base), "video_id", "frame_id"), scaled)
     return painted(df, lambda b: of(b, "frame_id") * 31, lambda y, x, c: y * 17 + x * 7 + c * 101)
 
 
@@ -533,7 +533,11 @@ FRAMES_A_TASK = 20_000
 def dealt(base: DataFrame) -> DataFrame:
     """Frames by ranges of their ids, some ten thousand a task. The keys of a million frames are one row group, and so one task, and a hundred times as
     large when they have pixels; so keys are dealt out before they get them."""
-    return base.repartitionByRange(max(1, -(-base.count() // FRAMES_A_TASK)), "video_id", "frame_id")
+    return base.repartitionByRange(paint_tasks(base), "video_id", "frame_id")
+
+
+def paint_tasks(base: DataFrame) -> int:
+    return max(1, -(-base.count() // FRAMES_A_TASK))
 
 
 def byte_sums(df: DataFrame) -> DataFrame:
@@ -714,12 +718,19 @@ def network_input(spark, sf_dir):
     """What the model gets: the sum of each frame's resized channels, and that of each value times its place from 1."""
 
     def run(batches):
+        place = np.arange(1, 3 * 32 * 32 + 1, dtype=np.float64)
         for b in batches:
-            flat = [pixels.to_network_input([redact.array_of(r)], 32, 32).ravel().astype(np.float64) for r in b.itertuples(index=False)]
-            placed = [float((x * np.arange(1, len(x) + 1)).sum()) for x in flat]
-            yield pd.DataFrame({"video_id": b["video_id"], "frame_id": b["frame_id"], "input_sum": np.round([x.sum() for x in flat], 2), "place_sum": np.round(placed, 2)})
-
-    return pixel_frames(spark, sf_dir).drop("boxes").mapInPandas(run, "video_id long, frame_id long, input_sum double, place_sum double")
+            data, at = redact.flat_bytes(b.column("pixels"))
+            sizes, sums = np.stack([of(b, c) for c in ("height", "width", "channels")], axis=1), np.zeros((b.num_rows, 2))
+            for shape in np.unique(sizes, axis=0):
+                rows = np.nonzero((sizes == shape).all(axis=1))[0]
+                for s in range(0, len(rows), 1024):
+                    some = rows[s : s + 1024]
+                    flat = pixels.to_network_input([data[at[k] : at[k + 1]].reshape(shape) for k in some.tolist()], 32, 32).reshape(len(some), -1).astype(np.float64)
+                    sums[some] = np.stack([flat.sum(axis=1), flat @ place], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("frame_id"), *map(pa.array, np.round(sums, 2).T)], names=["video_id", "frame_id", "input_sum", "place_sum"])
+
+    return pixel_frames(spark, sf_dir).drop("boxes").mapInArrow(run, "video_id long, frame_id long, input_sum double, place_sum double")
 
 
 def bright_model():

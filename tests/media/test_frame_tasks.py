@@ -94,3 +94,20 @@ def test_the_whole_job_runs_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(Q.redaction, "redact_videos", lambda frames, *a, **b: (given.append(frames), job(frames.filter("frame_id < 2"), *a, **b))[1])
     Q.redact_videos(spark, "/root/testdata/sf0.1")
     assert [f.rdd.getNumPartitions() for f in given] == [8, 8]
+
+
+def test_batches_of_frames_are_resized_as_single_ones():
+    rng = np.random.default_rng(13)
+    for h, w in ((16, 16), (20, 24), (33, 70), (32, 32)):
+        frames = [rng.integers(0, 256, (h, w, (1, 3, 4)[k % 3]), dtype=np.uint8) for k in range(70)]
+        want = np.stack([P.resize(P.ensure_rgb(f), 64, 32).transpose(2, 0, 1) for f in frames]).astype(np.float32)
+        assert (P.to_network_input(frames, 64, 32) == want).all()
+
+
+def test_network_input_of_many_frames_takes_seconds(spark):
+    """150,000 frames of one row group, in several tasks."""
+    began = time.monotonic()
+    df = Q.network_input(spark, "/root/testdata/sf0.1")
+    assert df.rdd.getNumPartitions() >= 4
+    assert df.agg(F.count("*"), F.count_if(F.col("input_sum") > 0)).first() == (150_000, 150_000)
+    assert time.monotonic() - began < 60
